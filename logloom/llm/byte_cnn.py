@@ -176,8 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & may_learn)
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), raw.alias("raw")).join(F.broadcast(chosen), "id")  # at most `sample` rows
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most `sample` rows
+    rows = rows.select("id", "label", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
     span = F.greatest(F.length("raw") - sample_bytes, F.lit(0))
     begin = F.pmod(F.xxhash64("id", F.lit(1)), span + 1) + 1
     got = rows.select("id", F.substring("raw", begin.cast("int"), F.lit(sample_bytes)).alias("raw"), "label").collect()

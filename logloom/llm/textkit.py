@@ -38,6 +38,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+LINE_END = np.zeros(256, dtype=bool)
+LINE_END[10] = True
 _BASE = 0x9E6C63D0876A9A47
 
 
@@ -56,7 +58,8 @@ class Words:
 
     __slots__ = ("data", "start", "end", "first", "hash", "offsets")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, apart: np.ndarray | None = None):
+        """``apart``: which bytes separate; for lines it is ``LINE_END``."""
         self.data, self.offsets = data, offsets
         n = len(data)
         if n == 0:
@@ -64,7 +67,7 @@ class Words:
             self.hash = np.zeros(0, np.uint64)
             self.first = np.zeros(len(offsets), np.int64)
             return
-        inside = ~_SPACE[data]
+        inside = ~(_SPACE if apart is None else apart)[data]
         begin = inside.copy()
         begin[1:] &= ~inside[:-1]
         edges = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -146,6 +149,23 @@ def distinct(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (np.concatenate(parts) if parts else hashes[:0]), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def space(data: np.ndarray) -> np.ndarray:
+    return _SPACE[data]
+
+
+def again(keys: np.ndarray) -> np.ndarray:
+    """Which values occur twice or more."""
+    if len(keys) == 0:
+        return np.zeros(0, bool)
+    order = np.argsort(keys)
+    ranked = keys[order]
+    same = ranked[1:] == ranked[:-1]
+    out = np.zeros(len(keys), bool)
+    out[order[1:]] |= same
+    out[order[:-1]] |= same
+    return out
+
+
 def minhash(sets: np.ndarray, first: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     """(texts, k) uint32 minima of k multiply-shift hashes; 2**32 - 1 for empty sets."""
     n = len(first) - 1
