@@ -153,6 +153,11 @@ def space(data: np.ndarray) -> np.ndarray:
     return _SPACE[data]
 
 
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """A fixed random value for each byte, A-Z folded."""
+    return _BYTE[_FOLD[data]]
+
+
 def again(keys: np.ndarray) -> np.ndarray:
     """Which values occur twice or more."""
     if len(keys) == 0:
