@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logtext as lt
 from ..functions.shapes import with_shape
+from ..store import keep
 
 ENVELOPE = "t string, s string, c string, id bigint, ctx string, msg string, host string, attr string, _corrupt string"
 FIELDS = ("ts_ms", "severity_rank", "severity", "component", "ctx", "conn_id", "msg", "ns", "op_type", "shape", "driver", "duration_ms")
@@ -73,11 +74,12 @@ def load_cluster(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def with_index(entries: DataFrame, order: Sequence[str] = ("ts_ms", "file_idx", "line_no")) -> DataFrame:
     """``entries`` with ``idx``, their place in time order from 0, without a window over all rows.
 
-    Rows are range-partitioned and sorted; a row's place is its partition's offset
+    Rows are range-partitioned, sorted and written to the shared folder, so that
+    every reader sees the same partitions; a row's place is its partition's offset
     (one number a partition) plus its place there.
     """
     ranked = entries.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    ranked = ranked.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND((1 << 33) - 1))
+    ranked = keep(ranked.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND((1 << 33) - 1)), "indexed")
     counts = ranked.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_off"))  # one row a partition
     return ranked.join(F.broadcast(offsets), "_part").withColumn("idx", F.col("_off") + F.col("_row")).drop("_at", "_part", "_row", "_off")
