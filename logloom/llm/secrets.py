@@ -21,6 +21,8 @@ LEAST_VALUE = 6
 #: What the models look at: unbroken runs of these characters.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 RUN = "[A-Za-z0-9+/_-]{20,}"
+#: Imagined transitions after each character, dealt out as single characters are.
+BACKED = 8.0
 #: Log-likelihood ratio of a whole run from which it is a secret.
 LEAST_RATIO = 15.0
 
@@ -82,10 +84,14 @@ def train(docs: DataFrame, sample: int = 3000, made: int = 3000, id_col: str = "
         a, b = ALPHABET.find(r["pair"][0]), ALPHABET.find(r["pair"][1])
         if a >= 0 and b >= 0:
             count[r["random"]][a * size + b] += r["count"]
+    single = [[sum(c[a * size + b] for a in range(size)) + 0.5 for b in range(size)] for c in count]
     ratio = []
     for a in range(size):
-        sums = [sum(c[a * size : a * size + size]) + 0.5 * size for c in count]
-        ratio += [math.log((count[1][a * size + b] + 0.5) / sums[1]) - math.log((count[0][a * size + b] + 0.5) / sums[0]) for b in range(size)]
+        row = []
+        for c, one in zip(count, single, strict=True):
+            seen, every = sum(c[a * size : a * size + size]), sum(one)
+            row.append([(c[a * size + b] + BACKED * one[b] / every) / (seen + BACKED) for b in range(size)])
+        ratio += [math.log(row[1][b] / row[0][b]) for b in range(size)]
     return ratio
 
 
