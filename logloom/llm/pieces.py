@@ -26,7 +26,7 @@ from . import textkit as tk
 
 SPACE = "▁"
 #: Parts and pairs that a worker remembers, and the longest part it remembers.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 300_000, 48
 NORMAL, CONTROL, BYTE = 1, 3, 6
 
 
@@ -54,10 +54,12 @@ class Pieces:
         self.joined = {piece[i : i + 2] for piece in self.id for i in range(len(piece) - 1)}
         self.automaton = ahocorasick.Automaton()
         for piece in self.id:
-            self.automaton.add_word(piece, len(piece))
+            if len(piece) > 1:  # a single character always matches
+                self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[str, str]] = {}
+        self.former: dict[str, tuple[str, str]] = {}  # the generation before: what is still in use comes back
 
     def merge(self, text: str) -> list[str]:
         """Best-scored merge first, the leftmost of equals: the definition that ``encode`` must meet."""
@@ -82,12 +84,9 @@ class Pieces:
     def split(self, part: str) -> list[str]:
         """The pieces of a part; a character that is in no piece stands alone."""
         n = len(part)
-        lengths: list[list[int]] = [[] for _ in range(n)]
+        lengths = [[1] for _ in range(n)]  # a character by itself, in the vocabulary or not
         for end, size in self.automaton.iter(part):
-            lengths[end - size + 1].append(size)
-        for sizes in lengths:  # each grows, as matches come by their ends
-            if not sizes or sizes[0] != 1:
-                sizes.insert(0, 1)  # a character by itself, in the vocabulary or not
+            lengths[end - size + 1].append(size)  # each list grows, as matches come by their ends
         open_at = bytearray(b"\x01") * (n + 1)
         fits, fit = self.fits, self._fit
         tokens: list[str] = []
@@ -150,11 +149,15 @@ class Pieces:
         return "".join(out).replace(SPACE, " ")
 
     def _part(self, part: str) -> tuple[str, str]:
+        made = self.former.get(part)
+        if made is not None:
+            return self._remember(part, made)
+        if part[1:].isalpha():
+            return self._piece(part)
         joined = self.joined
         cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in joined]
         if cuts and not part.startswith(SPACE * 2):
-            known, make = self.known, self._piece
-            made = [known.get(p) or make(p) for p in map(part.__getitem__, map(slice, [0, *cuts], [*cuts, len(part)]))]
+            made = [self.known.get(p) or self._piece(p) for p in map(part.__getitem__, map(slice, [0, *cuts], [*cuts, len(part)]))]
             found = " ".join([m[0] for m in made]), "".join([m[1] for m in made])
             return self._remember(part, found)
         return self._piece(part)
@@ -166,7 +169,7 @@ class Pieces:
     def _remember(self, part: str, made: tuple[str, str]) -> tuple[str, str]:
         if len(part) <= LONGEST:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                self.former, self.known = self.known, {}
             self.known[part] = made
         return made
 
@@ -174,8 +177,8 @@ class Pieces:
         """(decimal ids with the end id, one space between; the text decoded from them)."""
         if not text:
             return str(self.end), ""
-        known, make = self.known, self._part
-        made = [known.get(p) or make(p) for p in _PARTS.findall((SPACE + text).replace(" ", SPACE))]
+        make = self._part
+        made = [self.known.get(p) or make(p) for p in _PARTS.findall((SPACE + text).replace(" ", SPACE))]
         return f"{' '.join([m[0] for m in made])} {self.end}", "".join([m[1] for m in made])[1:]
 
 
