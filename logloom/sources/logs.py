@@ -18,13 +18,16 @@ FIELDS = ("ts_ms", "severity_rank", "severity", "component", "ctx", "conn_id", "
 def scan(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(file_path, line_no, raw): every line of every file, numbered from 1 in file order.
 
-    Line numbers come from a window within each file, by the position of its block
-    and the order of rows in it, so splits of one file keep their order.
+    A line's number is the count of lines in the blocks of its file before its own,
+    plus its place there, so a long file is many tasks and no window sees lines.
     """
     lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
-    placed = lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
-    order = Window.partitionBy("file_path").orderBy("block", "at")
-    return placed.withColumn("line_no", F.row_number().over(order).cast("long")).select("file_path", "line_no", "raw")
+    placed = lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("raw"))
+    blocks = placed.groupBy("file_path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.withColumn("_before", before)  # one row a block
+    numbered = placed.join(blocks, ["file_path", "_block"])
+    return numbered.select("file_path", (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("long").alias("line_no"), "raw")
 
 
 def _text(value):
@@ -67,7 +70,7 @@ def load_cluster(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     lines = scan(spark, paths)
     files = lines.select("file_path").distinct()
     numbered = files.withColumn("file_idx", (F.row_number().over(Window.orderBy("file_path")) - 1).cast("int"))  # one row a file
-    entries = parse_log_lines(lines.join(F.broadcast(numbered), "file_path"))
+    entries = parse_log_lines(lines.join(numbered, "file_path"))
     return entries.withColumn("node_idx", F.col("file_idx")).withColumn("node_set", F.array("node_idx"))
 
 
