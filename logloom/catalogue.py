@@ -127,6 +127,11 @@ def log_top_components(spark, d):
     return b.top(b.breakdowns(entries(spark, d), ("component",)).select("label", "count"), 3)
 
 
+@register("log_latest", over_entries("SELECT event_id AS line_no, ts_ms FROM e ORDER BY idx DESC LIMIT 20"))
+def log_latest(spark, d):
+    return b.in_time_order(entries(spark, d), descending=True).select("line_no", "ts_ms").limit(20)
+
+
 @register("log_sampled", over_entries("SELECT event_id AS line_no, node_idx FROM (SELECT *, row_number() OVER (PARTITION BY node_idx ORDER BY event_id) AS n FROM e) WHERE (n - 1) % 10 = 0"))
 def log_sampled(spark, d):
     return logs.sampled(entries(spark, d), 0.1).select("line_no", "node_idx")
@@ -296,6 +301,15 @@ def node_identity(spark, d):
     return nodes.file_identity(derived.log_lines(events(spark, d)))
 
 
+@register("entry_hosts", over_entries("SELECT node_idx, 'mongod' AS hostname, count(*) AS n FROM e GROUP BY node_idx"))
+def entry_hosts(spark, d):
+    lines = derived.log_lines(events(spark, d))
+    files = nodes.file_identity(lines).join(lines.select("file_path", "file_idx").distinct(), "file_path")
+    merged = nodes.merged_nodes(files)
+    found = nodes.with_hostname(nodes.with_nodes(entries(spark, d), merged), nodes.node_table(merged))
+    return found.groupBy("node_idx", "hostname").agg(F.count("*").alias("n"))
+
+
 @register("stacked_entries")
 def stacked_entries(spark, d):
     """Entries with times cut to minutes, so that nodes have equal ones."""

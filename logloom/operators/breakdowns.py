@@ -42,6 +42,12 @@ def top(counts: DataFrame, k: int, by: str | None = None, label: str = "label")
     return ranked.where(F.col("_k") <= k).drop("_k")
 
 
+def in_time_order(entries: DataFrame, descending: bool = False) -> DataFrame:
+    """Entries by time, then file and line."""
+    names = ("ts_ms", "file_idx", "line_no")
+    return entries.orderBy(*[F.desc(c) if descending else F.asc(c) for c in names])
+
+
 def _slow(entries: DataFrame, min_duration_ms: int) -> DataFrame:
     return entries.where(lt.is_slow(F.col("msg")) & (F.col("duration_ms") >= min_duration_ms))
 

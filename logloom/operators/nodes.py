@@ -74,6 +74,11 @@ def with_nodes(entries: DataFrame, merged: DataFrame) -> DataFrame:
     return entries.withColumn("node_set", nodes).withColumn("node_idx", F.element_at(lookup, F.col("node_idx")))
 
 
+def with_hostname(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``entries`` with hostname and port of their node; null for a node that isn't known."""
+    return entries.join(nodes.select("node_idx", "hostname", "port"), "node_idx", "left")
+
+
 def stacked(entries: DataFrame, window_ms: int = 1) -> DataFrame:
     """Entries after equal ones of other files within ``window_ms`` of a leader are merged into it.
 
