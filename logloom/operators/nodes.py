@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,30 +106,45 @@ def stacked(entries: DataFrame, window_ms: int = 1) -> DataFrame:
     several = islands.groupBy(*group, *KEY).agg(F.count_distinct("file_idx").alias("_files")).where("_files > 1").select(*group).distinct()
     alone = islands.join(several, group, "left_anti").drop("_key", "_starts", "_island")
     shared = islands.join(several, group, "left_semi").drop("_starts")
+    columns = [c for c in shared.columns if c not in group]
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        names = [pdf[k].where(pdf[k].notna(), None).tolist() for k in KEY]
-        time, file = pdf["ts_ms"].tolist(), pdf["file_idx"].tolist()
-        taken = [False] * len(pdf)
-        sets, alts = [list(s) for s in pdf["node_set"]], [None] * len(pdf)
-        for i in range(len(pdf)):
+        """Rows of whole islands, in order."""
+        n = len(pdf)
+        names = list(zip(*[pdf[k].where(pdf[k].notna(), None) for k in KEY], strict=True))
+        island = list(zip(pdf["_key"], pdf["_island"], strict=True))
+        time, file, node, line, raw = (pdf[c].tolist() for c in ("ts_ms", "file_idx", "node_idx", "line_no", "raw"))
+        taken = [False] * n
+        sets, alts = [list(s) for s in pdf["node_set"]], [None] * n
+        for i in range(n):
             if taken[i]:
                 continue
-            for j in range(i + 1, len(pdf)):
-                if time[j] - time[i] > window_ms:
+            for j in range(i + 1, n):
+                if island[j] != island[i] or time[j] - time[i] > window_ms:
                     break
-                if taken[j] or file[j] == file[i] or any(n[j] != n[i] for n in names):
-                    continue
-                taken[j] = True
-                sets[i] = sorted({*sets[i], *sets[j]})
-                row = pdf.iloc[j]
-                alts[i] = [*(alts[i] or []), {"node_idx": int(row.node_idx), "file_idx": int(row.file_idx), "line_no": int(row.line_no), "raw": row.raw}]
-        pdf["node_set"], pdf["alts"] = sets, alts
+                if not taken[j] and file[j] != file[i] and names[j] == names[i]:
+                    taken[j] = True
+                    sets[i] = sorted({*sets[i], *sets[j]})
+                    alts[i] = [*(alts[i] or []), {"node_idx": node[j], "file_idx": file[j], "line_no": line[j], "raw": raw[j]}]
+        pdf = pdf.assign(node_set=pd.Series(sets, index=pdf.index, dtype=object), alts=pd.Series(alts, index=pdf.index, dtype=object))
         return pdf[[not t for t in taken]][columns]
 
-    columns = [c for c in shared.columns if c not in group]
-    merged = shared.groupBy(*group).applyInPandas(greedy, shared.select(*columns).schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Islands follow each other in a sorted partition; the last one of a batch may go on in the next."""
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            open_ = (rows["_key"] == rows["_key"].iloc[-1]) & (rows["_island"] == rows["_island"].iloc[-1])
+            held = rows[open_].reset_index(drop=True)
+            if not open_.all():
+                yield greedy(rows[~open_].reset_index(drop=True))
+        if held is not None:
+            yield greedy(held)
+
+    sorted_ = shared.repartition(*group).sortWithinPartitions(*group, *order)
+    merged = sorted_.mapInPandas(run, shared.select(*columns).schema)
     return alone.unionByName(merged).unionByName(base.where("ts_ms < 0"))
 
 
