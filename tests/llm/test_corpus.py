@@ -86,6 +86,18 @@ def test_near_duplicates(spark, size):
     assert near_dedup.near_duplicates(frame(spark, []), size).count() == 0
 
 
+def test_near_copies_of_very_long_texts(spark):
+    def text(i):
+        words = np.random.default_rng(i % 30).integers(0, 1 << 20, 300_000)
+        if i >= 30:
+            words[np.random.default_rng(i).choice(300_000, 4000, replace=False)] = (1 << 20) + i
+        return " ".join(map(str, words.tolist()))
+
+    made = spark.range(0, 60, 1, 8).mapInPandas(lambda frames: (f.assign(doc_id=f["id"], text=f["id"].map(text))[["doc_id", "text"]] for f in frames), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(made).collect()}
+    assert got == {i: i % 30 for i in range(60)}
+
+
 def test_shards(spark):
     copy = prose(30)
     rows = [(i, copy if i % 3 == 0 else prose(20) + "\n" + VOCABULARY[i % 7] * 3 if i % 5 else None) for i in range(500)] + [(7, "twice"), (7, "twice"), (None, "é")]
