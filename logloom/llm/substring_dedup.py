@@ -5,7 +5,8 @@ words whose hash says so, so that the same passage is cut alike wherever it is
 pasted.  Paragraphs of equal words are one class.  Classes that collide in a band
 stand next to each other in one sorted run over range partitions, and each is
 compared with those just before it in its bucket by exact Jaccard similarity;
-linked classes form components.  Neighbouring repeated paragraphs of a document are
+classes of larger buckets also meet by their rarest shingles, which misses none.
+Linked classes form components.  Neighbouring repeated paragraphs of a document are
 then joined into passages.
 """
 
@@ -29,6 +30,8 @@ LEAST_WORDS = 8  # of a paragraph
 RUN_ON, CUT_EVERY = 40, 16  # words after which a paragraph runs on, and the mean length it is cut to
 #: Members of a bucket that a class is compared with, just before it in the order of all bands.
 NEAREST = 16
+#: Holders of a shingle that one task pairs with as many others.
+BLOCK = 2000
 #: Words between repeated paragraphs that belong to one passage.
 GAP = 16
 #: Buckets up to which their list is broadcast.
@@ -183,6 +186,61 @@ def _compared(share: tuple[int, int], borders: bool):
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (mark, n, shingle) for the distinct shingles of rows (mark, words)."""
+    for batch in batches:
+        values, first = tk.distinct(*_shingles(batch.column(1)))
+        n = np.diff(first)
+        marks = np.repeat(batch.column(0).to_numpy(), n)
+        yield pa.RecordBatch.from_arrays([pa.array(marks), pa.array(np.repeat(n, n), pa.int32()), pa.array(values.view(np.int64))], names=["mark", "n", "shingle"])
+
+
+def _confirmed(share: tuple[int, int]):
+    """The pairs among rows (a, b, words_a, words_b) that reach ``share``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, at), (y, to) = (tk.distinct(*_shingles(batch.column(i))) for i in (2, 3))
+            good = np.zeros(len(batch), bool)
+            for i in range(len(batch)):
+                left, right = x[at[i] : at[i + 1]], y[to[i] : to[i + 1]]
+                common = tk.intersection(left, right)
+                good[i] = share[1] * common >= share[0] * (len(left) + len(right) - common)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
+
+    return run
+
+
+def _crowd_links(crowd: DataFrame, reached: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """All links among the classes ``crowd`` (mark, words) that join two components.
+
+    Two sets that reach ``share`` have one of their rarest shingles in common: of n
+    all but the most frequent ceil(share * n) - 1.  Those that one class alone has
+    drop out; the holders of the others meet in blocks of pairs.
+    """
+    sets = keep(crowd.mapInArrow(_exploded, "mark long, n int, shingle long"), "shingles")
+    held = sets.groupBy("shingle").agg(F.count("*").alias("holders"))
+    # one class's own shingles
+    rare = F.row_number().over(Window.partitionBy("mark").orderBy("holders", "shingle"))
+    prefix = sets.join(held, "shingle").withColumn("rank", rare).where(F.expr(f"rank <= n - ({share[0]} * n + {share[1] - 1}) div {share[1]} + 1")).where("holders > 1")
+    known = reached.select(F.col("node").alias("mark"), "component")
+    prefix = keep(prefix.join(known, "mark", "left").select("mark", "n", "shingle", F.coalesce("component", "mark").alias("component")), "prefixes")
+    # shingles of one component alone have nothing to join
+    several = prefix.groupBy("shingle").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    several = keep(several.select("shingle", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "several")
+    rows = prefix.join(several, "shingle").withColumn("own", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "mark", "n", "component")
+    rows = keep(rows, "blocks")
+    left, right = (rows.select("shingle", "i", "j", *[F.col(c).alias(f"{c}_{side}") for c in ("own", "mark", "n", "component")]) for side in "ab")
+    near = F.least("n_a", "n_b") * share[1] >= F.greatest("n_a", "n_b") * share[0]
+    # a block with itself, or the first block's rows with the second's
+    pairs = left.where("own_a = i").join(right.where("own_b = j"), ["shingle", "i", "j"]).where(near & (F.col("component_a") != F.col("component_b")))
+    pairs = keep(pairs.select(F.least("mark_a", "mark_b").alias("a"), F.greatest("mark_a", "mark_b").alias("b")).distinct(), "crowd_pairs")
+    both = pairs.join(crowd.select(F.col("mark").alias("a"), F.col("words").alias("words_a")), "a").join(crowd.select(F.col("mark").alias("b"), F.col("words").alias("words_b")), "b")
+    return keep(both.select("a", "b", "words_a", "words_b").mapInArrow(_confirmed(share), "a long, b long"), "crowd_links")
+
+
 def _as_border(batch: pa.RecordBatch) -> pa.RecordBatch:
     none = pa.nulls(len(batch), pa.int64())
     return pa.RecordBatch.from_arrays([none, none, *batch.columns], names=["a", "b", *batch.schema.names])
@@ -220,7 +278,12 @@ def repeated_passages(docs: DataFrame, least_words: int = 20, share: tuple[int,
     # first and last rows of the partitions: as many as there are partitions, times a constant
     border = found.where("mark is not null").select(*order, "words").dropDuplicates(["band", "mark"]).repartition(1).sortWithinPartitions(*order)
     links = found.where("a is not null").select("a", "b").union(border.mapInArrow(_compared(share, False), schema).select("a", "b"))
-    reached = components(links)
+    reached = keep(components(links), "reached")
+    # classes of buckets that go on beyond the rows looked at
+    crowded = members.groupBy("band").count().where(f"count > {NEAREST + 1}").select("band")
+    crowd = keep(members.join(crowded, "band").groupBy("mark").agg(F.first("words").alias("words")), "crowd")
+    if crowd.count():
+        reached = components(links.union(_crowd_links(crowd, reached, share)))
     units = units.select("id", "start", "end", "mark").join(reached.select(F.col("node").alias("mark"), "component"), "mark", "left")
     units = keep(units.select("id", "start", "end", F.coalesce("component", "mark").alias("component")), "classed")
     spread = units.select("component", "id").distinct().groupBy("component").agg(F.count("*").alias("copies"), F.min("id").alias("first_id")).where("copies > 1")

@@ -144,6 +144,20 @@ def test_passages(spark):
     assert 1 - (1 - 0.8**hashes) ** bands >= 0.99 > 1 - (1 - 0.8**hashes) ** (bands - 1)
 
 
+def test_near_paragraphs_in_a_crowd(spark):
+    """Notices that share most of their words, among them pairs at a Jaccard similarity of about 0.82."""
+    notice = prose(40).split()
+    rows = []
+    for k in range(600):
+        own = notice[:27] + prose(13).split()
+        rows.append((k, " ".join(own) + "."))
+        if k % 10 == 0:  # the last three words differ
+            rows.append((1000 + k, " ".join(own[:37] + prose(3).split()) + "."))
+    got = substring_dedup.repeated_passages(frame(spark, rows)).collect()
+    of = {r.doc_id: r.component for r in got}
+    assert all(1000 + k in of and of.get(k) == of[1000 + k] for k in range(0, 600, 10))
+
+
 ITEMS = [(1, "If Mary has 12 apples and Mary eats 5 of them how many are left"), (2, "short one"), (3, "Tiny item here now"), (4, "The train needs 3 hours for 240 km so how fast does the train go"), (5, None), (6, "")]
 
 
