@@ -1,18 +1,18 @@
 """Passages that repeat across documents, by banded MinHash of their paragraphs.
 
-A paragraph is a sentence, a line or a few short ones; one that runs on is cut at
-words whose hash says so, so that the same passage is cut alike wherever it is
-pasted.  Paragraphs of equal words are one class.  Classes that collide in a band
-stand next to each other in one sorted run over range partitions, and each is
-compared with those just before it in its bucket by exact Jaccard similarity;
-classes of larger buckets also meet by their rarest shingles, which misses none.
-Linked classes form components.  Neighbouring repeated paragraphs of a document are
-then joined into passages.
+A paragraph runs from one cut of the text to the first cut at least LEAST_WORDS words
+later.  Cuts are the ends of sentences and lines and, away from these, words whose
+hash is the least of those around them; all depend on the few words next to them, so
+that the same passage is cut alike wherever it is pasted.  Paragraphs of equal words
+are one class.  Classes that collide in a band are compared with each other by exact
+Jaccard similarity inside the task that holds their bucket, which gives out the links
+of a spanning forest only.  Classes of the largest buckets meet by their rarest
+shingles instead, which misses none.  Linked classes form components.  Neighbouring
+repeated paragraphs of a document are then joined into passages.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,24 +21,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..store import keep
 from . import textkit as tk
 from .graph import components
-from .store import keep
 
 SHINGLE = 5
 LEAST_WORDS = 8  # of a paragraph
-RUN_ON, CUT_EVERY = 40, 16  # words after which a paragraph runs on, and the mean length it is cut to
-#: Members of a bucket that a class is compared with, just before it in the order of all bands.
-NEAREST = 16
-#: Holders of a shingle that one task pairs with as many others.
-BLOCK = 2000
+#: Words on either side that a word's hash must undercut to be a cut, and that must not end a sentence.
+UNDERCUT, CLEAR = 5, 6
+#: Classes on one side of a comparison in one task.
+BLOCK = 1000
 #: Words between repeated paragraphs that belong to one passage.
 GAP = 16
 #: Buckets up to which their list is broadcast.
 BROADCAST_BUCKETS = 1_000_000
 
 
-def bands(recall: float = 0.99, share: float = 0.8, rows: int = 2) -> tuple[int, int]:
+def bands(recall: float = 0.995, share: float = 0.8, rows: int = 2) -> tuple[int, int]:
     """(bands, rows): as few bands of ``rows`` hashes as find a pair at ``share`` with probability ``recall``."""
     count = 1
     while 1 - (1 - share**rows) ** count < recall:
@@ -49,9 +48,9 @@ def bands(recall: float = 0.99, share: float = 0.8, rows: int = 2) -> tuple[int,
 def paragraphs(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, last word + 1) of every paragraph; places count from the start of the slice.
 
-    A sentence or line of LEAST_WORDS words or more is a paragraph; shorter ones join
-    up to that length.  Two copies of a passage are cut alike from the first such
-    sentence on, whatever stands before them.
+    A paragraph begins at each cut and ends at the first one LEAST_WORDS words on, so
+    short sentences overlap; the rest of a text after its last such cut is in none of
+    its own.  Whether a word is a cut depends on CLEAR words on either side at most.
     """
     n = len(words.hash)
     if n == 0:
@@ -59,29 +58,21 @@ def paragraphs(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(words.counts)), words.counts)
     line_ends = np.concatenate([[0], np.cumsum(words.data == 10)])
     last = words.data[words.end - 1]
-    cut = np.zeros(n, bool)  # after this word
-    cut[:-1] = (owner[1:] != owner[:-1]) | (line_ends[words.start[1:]] > line_ends[words.end[:-1]])
-    cut |= (last == 46) | (last == 33) | (last == 63)
+    cut = (last == 46) | (last == 33) | (last == 63)  # after this word
+    cut[:-1] |= (owner[1:] != owner[:-1]) | (line_ends[words.start[1:]] > line_ends[words.end[:-1]])
     cut[-1] = True
-    end = np.flatnonzero(cut) + 1
-    start = np.concatenate([[0], end[:-1]])
-    long = np.repeat(end - start > RUN_ON, end - start)
-    cut |= long & (words.hash % np.uint64(CUT_EVERY) == 0)
-    final = np.append(owner[1:] != owner[:-1], True)
-    ends: list[int] = []
-    begin = before = 0
-    places = np.flatnonzero(cut)
-    for at, ends_text in zip((places + 1).tolist(), final[places].tolist(), strict=True):
-        if at - before >= LEAST_WORDS and before > begin:
-            ends.append(before)
-            begin = before
-        if at - begin >= LEAST_WORDS or ends_text:
-            ends.append(at)
-            begin = at
-        before = at
-    end = np.array(ends, np.int64)
-    start = np.concatenate([[0], end[:-1]])
-    return owner[start], start, end
+    so_far = np.concatenate([[0], np.cumsum(cut)])
+    at = np.arange(n)
+    least = so_far[np.minimum(at + CLEAR + 1, n)] == so_far[np.maximum(at - CLEAR, 0)]
+    least[:CLEAR] = False  # as after the end of another text
+    for d in range(1, UNDERCUT + 1):
+        least[d:] &= words.hash[d:] < words.hash[:-d]
+        least[:-d] &= words.hash[:-d] <= words.hash[d:]
+    cut |= least
+    ends = np.flatnonzero(cut) + 1
+    start = np.concatenate([[0], ends[:-1]])
+    start = start[start + LEAST_WORDS <= words.first[owner[start] + 1]]
+    return owner[start], start, ends[np.searchsorted(ends, start + LEAST_WORDS)]
 
 
 def _part(words: tk.Words, start: np.ndarray, end: np.ndarray) -> tk.Words:
@@ -96,10 +87,7 @@ def _part(words: tk.Words, start: np.ndarray, end: np.ndarray) -> tk.Words:
 def _cut(batch: pa.RecordBatch):
     for a, b, data, offsets in tk.slices(batch.column(1)):
         words = tk.Words(data, offsets, lower=True)
-        text, start, end = paragraphs(words)
-        keep_ = end - start >= LEAST_WORDS
-        text, start, end = text[keep_], start[keep_], end[keep_]
-        yield batch.column(0).slice(a, b - a), words, text, start, end
+        yield batch.column(0).slice(a, b - a), words, *paragraphs(words)
 
 
 def _mark(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -144,48 +132,82 @@ def _banded(count: int, rows: int):
     return run
 
 
-def _compared(share: tuple[int, int], borders: bool):
-    """Over rows (band, bands, mark, words) in order: confirmed links, and a partition's first and last rows.
+def _forest(marks: list[int], sides: list[int], roots: list[int], sets: list[np.ndarray], share: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links that join all members of a group which ``share`` links, at most one fewer than members.
 
-    A row is compared with the NEAREST rows before it in its bucket; the order by all
-    bands puts the most alike of a crowded bucket next to each other.
+    Members of one root are joined already; those of one side are compared with the
+    other side only, if there are two.
     """
+    k = len(marks)
+    root = np.unique(np.array(roots), return_inverse=True)[1]
+    side = np.array(sides)
+    two = bool((side != side[0]).any())
+    size = np.array([len(s) for s in sets])
+    _, value = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(k), size)
+    order = np.argsort(value, kind="stable")
+    holders = owner[order]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(value))])
+    first = np.concatenate([[0], np.cumsum(size)])
+    out = []
+    for a in range(k - 1):
+        other = root != root[a]
+        other[: a + 1] = False
+        if two:
+            other &= side != side[a]
+        if not other.any():
+            continue
+        own = value[first[a] : first[a + 1]]
+        common = np.bincount(np.concatenate([holders[ends[v] : ends[v + 1]] for v in own]), minlength=k)
+        good = other & (share[1] * common >= share[0] * (size[a] + size - common))
+        while good.any():
+            b = int(np.argmax(good))
+            out.append((marks[a], marks[b]))
+            root[root == root[b]] = root[a]
+            good &= root != root[a]
+    return out
+
+
+def _linked(share: tuple[int, int]):
+    """Links (a, b) over rows (key, i, j, side, mark, component, words) in the order of (key, i, j)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: deque = deque(maxlen=NEAREST)
-        head, tail = 0, None
+        now, group = None, ([], [], [], [])
+        a: list[int] = []
+        b: list[int] = []
+
+        def close() -> None:
+            if len(group[0]) > 1:
+                for x, y in _forest(*group, share):
+                    a.append(min(x, y))
+                    b.append(max(x, y))
+
         for batch in batches:
-            if not len(batch):
-                continue
-            values, first = _shingles(batch.column(3))
-            values, cuts = values.tolist(), first.tolist()
-            a, b = [], []
-            for i, (band, mark) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                own = frozenset(values[cuts[i] : cuts[i + 1]])
-                for other_band, other, theirs in reversed(recent):
-                    if other_band != band:
-                        break
-                    if other != mark:
-                        common = len(own & theirs)
-                        if share[1] * common >= share[0] * (len(own) + len(theirs) - common):
-                            a.append(other)
-                            b.append(mark)
-                recent.append((band, mark, own))
-            links = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[pa.nulls(len(a), f.type) for f in batch.schema]], names=["a", "b", *batch.schema.names])
-            yield links
-            if borders:
-                take = min(NEAREST - head, len(batch))
-                if take > 0:
-                    yield _as_border(batch.slice(0, take))
-                    head += take
-                held = pa.Table.from_batches([batch]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([batch.slice(max(0, len(batch) - NEAREST))])])
-                tail = held.slice(max(0, len(held) - NEAREST))
-        if borders and tail is not None:
-            yield _as_border(tail.combine_chunks().to_batches()[0])
+            values, first = tk.distinct(*_shingles(batch.column(6)))
+            rows = zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True)
+            for at, (key, i, j, side, mark, component) in enumerate(rows):
+                if now != (key, i, j):
+                    close()
+                    now, group = (key, i, j), ([], [], [], [])
+                group[0].append(mark)
+                group[1].append(side)
+                group[2].append(component)
+                group[3].append(values[first[at] : first[at + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a.clear()
+            b.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _links(rows: DataFrame, share: tuple[int, int], label: str) -> DataFrame:
+    """Links inside each (key, i, j) of rows (key, i, j, side, mark, component, words)."""
+    dealt = rows.select("key", "i", "j", "side", "mark", "component", "words").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "mark")
+    return keep(dealt.mapInArrow(_linked(share), "a long, b long"), label)
+
+
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (mark, n, shingle) for the distinct shingles of rows (mark, words)."""
     for batch in batches:
@@ -195,67 +217,42 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(marks), pa.array(np.repeat(n, n), pa.int32()), pa.array(values.view(np.int64))], names=["mark", "n", "shingle"])
 
 
-def _confirmed(share: tuple[int, int]):
-    """The pairs among rows (a, b, words_a, words_b) that reach ``share``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (x, at), (y, to) = (tk.distinct(*_shingles(batch.column(i))) for i in (2, 3))
-            good = np.zeros(len(batch), bool)
-            for i in range(len(batch)):
-                left, right = x[at[i] : at[i + 1]], y[to[i] : to[i + 1]]
-                common = tk.intersection(left, right)
-                good[i] = share[1] * common >= share[0] * (len(left) + len(right) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
-
-    return run
-
-
-def _crowd_links(crowd: DataFrame, reached: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """All links among the classes ``crowd`` (mark, words) that join two components.
+def _crowd_links(crowd: DataFrame, reached: DataFrame, share: tuple[int, int], block: int) -> DataFrame:
+    """Links among the classes ``crowd`` (mark, words) that join all components which a link joins.
 
     Two sets that reach ``share`` have one of their rarest shingles in common: of n
-    all but the most frequent ceil(share * n) - 1.  Those that one class alone has
-    drop out; the holders of the others meet in blocks of pairs.
+    all but the most frequent ceil(share * n) - 1.  Those that one component alone
+    has drop out; the holders of the others meet in blocks.
     """
     sets = keep(crowd.mapInArrow(_exploded, "mark long, n int, shingle long"), "shingles")
     held = sets.groupBy("shingle").agg(F.count("*").alias("holders"))
     # one class's own shingles
     rare = F.row_number().over(Window.partitionBy("mark").orderBy("holders", "shingle"))
-    prefix = sets.join(held, "shingle").withColumn("rank", rare).where(F.expr(f"rank <= n - ({share[0]} * n + {share[1] - 1}) div {share[1]} + 1")).where("holders > 1")
+    prefix = sets.join(keep(held, "holders"), "shingle").withColumn("rank", rare).where(F.expr(f"rank <= n - ({share[0]} * n + {share[1] - 1}) div {share[1]} + 1")).where("holders > 1")
     known = reached.select(F.col("node").alias("mark"), "component")
-    prefix = keep(prefix.join(known, "mark", "left").select("mark", "n", "shingle", F.coalesce("component", "mark").alias("component")), "prefixes")
-    # shingles of one component alone have nothing to join
+    prefix = keep(prefix.join(known, "mark", "left").select("mark", "shingle", F.coalesce("component", "mark").alias("component")), "prefixes")
     several = prefix.groupBy("shingle").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    several = keep(several.select("shingle", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "several")
-    rows = prefix.join(several, "shingle").withColumn("own", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
+    several = keep(several.select("shingle", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "several")
+    rows = prefix.join(several, "shingle").withColumn("side", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
+    # a block with itself, and with each other one
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "mark", "n", "component")
-    rows = keep(rows, "blocks")
-    left, right = (rows.select("shingle", "i", "j", *[F.col(c).alias(f"{c}_{side}") for c in ("own", "mark", "n", "component")]) for side in "ab")
-    near = F.least("n_a", "n_b") * share[1] >= F.greatest("n_a", "n_b") * share[0]
-    # a block with itself, or the first block's rows with the second's
-    pairs = left.where("own_a = i").join(right.where("own_b = j"), ["shingle", "i", "j"]).where(near & (F.col("component_a") != F.col("component_b")))
-    pairs = keep(pairs.select(F.least("mark_a", "mark_b").alias("a"), F.greatest("mark_a", "mark_b").alias("b")).distinct(), "crowd_pairs")
-    both = pairs.join(crowd.select(F.col("mark").alias("a"), F.col("words").alias("words_a")), "a").join(crowd.select(F.col("mark").alias("b"), F.col("words").alias("words_b")), "b")
-    return keep(both.select("a", "b", "words_a", "words_b").mapInArrow(_confirmed(share), "a long, b long"), "crowd_links")
-
+    rows = keep(rows.select(F.col("shingle").alias("key"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "mark", "component"), "blocks")
+    return _links(rows.join(crowd, "mark"), share, "crowd_links")
 
-def _as_border(batch: pa.RecordBatch) -> pa.RecordBatch:
-    none = pa.nulls(len(batch), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, *batch.columns], names=["a", "b", *batch.schema.names])
 
-
-def repeated_passages(docs: DataFrame, least_words: int = 20, share: tuple[int, int] = (80, 100), recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, start, end, n_words, component, first_id, copies, kept) for each passage that another document has too.
+def repeated_passages(docs: DataFrame, least_words: int = 20, share: tuple[int, int] = (80, 100), recall: float = 0.995, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, start, end, n_words, n_repeated, component, first_id, copies, kept) for each passage that another document has too.
 
     ``start`` and ``end`` are places of words in the row's text, the end exclusive.
     A passage is a run of repeated paragraphs with at most GAP other words between
-    two, ``least_words`` long at least; at its borders up to a sentence on either
-    side may belong to the copied text too.  ``component`` is that of its longest
-    paragraph, ``first_id`` the least id with a paragraph of that component, ``copies`` the
-    number of documents with one; ``kept`` marks the passage of the least id, which
-    stays when the others are removed.
+    two and ``least_words`` words in them (``n_repeated``) at least; at its borders up to
+    a sentence on either side may belong to the copied text too.  ``component`` is
+    that of its longest paragraph, ``first_id`` the least id with a paragraph of that
+    component, ``copies`` the number of documents with one; ``kept`` marks the passage
+    of the least id, which stays when the others are removed.
+
+    Classes of a bucket of at most ``block`` are all compared; those of larger ones
+    meet by their rarest shingles, in blocks of that size.
 
     Repeats inside one document alone don't count, nor do null and empty texts and
     paragraphs of fewer than LEAST_WORDS words.  Rows with a null id are left out,
@@ -270,20 +267,17 @@ def repeated_passages(docs: DataFrame, least_words: int = 20, share: tuple[int,
     in_bands = banded.select(F.explode("bands").alias("band"), "mark")
     buckets = keep(in_bands.groupBy("band").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("band"), "buckets")
     known = F.broadcast(buckets) if buckets.count() <= BROADCAST_BUCKETS else buckets
-    members = banded.select(F.explode("bands").alias("band"), "bands", "mark", "words").join(known, "band").select("band", "bands", "mark", "words")
-    members = keep(members.groupBy("band", "mark").agg(F.first("bands").alias("bands"), F.first("words").alias("words")).select("band", "bands", "mark", "words"), "members")
-    order = ["band", "bands", "mark"]
-    schema = "a long, b long, band long, bands array<long>, mark long, words array<int>"
-    found = keep(members.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compared(share, True), schema), "links")
-    # first and last rows of the partitions: as many as there are partitions, times a constant
-    border = found.where("mark is not null").select(*order, "words").dropDuplicates(["band", "mark"]).repartition(1).sortWithinPartitions(*order)
-    links = found.where("a is not null").select("a", "b").union(border.mapInArrow(_compared(share, False), schema).select("a", "b"))
+    members = banded.select(F.explode("bands").alias("band"), "mark", "words").join(known, "band")
+    members = members.groupBy("band", "mark").agg(F.first("words").alias("words"))
+    members = keep(members.select("band", "mark", "words"), "members")
+    large = keep(members.groupBy("band").agg(F.count("*").alias("m")).where(F.col("m") > block).select("band"), "large")
+    small = members.join(large, "band", "left_anti") if large.count() else members
+    zero = F.lit(0)
+    links = _links(small.select(F.col("band").alias("key"), zero.alias("i"), zero.alias("j"), zero.alias("side"), "mark", F.col("mark").alias("component"), "words"), share, "links")
     reached = keep(components(links), "reached")
-    # classes of buckets that go on beyond the rows looked at
-    crowded = members.groupBy("band").count().where(f"count > {NEAREST + 1}").select("band")
-    crowd = keep(members.join(crowded, "band").groupBy("mark").agg(F.first("words").alias("words")), "crowd")
-    if crowd.count():
-        reached = components(links.union(_crowd_links(crowd, reached, share)))
+    if large.count():
+        crowd = keep(members.join(large, "band", "left_semi").groupBy("mark").agg(F.first("words").alias("words")), "crowd")
+        reached = components(links.union(_crowd_links(crowd, reached, share, block)))
     units = units.select("id", "start", "end", "mark").join(reached.select(F.col("node").alias("mark"), "component"), "mark", "left")
     units = keep(units.select("id", "start", "end", F.coalesce("component", "mark").alias("component")), "classed")
     spread = units.select("component", "id").distinct().groupBy("component").agg(F.count("*").alias("copies"), F.min("id").alias("first_id")).where("copies > 1")
@@ -291,11 +285,13 @@ def repeated_passages(docs: DataFrame, least_words: int = 20, share: tuple[int,
     twice = units.join(keep(spread, "spread"), "component")
     # a document's own paragraphs; no key holds more than one document's
     line = Window.partitionBy("id").orderBy("start", "end", "component")
-    begins = F.coalesce(F.col("start") - F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1)) > GAP, F.lit(True))
-    runs = twice.withColumn("run", F.sum(begins.cast("int")).over(line))
+    before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    twice = twice.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("fresh", F.greatest(F.col("end") - F.greatest("start", "before"), F.lit(0)))
+    runs = twice.withColumn("run", F.sum(((F.col("before") == 0) | (F.col("start") - F.col("before") > GAP)).cast("int")).over(line))
     longest = F.max_by(F.struct("component", "first_id", "copies"), F.struct(F.col("end") - F.col("start"), -F.col("start")))
-    passages = runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), longest.alias("of"))
-    passages = passages.where(F.col("end") - F.col("start") >= least_words)
+    passages = runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("fresh").cast("int").alias("n_repeated"), longest.alias("of"))
+    passages = passages.where(F.col("n_repeated") >= least_words)
     return passages.select(
-        F.col("id").alias(id_col), "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "of.component", "of.first_id", "of.copies", (F.col("of.first_id") == F.col("id")).alias("kept")
-    )
+        F.col("id").alias(id_col), "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "n_repeated", "of.component", "of.first_id", "of.copies",
+        (F.col("of.first_id") == F.col("id")).alias("kept"),
+    )

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__
 from logloom.llm import byte_cnn, decontamination, graph, line_dedup, near_dedup, queries, sharding, substring_dedup
+from logloom.llm import textkit as tk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, id int, n string, label int, mark long, part string"
@@ -144,18 +145,77 @@ def test_passages(spark):
     assert 1 - (1 - 0.8**hashes) ** bands >= 0.99 > 1 - (1 - 0.8**hashes) ** (bands - 1)
 
 
-def test_near_paragraphs_in_a_crowd(spark):
-    """Notices that share most of their words, among them pairs at a Jaccard similarity of about 0.82."""
-    notice = prose(40).split()
+@pytest.mark.parametrize("block", [1000, 40])
+def test_near_paragraphs_in_a_crowd(spark, block):
+    """Sentences at a Jaccard similarity of 0.5, among them pairs at 0.8: buckets are crowded, and no pair may be lost to it."""
+    rng = np.random.default_rng(block)
+    notice = rng.choice(VOCABULARY, 10).tolist()
     rows = []
-    for k in range(600):
-        own = notice[:27] + prose(13).split()
+    for k in range(900):
+        own = notice + rng.choice(VOCABULARY, 3).tolist()
         rows.append((k, " ".join(own) + "."))
-        if k % 10 == 0:  # the last three words differ
-            rows.append((1000 + k, " ".join(own[:37] + prose(3).split()) + "."))
-    got = substring_dedup.repeated_passages(frame(spark, rows)).collect()
+        if k % 3 == 0:  # the last word differs
+            rows.append((1000 + k, " ".join(own[:12] + rng.choice(VOCABULARY, 1).tolist()) + "."))
+    got = substring_dedup.repeated_passages(frame(spark, rows), least_words=8, block=block).collect()
     of = {r.doc_id: r.component for r in got}
-    assert all(1000 + k in of and of.get(k) == of[1000 + k] for k in range(0, 600, 10))
+    want = brute_components(rows, 5)
+    assert all(want[1000 + k] == want[k] for k in range(0, 900, 3))
+    assert sum(1000 + k in of and of.get(k) == of[1000 + k] for k in range(0, 900, 3)) >= 0.99 * 300
+    assert all(len({want[i] for i in of if of[i] == c}) == 1 for c in set(of.values()))
+
+
+@pytest.mark.parametrize("stops", [True, False])
+def test_passages_pasted_anywhere(spark, stops):
+    """Passages of 52 words cut out of prose at any word and pasted at any word of two texts."""
+    rng = np.random.default_rng(6)
+
+    def text(n):
+        w = rng.choice(VOCABULARY, n).tolist()
+        at = 0
+        while stops and (at := at + int(rng.integers(4, 20))) < n:
+            w[at - 1] += "."
+        return w
+
+    rows = []
+    for k in range(200):
+        passage = text(150)[40:92]
+        for copy in (0, 1000):
+            host, at = text(120), int(rng.integers(10, 100))
+            rows.append((copy + k, " ".join(host[:at] + passage + host[at:])))
+    first = {r.doc_id: r.first_id for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert sum(first.get(1000 + k) == k for k in range(200)) >= 190
+    assert all(first[i] == i % 1000 for i in first)
+
+
+def test_passages_against_brute_force(spark, sf_dir):
+    """Links, components and passages of the whole query, restated plainly."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    import pyarrow as pa
+
+    ids, units = [i for i, _ in docs], []
+    for a, _, data, offsets in tk.slices(pa.array([t for _, t in docs])):
+        words = tk.Words(data, offsets, lower=True)
+        for t, s, e in zip(*substring_dedup.paragraphs(words), strict=True):
+            w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), docs[a + t][1]))
+            units.append((ids[a + t], int(s - words.first[t]), int(e - words.first[t]), tuple(w[s - words.first[t] : e - words.first[t]])))
+    classes = sorted({u[3] for u in units})
+    of = brute_components([(i, " ".join(c)) for i, c in enumerate(classes)], 5)
+    of = {c: of[i] for i, c in enumerate(classes)}
+    holders = collections.defaultdict(set)
+    for i, _, _, c in units:
+        holders[of[c]].add(i)
+    want = set()
+    for doc in ids:
+        mine = sorted((s, e) for i, s, e, c in units if i == doc and len(holders[of[c]]) > 1)
+        run = []
+        for s, e in [*mine, (1 << 40, 0)]:
+            if run and s - max(x for _, x in run) > substring_dedup.GAP:
+                covered = {p for x, y in run for p in range(x, y)}
+                if len(covered) >= 20:
+                    want.add((doc, run[0][0], max(x for _, x in run), len(covered)))
+                run = []
+            run.append((s, e))
+    assert {(r.doc_id, r.start, r.end, r.n_repeated) for r in queries.op7_substring_dedup(spark, sf_dir).collect()} == want
 
 
 ITEMS = [(1, "If Mary has 12 apples and Mary eats 5 of them how many are left"), (2, "short one"), (3, "Tiny item here now"), (4, "The train needs 3 hours for 240 km so how fast does the train go"), (5, None), (6, "")]
