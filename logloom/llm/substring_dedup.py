@@ -1,9 +1,8 @@
 """Passages that repeat across documents, by banded MinHash of their paragraphs.
 
-A paragraph runs from one cut of the text to the first cut at least LEAST_WORDS words
-later.  Cuts are the ends of sentences and lines and, away from these, words whose
-hash is the least of those around them; all depend on the few words next to them, so
-that the same passage is cut alike wherever it is pasted.  Paragraphs of equal words
+Texts are cut where a word's hash is the least of those around it, ends of sentences
+and lines before other words.  A cut depends on the few words next to it alone, so that
+the same passage is cut alike wherever it is pasted.  Paragraphs of equal words
 are one class.  Classes that collide in a band are compared with each other by exact
 Jaccard similarity inside the task that holds their bucket, which gives out the links
 of a spanning forest only.  Classes of the largest buckets meet by their rarest
@@ -26,9 +25,9 @@ from . import textkit as tk
 from .graph import components
 
 SHINGLE = 5
-LEAST_WORDS = 8  # of a paragraph
-#: Words on either side that a word's hash must undercut to be a cut, and that must not end a sentence.
-UNDERCUT, CLEAR = 5, 6
+#: Words on either side that a cut must undercut; two cuts are further apart, but for the ends of texts.
+UNDERCUT = 5
+LEAST_WORDS = UNDERCUT + 1  # of a paragraph
 #: Classes on one side of a comparison in one task.
 BLOCK = 1000
 #: Words between repeated paragraphs that belong to one passage.
@@ -48,9 +47,8 @@ def bands(recall: float = 0.995, share: float = 0.8, rows: int = 2) -> tuple[int
 def paragraphs(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, last word + 1) of every paragraph; places count from the start of the slice.
 
-    A paragraph begins at each cut and ends at the first one LEAST_WORDS words on, so
-    short sentences overlap; the rest of a text after its last such cut is in none of
-    its own.  Whether a word is a cut depends on CLEAR words on either side at most.
+    A paragraph is what lies between two cuts, LEAST_WORDS words or more.  Whether a
+    word is a cut depends on UNDERCUT words on either side.
     """
     n = len(words.hash)
     if n == 0:
@@ -58,21 +56,20 @@ def paragraphs(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(words.counts)), words.counts)
     line_ends = np.concatenate([[0], np.cumsum(words.data == 10)])
     last = words.data[words.end - 1]
-    cut = (last == 46) | (last == 33) | (last == 63)  # after this word
-    cut[:-1] |= (owner[1:] != owner[:-1]) | (line_ends[words.start[1:]] > line_ends[words.end[:-1]])
-    cut[-1] = True
-    so_far = np.concatenate([[0], np.cumsum(cut)])
-    at = np.arange(n)
-    least = so_far[np.minimum(at + CLEAR + 1, n)] == so_far[np.maximum(at - CLEAR, 0)]
-    least[:CLEAR] = False  # as after the end of another text
+    stop = (last == 46) | (last == 33) | (last == 63)  # after this word
+    stop[:-1] |= line_ends[words.start[1:]] > line_ends[words.end[:-1]]
+    final = np.append(owner[1:] != owner[:-1], True)
+    order = (words.hash >> np.uint64(1)) | (~stop).astype(np.uint64) << np.uint64(63)
+    order[final] = 0
+    cut = np.ones(n, bool)
+    cut[:UNDERCUT] = False  # as after the end of another text
     for d in range(1, UNDERCUT + 1):
-        least[d:] &= words.hash[d:] < words.hash[:-d]
-        least[:-d] &= words.hash[:-d] <= words.hash[d:]
-    cut |= least
-    ends = np.flatnonzero(cut) + 1
+        cut[d:] &= order[d:] < order[:-d]
+        cut[:-d] &= order[:-d] <= order[d:]
+    ends = np.flatnonzero(cut | final) + 1
     start = np.concatenate([[0], ends[:-1]])
-    start = start[start + LEAST_WORDS <= words.first[owner[start] + 1]]
-    return owner[start], start, ends[np.searchsorted(ends, start + LEAST_WORDS)]
+    long = ends - start >= LEAST_WORDS
+    return owner[start[long]], start[long], ends[long]
 
 
 def _part(words: tk.Words, start: np.ndarray, end: np.ndarray) -> tk.Words:
