@@ -1,15 +1,18 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings that the labels set apart; one pass turns every
-text into counts of those terms.  Labelled examples form an inverted index in
-blocks of examples, with the largest weight of each term in each block.  A query
-visits blocks by falling upper bound and stops when no further one can hold a
-nearer example, so the neighbours are exact.  Their votes, weighted by similarity,
-give the score, and their ids the evidence.
+Terms are all words, and beginnings of words, of the labelled examples; document
+frequencies are counted over all rows.  A term's weight is its TF-IDF times its gain squared, which says how well the term
+tells the labels apart: all terms count, those that set the labels apart count more.
+The examples form an inverted index in blocks of alike examples, with the largest weight
+of each term in each block.  A query adds these up to an upper bound of each block,
+visits the best blocks first and then each one whose bound is not below the k-th best
+example found, so the neighbours are exact.  Their votes, weighted by similarity, give
+the score, and their ids the evidence.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,48 +21,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..store import keep
 from . import textkit as tk
-from .store import keep
 
-PREFIXES = (4, 5, 6)  # bytes of a word's beginning that are terms too
-BLOCK = 64
+#: Bytes of a longer word's beginning, which is a term too, so that forms of a word meet.
+BEGINNING = 5
+BLOCK = 32
+#: Blocks visited first, to find how similar the nearest examples are at least.
+BEST_BLOCKS = 4
 NEIGHBOURS = 15
 #: Weight of the share of toxic examples in a score, against the neighbours' similarities.
 PRIOR_WEIGHT = 0.5
+#: Answers that a worker remembers for copies.
+REMEMBERED = 20_000
 
 _APART = np.ones(256, bool)
 _APART[48:58] = _APART[65:91] = _APART[97:123] = _APART[128:] = False
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, text) of all terms of all texts: lower-case words and their beginnings."""
+    """(hashes, text) of all terms of all texts: lower-case words, and the beginnings of longer ones."""
     words = tk.Words(data, offsets, lower=True, apart=_APART)
     owner = np.repeat(np.arange(len(offsets) - 1), words.counts)
-    size = words.end - words.start
-    values, texts = [words.hash], [owner]
-    for n in PREFIXES:
-        long = size > n
-        start = words.start[long]
-        part = np.zeros(len(start), np.uint64)
-        for j in range(n):
-            part = tk.mix(part + tk.byte_values(data[start + j]))
-        values.append(part)
-        texts.append(owner[long])
-    return np.concatenate(values), np.concatenate(texts)
+    long = words.end - words.start > BEGINNING
+    start = words.start[long]
+    part = np.zeros(len(start), np.uint64)
+    for j in range(BEGINNING):
+        part = tk.mix(part + tk.byte_values(data[start + j]))
+    return np.concatenate([words.hash, part]), np.concatenate([owner, owner[long]])
 
 
 def _lists(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
-    order = np.argsort(owner, kind="stable")
-    ends = np.searchsorted(owner[order], np.arange(n + 1))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[order], kind))
+    """A list of values for each of n owners, which come in order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(values, kind))
 
 
-def _term_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, data, offsets in tk.slices(batch.column(1)):
+        for a, b, data, offsets in tk.slices(batch.column(2)):
             values, owner = terms(data, offsets)
-            seen = np.unique(np.stack([owner.astype(np.uint64), values]), axis=1) if len(values) else np.zeros((2, 0), np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(seen[1].view(np.int64), seen[0].astype(np.int64), b - a, pa.int64())], names=["label", "terms"])
+            order = np.lexsort([values, owner])
+            values, owner = values[order], owner[order]
+            fresh = np.ones(len(values), bool)
+            fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+            at = np.flatnonzero(fresh)
+            count = np.diff(np.append(at, len(values)))
+            some = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0), some.column(1), _lists(values[at].view(np.int64), owner[at], b - a, pa.int64()), _lists(count, owner[at], b - a, pa.int32())], names=["id", "label", "terms", "counts"]
+            )
 
 
 def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,84 +81,122 @@ def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["id", "label", "key1", "key2"])
 
 
-def _counter(vocabulary: np.ndarray):
-    """Counts of the vocabulary's terms in each text."""
-    ranked = np.sort(vocabulary)
-    hint = np.zeros(1 << 16, bool)
-    hint[(ranked & np.uint64(0xFFFF)).astype(np.int64)] = True
+class Vocabulary:
+    """Sorted hashes of terms, with a small table that rules most other words out."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.ranked = np.unique(hashes)
+        self.hint = np.zeros(1 << 20, bool)
+        self.hint[(self.ranked & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count) in order, for the terms of each text; terms are places in the vocabulary."""
+        values, owner = terms(data, offsets)
+        maybe = self.hint[(values & np.uint64((1 << 20) - 1)).astype(np.int64)]
+        values, owner = values[maybe], owner[maybe]
+        size = max(len(self.ranked), 1)
+        at = np.minimum(np.searchsorted(self.ranked, values), size - 1)
+        real = self.ranked[at] == values if len(self.ranked) else np.zeros(len(values), bool)
+        key, count = np.unique(owner[real] * size + at[real], return_counts=True)
+        return *np.divmod(key, size), count
+
+
+def _holders(vocabulary):
+    """(term, n): in how many rows of a partition each term is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary.value
+        held = np.zeros(len(known.ranked), np.int64)
         for batch in batches:
-            for a, b, data, offsets in tk.slices(batch.column(1)):
-                values, owner = terms(data, offsets)
-                maybe = hint[(values & np.uint64(0xFFFF)).astype(np.int64)]
-                values, owner = values[maybe], owner[maybe]
-                at = np.minimum(np.searchsorted(ranked, values), max(len(ranked) - 1, 0))
-                real = ranked[at] == values if len(ranked) else np.zeros(len(values), bool)
-                key, count = np.unique(owner[real] * max(len(ranked), 1) + at[real], return_counts=True)
-                text, term = np.divmod(key, max(len(ranked), 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), _lists(term, text, b - a, pa.int32()), _lists(count, text, b - a, pa.int32())], names=["id", "terms", "counts"])
+            for _, _, data, offsets in tk.slices(batch.column(0)):
+                held += np.bincount(known.counts(data, offsets)[1], minlength=len(held))
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at])], names=["term", "n"])
 
     return run
 
 
-def term_counts(docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, terms, counts) for every row, over its whole text; terms are places in the sorted vocabulary."""
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_counter(vocabulary), "id long, terms array<int>, counts array<int>")
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All places of several ranges, one range after the other."""
+    size = end - start
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def gains(owner: np.ndarray, term: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+    """For each term: rows with it times the divergence of their (smoothed) share of label 1 from that of all rows."""
+    p = float(np.clip(labels.mean(), 1e-6, 1 - 1e-6)) if len(labels) else 0.5
+    held = np.bincount(term, minlength=size)
+    share = (np.bincount(term, labels[owner], minlength=size) + p) / (held + 1)
+    return np.maximum(held * (share * np.log(share / p) + (1 - share) * np.log((1 - share) / (1 - p))), 1e-9)
 
 
 class Index:
-    """Examples by term, in blocks of BLOCK examples with each term's largest weight."""
-
-    def __init__(self, vectors: list[tuple[list[int], list[int]]], labels: np.ndarray, ids: np.ndarray, idf: np.ndarray):
-        self.idf, self.labels, self.ids = idf, labels.astype(np.float64), ids
-        self.prior = float((labels.sum() + 0.5) / (len(labels) + 5.0))
-        self.blocks = -(-len(vectors) // BLOCK)
-        self.most = np.zeros((len(idf), self.blocks))
-        self.postings: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        blank = []
-        for e, (terms_, counts) in enumerate(vectors):
-            if not terms_:
-                blank.append(e)
-            for t, w in zip(terms_, self.weights(terms_, counts), strict=True):
-                at, weight = self.postings.setdefault((t, e // BLOCK), ([], []))
-                at.append(e % BLOCK)
-                weight.append(float(w))
-                self.most[t, e // BLOCK] = max(self.most[t, e // BLOCK], w)
-        self.postings = {k: (np.array(a), np.array(w)) for k, (a, w) in self.postings.items()}
-        #: A text without any term is as far from all examples; those without any are its peers.
-        self.unmarked = float((self.labels[blank].sum() + self.prior) / (len(blank) + 1))
-        self.answers: dict[tuple, tuple[float, list[int]]] = {}
-
-    def weights(self, terms_: list[int], counts: list[int]) -> np.ndarray:
-        w = (1 + np.log(np.array(counts, np.float64))) * self.idf[terms_]
-        return w / np.linalg.norm(w)
-
-    def nearest(self, terms_: list[int], counts: list[int], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+    """Examples by term, in blocks of examples with each term's largest weight.
+
+    Rows (owner, term, count) are in order; ``term_weight`` is what one occurrence weighs.
+    """
+
+    def __init__(self, owner: np.ndarray, term: np.ndarray, count: np.ndarray, labels: np.ndarray, ids: np.ndarray, term_weight: np.ndarray, prior: float):
+        self.term_weight, self.labels, self.ids, self.prior = term_weight, labels.astype(np.float64), ids, prior
+        n = len(labels)
+        weight = (1 + np.log(count)) * term_weight[term]
+        weight = weight / np.sqrt(np.bincount(owner, weight**2, minlength=n))[owner]
+        # examples with the same heaviest term stand together, so that bounds are tight
+        heaviest = np.full(n, -1)
+        order = np.argsort(weight, kind="stable")
+        heaviest[owner[order]] = term[order]
+        place = np.empty(n, np.int64)
+        place[np.lexsort([np.arange(n), heaviest])] = np.arange(n)
+        self.blocks = max(1, -(-n // BLOCK))
+        block = place[owner] // BLOCK
+        order = np.lexsort([owner, block, term])
+        self.example, self.weight = owner[order].astype(np.int32), weight[order]
+        term, block = term[order], block[order]
+        fresh = np.ones(len(term), bool)
+        fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        at = np.flatnonzero(fresh)
+        #: An entry is a term's postings in one block.
+        self.begin = np.append(at, len(term))
+        self.block = block[at].astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, at) if len(at) else self.weight
+        self.entries = np.searchsorted(term[at], np.arange(len(term_weight) + 1))
+        self.answers: dict[bytes, tuple[float, list[int]]] = {}
+
+    def weights(self, terms_: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(counts)) * self.term_weight[terms_]
+        return w / np.sqrt((w**2).sum())
+
+    def nearest(self, terms_: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """(similarity, example) of the k examples of largest cosine above 0; of equals the first."""
         q = self.weights(terms_, counts)
-        bound = q @ self.most[terms_]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) == k and bound[block] < best[-1][0] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms_, q, strict=True):
-                found = self.postings.get((t, int(block)))
-                if found is not None:
-                    score[found[0]] += w * found[1]
-            best += [(round(float(score[i]), 12), int(block) * BLOCK + int(i)) for i in np.flatnonzero(score > 0)]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
-
-    def score(self, terms_: list[int], counts: list[int]) -> tuple[float, list[int]]:
-        if not terms_:
-            return self.unmarked, []
-        key = (tuple(terms_), tuple(counts))
+        start, end = self.entries[terms_], self.entries[terms_ + 1]
+        entry, q = _ranges(start, end), np.repeat(q, end - start)
+        block = self.block[entry]
+        bound = np.bincount(block, q * self.most[entry], minlength=self.blocks)
+        score = np.zeros(len(self.labels))
+
+        def visit(blocks: np.ndarray) -> float:
+            """Adds the postings of some blocks; the k-th best similarity so far."""
+            wanted = blocks[block]
+            start, end = self.begin[entry[wanted]], self.begin[entry[wanted] + 1]
+            at = _ranges(start, end)
+            score[:] += np.bincount(self.example[at], np.repeat(q[wanted], end - start) * self.weight[at], minlength=len(score))
+            return float(np.partition(score, -k)[-k]) if k < len(score) else 0.0
+
+        best = np.zeros(self.blocks, bool)
+        best[np.argsort(-bound, kind="stable")[:BEST_BLOCKS]] = True
+        least = visit(best)
+        least = visit(~best & (bound > 0) & (bound >= least - 1e-9))
+        found = np.flatnonzero((score > 0) & (score >= least - 1e-9))
+        similar = score[found].round(12)
+        return [(float(similar[i]), int(found[i])) for i in np.lexsort([found, -similar])[:k]]
+
+    def score(self, terms_: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
+        if not len(terms_) or not len(self.labels):
+            return self.prior, []
+        key = hashlib.blake2b(terms_.tobytes() + counts.tobytes(), digest_size=16).digest()
         if key not in self.answers:
-            if len(self.answers) > 50_000:
+            if len(self.answers) >= REMEMBERED:
                 self.answers.clear()
             near = self.nearest(terms_, counts)
             votes = sum(s * self.labels[e] for s, e in near) + PRIOR_WEIGHT * self.prior
@@ -156,61 +204,58 @@ class Index:
         return self.answers[key]
 
 
-def informative_terms(docs: DataFrame, labelled: DataFrame, most: int, least_docs: int, id_col: str, text_col: str) -> np.ndarray:
-    """At most ``most`` hashes of terms that make label 1 likelier than chance explains.
+def _scorer(vocabulary, index):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, examples = vocabulary.value, index.value
+        for batch in batches:
+            for a, b, data, offsets in tk.slices(batch.column(1)):
+                text, term, count = known.counts(data, offsets)
+                first = np.searchsorted(text, np.arange(b - a + 1))
+                found = [examples.score(term[i:j], count[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["id", "score", "evidence"]
+                )
 
-    A term's gain is the log-likelihood ratio of its own share of label 1 against
-    the share of all rows; it must exceed the logarithm of the number of terms
-    tried, so that about one term at most gets in by luck.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(labelled), "id")
-    found = rows.select("label", "text").mapInArrow(_term_sets, "label int, terms array<long>").select("label", F.explode("terms").alias("term"))
-    total = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    share = total.get(1, 0) / max(sum(total.values()), 1)
-    if not 0 < share < 1:
-        return np.zeros(0, np.uint64)
-    yes, no = F.col("yes"), F.col("no")
-    stats = found.groupBy("term").agg(F.sum("label").alias("yes"), F.sum(1 - F.col("label")).alias("no")).where(yes + no >= least_docs)
-    part = lambda n, p: F.when(n > 0, n * F.ln(n / ((yes + no) * p))).otherwise(0.0)
-    stats = keep(stats.where(yes > 0).withColumn("gain", F.round(part(yes, share) + part(no, 1 - share), 9)).select("term", (yes / (yes + no) > share).alias("up"), "gain"), "terms")
-    tried = max(stats.count(), 2)
-    chosen = stats.where(F.col("up") & (F.col("gain") >= float(np.log(tried)))).orderBy(F.desc("gain"), "term").limit(most).select("term").collect()
-    return np.sort(np.array([r["term"] for r in chosen], np.int64).view(np.uint64))
-
-
-def scored(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "toxic", sample: int = 8000, most_terms: int = 1024, least_docs: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return run
+
+
+def scored(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "toxic", sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, evidence) for every row of ``docs``.
 
     At most ``sample`` labelled rows for which ``may_learn`` holds are taken, first
     in the order of a hash of their id; of near copies among them one stays, since
-    words that only copies share would look like words of their label.  These
-    examples choose at most ``most_terms`` terms; document frequencies are counted over all rows.  ``evidence`` has the ids
-    of the nearest examples.  Null and empty texts, and texts without any of the
-    terms, score as examples without any do.  Repeated rows stay and count as often;
-    without labels every score is the prior; other columns are ignored.
+    words that only copies share would look like words of their label.  All their
+    words are terms, with the beginnings of longer ones, and every text that has one is scored by its nearest examples.
+    Document frequencies are counted over all rows.  ``evidence`` has the ids of the
+    nearest examples.  Null and empty texts, and texts without a word of the
+    examples, score the share of label 1.  Repeated rows stay and count as often;
+    without labels every score is the same; other columns are ignored.
     """
-    ship(docs.sparkSession)
+    spark = ship(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & may_learn)
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # at most `sample` ids
-    chosen = rows.select("id", "text", "label").mapInArrow(_copy_keys, "id long, label int, key1 long, key2 long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    examples = keep(rows.join(F.broadcast(chosen), "id").select("id", "label", "text"), "examples")  # at most `sample` ids
+    chosen = examples.select("id", "text", "label").mapInArrow(_copy_keys, "id long, label int, key1 long, key2 long")
     for key in ("key1", "key2"):
         first = F.min(F.struct("id", "label", "key2")).alias("r")
         chosen = chosen.groupBy("label", key).agg(first).select("r.*")
-    chosen = keep(chosen.select("id", "label"), "examples")
-    vocabulary = informative_terms(docs, chosen, most_terms, least_docs, id_col, text_col)
-    counted = keep(term_counts(docs, vocabulary, id_col, text_col), "term-counts")
-    total = counted.count()
-    held = {r["term"]: r["count"] for r in counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}  # at most `most_terms` rows
-    idf = np.array([np.log((total + 1) / (held.get(t, 0) + 1)) + 1 for t in range(len(vocabulary))])
-    rows = counted.join(F.broadcast(chosen), "id").select("id", "label", "terms", "counts").collect()
-    rows.sort(key=lambda r: (r.id, r.terms, r.counts))
-    index = Index([(r.terms, r.counts) for r in rows], np.array([r.label for r in rows], np.int64), np.array([r.id for r in rows], np.int64), idf)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [index.score(t, c) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], names=["id", "score", "evidence"])
-
-    return counted.mapInArrow(score, "id long, score double, evidence array<long>").withColumnRenamed("id", id_col)
+    learned = examples.join(F.broadcast(chosen.select("id")), "id", "left_semi").mapInArrow(_example_terms, "id long, label int, terms array<long>, counts array<int>").collect()
+    learned.sort(key=lambda r: (r.id, r.terms, r.counts))
+    ids, marks = np.array([r.id for r in learned], np.int64), np.array([r.label for r in learned], np.int64)
+    hashes = np.concatenate([np.zeros(0, np.int64), *[np.array(r.terms, np.int64) for r in learned]]).view(np.uint64)
+    owner = np.repeat(np.arange(len(learned)), np.array([len(r.terms) for r in learned], np.int64))
+    count = np.concatenate([np.zeros(0, np.int64), *[np.array(r.counts, np.int64) for r in learned]])
+    vocabulary = Vocabulary(hashes)
+    term = np.searchsorted(vocabulary.ranked, hashes)
+    shared = spark.sparkContext.broadcast(vocabulary)  # the examples' words
+    held = np.zeros(len(vocabulary.ranked))
+    counted = rows.select("text").mapInArrow(_holders(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    for r in counted.collect():  # at most a row for each word of the examples
+        held[r["term"]] = r["n"]
+    seen = examples.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()  # with near copies
+    idf = np.log((rows.count() + 1) / (held + 1)) + 1
+    index = Index(owner, term, count, marks, ids, idf * gains(owner, term, marks, len(held)) ** 2, (seen.ones + 0.5) / (seen.n + 5))
+    made = rows.mapInArrow(_scorer(shared, spark.sparkContext.broadcast(index)), "id long, score double, evidence array<long>")
+    return made.withColumnRenamed("id", id_col)

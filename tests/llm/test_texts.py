@@ -163,20 +163,39 @@ def test_byte_network_learns():
     assert ((score >= 0.5) == np.array([bool(i % 4) for i in range(180, 240)])).mean() >= 0.9
 
 
-def test_nearest_examples_are_exact():
+def dense_scores(texts, labels, chosen):
+    """Scores by dense cosine over all words of the examples, restated plainly."""
+    words = [collections.Counter(re.findall("[0-9a-z\x80-\U0010ffff]+", lower(t or ""))) for t in texts]
+    vocabulary = sorted({w for e in chosen for w in words[e]})
+    share = np.mean([labels[e] for e in chosen])
+    weight = {}
+    for w in vocabulary:
+        have = [labels[e] for e in chosen if w in words[e]]
+        s = (sum(have) + share) / (len(have) + 1)
+        gain = max(len(have) * (s * np.log(s / share) + (1 - s) * np.log((1 - s) / (1 - share))), 1e-9)
+        weight[w] = (np.log((len(texts) + 1) / (sum(w in c for c in words) + 1)) + 1) * gain**2
+    table = np.array([[(1 + np.log(c[w])) * weight[w] if w in c else 0.0 for w in vocabulary] for c in words])
+    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-300)
+    similar = (table @ table[chosen].T).round(12)
+    prior = (sum(labels[e] for e in chosen) + 0.5) / (len(chosen) + 5)
+    out = []
+    for row in similar:
+        near = sorted((-s, k) for k, s in enumerate(row) if s > 0)[: toxicity.NEIGHBOURS]
+        votes = sum(-s * labels[chosen[k]] for s, k in near) + toxicity.PRIOR_WEIGHT * prior
+        out.append(votes / (sum(-s for s, _ in near) + toxicity.PRIOR_WEIGHT))
+    return out
+
+
+def test_scores_equal_a_dense_cosine(spark):
     rng = np.random.default_rng(2)
-    rows = [sorted(rng.choice(30, rng.integers(0, 6), replace=False).tolist()) for _ in range(500)]
-    vectors = [(t, rng.integers(1, 4, len(t)).tolist()) for t in rows]
-    index = toxicity.Index(vectors, rng.integers(0, 2, 500), np.arange(500), rng.random(30) + 0.5)
-    dense = np.zeros((500, 30))
-    for e, (t, c) in enumerate(vectors):
-        if t:
-            dense[e, t] = index.weights(t, c)
-    for t, c in [v for v in vectors if v[0]][:80]:
-        cosine = dense[:, t] @ index.weights(t, c)
-        want = sorted(((round(float(s), 9), -e) for e, s in enumerate(cosine) if s > 0), reverse=True)[: toxicity.NEIGHBOURS]
-        got = index.nearest(t, c)
-        assert len(got) == len(want) and np.allclose([s for s, _ in got], [s for s, _ in want])
+    words = ["w" + str(i) for i in range(300)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 60))) + (" É!" if i % 7 == 0 else "") for i in range(400)]
+    labels = {i: int("w1" in texts[i].split() or rng.random() < 0.1) for i in range(0, 400, 2)}
+    table = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.scored(frame(spark, list(enumerate(texts))), table, F.lit(True)).collect()}
+    assert len({got[i] for i in got}) > 300  # near copies aside, all examples are in use
+    want = dense_scores(texts, labels, sorted(labels))
+    assert np.allclose([got[i] for i in range(400)], want, atol=1e-9)
 
 
 def test_toxicity(spark):
