@@ -1,13 +1,12 @@
 """Quality from a byte-level convolutional network in numpy.
 
 A document's UTF-8 bytes are covered by overlapping chunks.  In each chunk learned
-filters run over embedded bytes and are max-pooled; a second bank compares the
-chunk with itself at every lag, which is what repeated words look like, and is
-max-pooled too.  Each chunk's pooled values are then averaged and max-pooled over
-all chunks of the document and combined into one probability.
+filters run over embedded bytes and are max-pooled.  Each chunk's pooled values are then
+averaged and max-pooled over all chunks of the document and combined into one
+probability.
 
-The network is fitted on a bounded sample of labelled rows; scoring covers every
-byte of every text.
+The network is fitted on whole texts of a bounded sample of labelled rows; scoring
+covers every byte of every text.
 """
 
 from __future__ import annotations
@@ -24,10 +23,9 @@ from ..session import ship
 from . import textkit as tk
 
 CHUNK, STEP = 256, 224  # bytes in a chunk, and from one chunk's start to the next
-WIDTH, STRIDE, EMBED, FILTERS = 8, 2, 8, 16
-LAGS, SEGMENT = tuple(range(2, 43)), 64
+WIDTH, STRIDE, EMBED, FILTERS = 32, 4, 8, 16
 POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
-POOLED = FILTERS + 2
+PIECE = 512  # chunks handled at once
 
 
 @dataclass(frozen=True)
@@ -35,7 +33,7 @@ class Network:
     embed: np.ndarray  # (256, EMBED)
     filters: np.ndarray  # (WIDTH * EMBED, FILTERS)
     bias: np.ndarray  # (FILTERS,)
-    top: np.ndarray  # (2 * POOLED,): weights of means, then of maxima
+    top: np.ndarray  # (2 * FILTERS,): weights of means, then of maxima
     base: float
 
 
@@ -57,48 +55,62 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, length, first
 
 
-def repeats(block: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Share of bytes that equal the byte one lag before, at the best lag of each segment, averaged over a chunk."""
-    best = np.zeros((len(block), CHUNK // SEGMENT), np.float32)
-    real = block != 0
-    for lag in LAGS:
-        same = np.zeros(block.shape, bool)
-        same[:, lag:] = (block[:, lag:] == block[:, :-lag]) & real[:, lag:]
-        best = np.maximum(best, same.reshape(len(block), -1, SEGMENT).sum(axis=2, dtype=np.uint8))
-    return best.sum(axis=1) / np.maximum(length, SEGMENT // 2)
-
-
 def _windows(net_embed: np.ndarray, block: np.ndarray) -> np.ndarray:
     x = net_embed[block].reshape(len(block), CHUNK * EMBED)
     view = np.lib.stride_tricks.sliding_window_view(x, WIDTH * EMBED, axis=1)[:, :: STRIDE * EMBED]
     return np.ascontiguousarray(view).reshape(-1, WIDTH * EMBED)
 
 
-def pooled(net: Network, block: np.ndarray, length: np.ndarray, want_places: bool = False):
-    """(chunks, POOLED) max-pooled responses, and where each filter's maximum lies."""
+def pooled(net: Network, block: np.ndarray, want_places: bool = False):
+    """(chunks, FILTERS) max-pooled responses, and where each filter's maximum lies."""
     z = (_windows(net.embed, block) @ net.filters).reshape(len(block), POSITIONS, FILTERS)
     top = z.max(axis=1)
-    out = np.empty((len(block), POOLED), np.float32)
-    out[:, :FILTERS] = np.maximum(top + net.bias, 0)
-    out[:, FILTERS] = repeats(block, length) * 4
-    out[:, FILTERS + 1] = length / CHUNK  # maxima over few bytes are lower
+    out = np.maximum(top + net.bias, 0)
     return (out, z.argmax(axis=1), top) if want_places else out
 
 
 def combine(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(texts, 2 * POOLED): mean and maximum over each text's chunks."""
+    """(texts, 2 * FILTERS): mean and maximum over each text's chunks."""
     n = np.diff(first)[:, None]
     return np.concatenate([np.add.reduceat(values, first[:-1], axis=0) / n, np.maximum.reduceat(values, first[:-1], axis=0)], axis=1)
 
 
 def probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    block, length, first = chunks(data, offsets)
-    values = np.concatenate([pooled(net, block[i : i + 512], length[i : i + 512]) for i in range(0, len(block), 512)])
+    block, _, first = chunks(data, offsets)
+    values = np.concatenate([pooled(net, block[i : i + PIECE]) for i in range(0, len(block), PIECE)])
     return 1 / (1 + np.exp(-np.clip(combine(values, first) @ net.top + net.base, -30, 30).astype(np.float64)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 8, batch: int = 64, most_chunks: int = 6, seed: int = 11) -> Network:
-    """Adam on the log loss over whole batches; a long text shows ``most_chunks`` other chunks each round.
+def gradients(net: Network, block: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss over the texts, for each part of the network; PIECE chunks at a time."""
+    made = [pooled(net, block[i : i + PIECE], True) for i in range(0, len(block), PIECE)]
+    values, place, raw_top = (np.concatenate(part) for part in zip(*made, strict=True))
+    x = combine(values, first)
+    d = ((1 / (1 + np.exp(-np.clip(x @ net.top + net.base, -30, 30))) - y) / len(y)).astype(np.float32)
+    n = np.diff(first)
+    owner = np.repeat(np.arange(len(y)), n)
+    back = d[:, None] * net.top[None]  # (texts, 2 * FILTERS)
+    dv = (back[:, :FILTERS] / n[:, None])[owner]
+    best = values == x[:, FILTERS:][owner]
+    ties = np.add.reduceat(best, first[:-1], axis=0, dtype=np.float32)  # equal chunks share the gradient
+    dv += back[:, FILTERS:][owner] * best / ties[owner]
+    dz = dv * (raw_top + net.bias > 0)
+    g = {"top": x.T @ d, "base": np.array([d.sum()], np.float32), "bias": dz.sum(axis=0), "filters": np.zeros_like(net.filters), "embed": np.zeros_like(net.embed)}
+    for i in range(0, len(block), PIECE):
+        # only the window under each maximum has a gradient
+        some, dp, at = block[i : i + PIECE], dz[i : i + PIECE], place[i : i + PIECE] * STRIDE
+        windows = some[np.arange(len(some))[:, None, None], at[:, :, None] + np.arange(WIDTH)]  # (chunks, FILTERS, WIDTH)
+        seen = net.embed[windows].reshape(len(some), FILTERS, WIDTH * EMBED)
+        g["filters"] += np.einsum("cfk,cf->kf", seen, dp)
+        de = (dp[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
+        for e in range(EMBED):
+            g["embed"][:, e] += np.bincount(windows.ravel(), de[:, e], minlength=256)
+    g["embed"][0] = 0  # the filling
+    return g
+
+
+def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 12, batch: int = 64, seed: int = 11) -> Network:
+    """Adam on the log loss over batches of whole texts.
 
     Without both labels the network answers the share of label 1 for every text.
     """
@@ -108,12 +120,12 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 8, batch: int = 64
         "embed": rng.normal(0, 0.5, (256, EMBED)).astype(np.float32),
         "filters": rng.normal(0, 0.2, (WIDTH * EMBED, FILTERS)).astype(np.float32),
         "bias": np.zeros(FILTERS, np.float32),
-        "top": rng.normal(0, 0.1, 2 * POOLED).astype(np.float32),
+        "top": rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32),
         "base": np.zeros(1, np.float32),
     }
     share = float(y.mean()) if len(y) else 0.5
     if len(y) == 0 or share in (0.0, 1.0):
-        return Network(p["embed"], p["filters"], p["bias"], np.zeros(2 * POOLED, np.float32), float(np.log((share + 0.01) / (1.01 - share))))
+        return Network(p["embed"], p["filters"], p["bias"], np.zeros(2 * FILTERS, np.float32), float(np.log((share + 0.01) / (1.01 - share))))
     p["base"][0] = np.log(share / (1 - share))
     p["embed"][0] = 0  # the filling
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
@@ -123,39 +135,11 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 8, batch: int = 64
         order = rng.permutation(len(texts))
         for a in range(0, len(order), batch):
             rows = order[a : a + batch]
-            parts, lengths, first = [], [], [0]
-            for r in rows:
-                raw = np.frombuffer(texts[r], np.uint8)
-                block, length, _ = chunks(raw, np.array([0, len(raw)]))
-                if len(block) > most_chunks:
-                    pick = rng.choice(len(block), most_chunks, replace=False)
-                    block, length = block[pick], length[pick]
-                parts.append(block)
-                lengths.append(length)
-                first.append(first[-1] + len(block))
-            block, length, first = np.concatenate(parts), np.concatenate(lengths), np.array(first)
+            size = np.array([len(texts[r]) for r in rows])
+            data = np.frombuffer(b"".join([texts[r] for r in rows]), np.uint8)
             net = Network(p["embed"], p["filters"], p["bias"], p["top"], float(p["base"][0]))
-            values, place, raw_top = pooled(net, block, length, True)
-            x = combine(values, first)
-            out = 1 / (1 + np.exp(-np.clip(x @ p["top"] + p["base"], -30, 30)))
-            d = ((out - y[rows]) / len(rows)).astype(np.float32)
-            g = {"top": x.T @ d, "base": np.array([d.sum()], np.float32)}
-            n = np.diff(first)
-            owner = np.repeat(np.arange(len(rows)), n)
-            back = d[:, None] * p["top"][None]  # (texts, 2 * POOLED)
-            dv = (back[:, :POOLED] / n[:, None])[owner]
-            dv += back[:, POOLED:][owner] * (values == x[:, POOLED:][owner])
-            dz = dv[:, :FILTERS] * (raw_top + p["bias"] > 0)
-            g["bias"] = dz.sum(axis=0)
-            # only the window under each maximum has a gradient
-            at = place * STRIDE
-            windows = block[np.arange(len(block))[:, None, None], at[:, :, None] + np.arange(WIDTH)]  # (chunks, FILTERS, WIDTH)
-            seen = p["embed"][windows].reshape(len(block), FILTERS, WIDTH * EMBED)
-            g["filters"] = np.einsum("cfk,cf->kf", seen, dz)
-            de = (dz[:, :, None] * p["filters"].T[None]).reshape(len(block), FILTERS, WIDTH, EMBED)
-            g["embed"] = np.zeros_like(p["embed"])
-            np.add.at(g["embed"], windows, de)
-            g["embed"][0] = 0
+            block, _, first = chunks(data, np.concatenate([[0], np.cumsum(size)]))
+            g = gradients(net, block, first, y[rows])
             step += 1
             for k in p:
                 m, v = moment[k]
@@ -165,22 +149,18 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 8, batch: int = 64
     return Network(p["embed"], p["filters"], p["bias"], p["top"], float(p["base"][0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "quality", sample: int = 4000, sample_bytes: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> Network:
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "quality", sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Network:
     """A network fitted on at most ``sample`` labelled rows for which ``may_learn`` holds.
 
     Rows come in the order of a hash of their id, so that the sample does not depend
-    on how the tables are laid out.  Of a text longer than ``sample_bytes`` the fit
-    sees that many bytes from a place that the hash chooses (this bounds what the
-    driver holds to ``sample * sample_bytes``; scoring reads all bytes).
+    on how the tables are laid out.  The fit reads these rows' whole texts, on the
+    driver, in pieces of bounded size.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & may_learn)
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most `sample` rows
-    rows = rows.select("id", "label", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
-    span = F.greatest(F.length("raw") - sample_bytes, F.lit(0))
-    begin = F.pmod(F.xxhash64("id", F.lit(1)), span + 1) + 1
-    got = rows.select("id", F.substring("raw", begin.cast("int"), F.lit(sample_bytes)).alias("raw"), "label").collect()
+    got = rows.select("id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"), "label").collect()
     got.sort(key=lambda r: (r.id, bytes(r.raw)))
     return fit([bytes(r.raw) for r in got], np.array([r.label for r in got]))
 
