@@ -7,6 +7,8 @@ when a token does not fit its left neighbour, and back over positions that a
 bitfield marks as failed.  Two tokens fit when merging their joined characters
 from scratch gives the same two tokens.  Merges look at adjacent symbols only, so
 a sequence whose neighbours all fit is the one that merging the whole part gives.
+Pieces of spaces alone have equal scores below all others: they are merged last, and a
+run of them is covered by longest matches from the left.
 """
 
 from __future__ import annotations
@@ -57,10 +59,24 @@ class Pieces:
             if len(piece) > 1:  # a single character always matches
                 self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
+        #: Pieces of a run of spaces: longest matches from the left, none of which needs a second look.
+        self.longest = max(len(p) for p in self.id if not p.strip(SPACE))
+        self.runs = [self._run(n) for n in range(self.longest)]
+        last = min(s for p, s in self.score.items() if p.strip(SPACE))
+        if any(s >= last for p, s in self.score.items() if not p.strip(SPACE)) or any(self.merge(SPACE * n) != self._run(n) for n in range(4 * self.longest)):
+            raise ValueError("runs of spaces are not merged last, into longest matches")
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[str, str]] = {}
         self.former: dict[str, tuple[str, str]] = {}  # the generation before: what is still in use comes back
 
+    def _run(self, n: int) -> list[str]:
+        out = []
+        while n:
+            size = next(k for k in range(min(n, self.longest), 0, -1) if SPACE * k in self.id)
+            out.append(SPACE * size)
+            n -= size
+        return out
+
     def merge(self, text: str) -> list[str]:
         """Best-scored merge first, the leftmost of equals: the definition that ``encode`` must meet."""
         parts = list(text)
@@ -117,8 +133,7 @@ class Pieces:
         return tokens
 
     def ids(self, part: str) -> list[int]:
-        # equal scores of space runs depend on what is merged first in the whole run
-        tokens = self.merge(part) if part.startswith(SPACE * 2) else self.split(part)
+        tokens = self.split(part)
         out = [self.id.get(token) for token in tokens]
         if None not in out:
             return out
@@ -148,7 +163,22 @@ class Pieces:
                 out.append(self.text[i])
         return "".join(out).replace(SPACE, " ")
 
+    def _spaced(self, part: str) -> tuple[str, str]:
+        """A part that begins with several spaces; one of them may belong to the word after them."""
+        word = part.lstrip(SPACE)
+        run, ids, text = len(part), "", ""
+        if word:
+            ids, text = self.known.get(SPACE + word) or self._part(SPACE + word)
+            run -= len(word) + 1
+            if ids.startswith(f"{self.id[SPACE]} "):  # it does not
+                run, ids, text = run + 1, ids.partition(" ")[2], text[1:]
+        whole = [str(self.id[SPACE * self.longest])] * (run // self.longest)
+        rest = [str(self.id[t]) for t in self.runs[run % self.longest]]
+        return " ".join([*whole, *rest, *([ids] if word else [])]), " " * run + text
+
     def _part(self, part: str) -> tuple[str, str]:
+        if part.startswith(SPACE * 2):
+            return self._remember(part, self._spaced(part))
         made = self.former.get(part)
         if made is not None:
             return self._remember(part, made)
@@ -156,7 +186,7 @@ class Pieces:
             return self._piece(part)
         joined = self.joined
         cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in joined]
-        if cuts and not part.startswith(SPACE * 2):
+        if cuts:
             made = [self.known.get(p) or self._piece(p) for p in map(part.__getitem__, map(slice, [0, *cuts], [*cuts, len(part)]))]
             found = " ".join([m[0] for m in made]), "".join([m[1] for m in made])
             return self._remember(part, found)

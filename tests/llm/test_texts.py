@@ -2,6 +2,7 @@
 
 import collections
 import re
+import time
 
 import numpy as np
 import pytest
@@ -55,6 +56,19 @@ def test_pieces_equal_the_library(library, text):
     assert pieces.load(piece_model()).encode(text) == (" ".join(map(str, ids)), library.decode(ids))
 
 
+def test_pieces_of_long_runs(library):
+    made = pieces.load(piece_model())
+    for text in (" " * 100_000, "x" + " " * 100_000 + "y", " " * 99_999 + "\n" + " " * 33 + "漢", ("a" + " " * 15) * 3000, "\t" * 50_000, "ab" * 50_000, "-" * 50_000):
+        ids = library.encode(text, add_eos=True)
+        start = time.perf_counter()
+        assert made.encode(text) == (" ".join(map(str, ids)), library.decode(ids))
+        assert time.perf_counter() - start < 5
+    for n in range(1, 200):
+        for end in ("", "x", "the", "漢", "😀", "\n", "=="):
+            ids = library.encode(" " * n + end, add_eos=True)
+            assert made.encode(" " * n + end)[0] == " ".join(map(str, ids))
+
+
 def test_pieces_job(spark, library, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).select("doc_id", "text").collect()
     texts = [(r.doc_id, r.text) for r in docs] + [(-1, None), (-2, ""), (-3, "a" * 9000), (-4, " " * 50 + "x"), (-5, "twice"), (-5, "twice")]
