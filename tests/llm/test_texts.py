@@ -110,6 +110,49 @@ def test_secrets(spark, sf_dir):
     assert secrets.find(frame(spark, []), secrets.train(frame(spark, []))).count() == 0
 
 
+def test_secrets_of_very_long_texts(spark):
+    """Matches by the hundred thousand, and runs of a hundred thousand characters, in linear time."""
+    rng = np.random.default_rng(7)
+    tokens = ["".join(rng.choice(list("0123456789abcdef"), 26)) for _ in range(1000)]
+    texts = [(1, "é " + " ".join(tokens * 100)), (2, "é token=abcdef1 " * 50_000), (3, "aB3x" * 50_000), (4, ("é" * 30 + " word ") * 20_000)]
+    ratio = secrets.train(frame(spark, texts))
+    start = time.perf_counter()
+    got = secrets.find(frame(spark, texts), ratio).select("doc_id", secrets.listed(F.col("base")).alias("base"), F.size("spans").alias("n")).collect()
+    assert time.perf_counter() - start < 60
+    assert {r.doc_id: r.base for r in got} == {i: base(t) for i, t in texts}
+    assert {r.doc_id: r.n for r in got if r.doc_id != 3} == {1: 100_000, 2: 50_000, 4: 0}
+
+
+def test_added_spans_against_plain_code(spark, sf_dir):
+    """All spans, restated: runs of 20 and more that touch no base span and whose ratio is high; random strings are found, identifiers are not."""
+    rng = np.random.default_rng(8)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    ratio = secrets.train(frame(spark, docs))
+    alphabet = list(secrets.ALPHABET)
+    strange = ["".join(rng.choice(alphabet[:62], n)) for n in rng.integers(24, 44, 300)]
+    names = [w for _, t in docs for w in re.findall("[A-Za-z]{3,9}", t or "")][:4000]
+    plain = [rng.choice(["_", "-", "/", ""]).join(rng.choice(names, 6)) for _ in range(300)]
+    plain = [p for p in plain if len(p) >= 20]
+    texts = [(i, f"é {t} end") for i, t in enumerate([*strange, *plain])]
+    texts += [(-1, "x token=" + strange[0]), (-2, strange[1] + " " + "0f" * 14 + strange[2]), (-3, f"\u0001 {strange[3]}\u0001{strange[4]}"), (-4, strange[5] + "api_key='abcdef'" + strange[6]), (-5, f"token=a1 {strange[7]}")]
+    got = {r.doc_id: r.spans for r in secrets.find(frame(spark, texts), ratio).select("doc_id", secrets.listed(F.col("spans")).alias("spans")).collect()}
+
+    def spans(text):
+        found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text):
+            at = [alphabet.index(c) for c in m[0]]
+            score = sum(ratio[a * len(alphabet) + b] for a, b in zip(at[:-1], at[1:], strict=True))
+            if score >= secrets.LEAST_RATIO and not any(s < m.end() and m.start() < e for s, _, e in found if _ < 3):
+                found.append((m.start(), 3, m.end()))
+        return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(found))
+
+    assert got == {i: spans(t) for i, t in texts}
+    assert sum("random" in got[i] for i in range(300)) >= 285
+    assert sum("random" in got[300 + i] for i in range(len(plain))) <= 0.06 * len(plain)
+
+
 def rule_counts(t):
     w = WORD.findall(t)
     c = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
