@@ -8,10 +8,10 @@ throughout the passage.  Everything is in DataFrame expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import keep
+from ..store import keep
 
 WINDOW = 8
 #: Words of a window that must not be slots, and words below which an item is too short to look for.
@@ -20,14 +20,15 @@ LEAST_PLAIN, LEAST_ITEM = 3, 3
 BROADCAST_WINDOWS = 500_000
 
 UNITS = "kilometers?|kilometres?|meters?|metres?|miles?|inch(?:es)?|feet|km|cm|mm|kg|grams?|mg|lbs?|pounds?|tons?|liters?|litres?|ml|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?"
-NUMBER, UNIT, NAME = "0n", "0u", "0p"
+NUMBER, UNIT, NAME, FIRST = "0n", "0u", "0p", "0q"
 
 
 def words(text: Column) -> Column:
     """Lower-case words; a slot's word starts with its type: 0n (number), 0u (unit) or 0p (name).
 
-    A name is a capitalised word inside a sentence.  No other word has a digit, so
-    none starts like a slot.
+    A name is a capitalised word inside a sentence.  One at the start of a sentence
+    may be a name, or any word: it starts with 0q.  No other word has a digit, so
+    none starts like these.
     """
     numbers = F.regexp_replace(text, "(?<=\\d)[.,](?=\\d)", "")
     numbers = F.regexp_replace(numbers, "[$€£]\\x20?(?=\\d)", f" {UNIT} ")
@@ -35,31 +36,56 @@ def words(text: Column) -> Column:
     numbers = F.regexp_replace(numbers, f"(?<![\\p{{L}}\\d])(?!0[u])(\\d+)", f" {NUMBER}$1 ")
     marked = F.when(text.rlike("[0-9$€£]"), numbers).otherwise(text)
     marked = F.regexp_replace(marked, "(?<=[\\p{Ll}\\d,;]\\x20)(?=\\p{Lu}\\p{Ll})", NAME)
+    marked = F.regexp_replace(marked, "(?<![\\p{L}\\p{N}])(?=\\p{Lu}\\p{Ll})", FIRST)
     return F.array_remove(F.split(F.lower(marked), "[^\\p{L}\\p{N}]+"), "")
 
 
+def named(tokens: Column) -> Column:
+    """Words with each first word of a sentence settled: a name if it is one elsewhere in
+    the text, or starts several sentences and is never in lower case; else any word."""
+    bare = lambda kind: F.transform(F.filter(tokens, lambda t: F.startswith(t, F.lit(kind))), lambda t: F.substring(t, 3, 1 << 30))
+
+    def names(firsts: Column) -> Column:
+        several = F.filter(firsts, lambda t, i: (i > 0) & (t == F.get(firsts, i - 1)))
+        return F.array_union(F.array_intersect(firsts, bare(NAME)), F.array_except(several, tokens))
+
+    def settled(known: Column) -> Column:
+        word = lambda t: F.substring(t, 3, 1 << 30)
+        return F.transform(tokens, lambda t: F.when(~F.startswith(t, F.lit(FIRST)), t).when(F.array_contains(known, word(t)), F.concat(F.lit(NAME), word(t))).otherwise(word(t)))
+
+    once = F.transform(F.array(F.array_sort(bare(FIRST))), names)
+    return F.get(F.transform(once, settled), F.lit(0))
+
+
 def template(tokens: Column) -> Column:
     slot = lambda t: F.when(F.substring(t, 1, 1) == "0", F.substring(t, 1, 2)).otherwise(t)
     return F.when(F.exists(tokens, lambda t: F.substring(t, 1, 1) == "0"), F.transform(tokens, slot)).otherwise(tokens)
 
 
-def _hashes(shape: Column, size: int) -> Column:
-    """A hash of each window of ``size`` template words, in order."""
-    last = F.size(shape) - size + 1
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(shape, i, size)))).otherwise(F.array().cast("array<bigint>"))
+def _is_slot(word: Column) -> Column:
+    return F.substring(word, 1, 1) == "0"
 
 
-def _windows(rows: DataFrame, size: int, at: str) -> DataFrame:
-    return rows.select("*", F.posexplode(_hashes(F.col("shape"), size)).alias(at, "window"))
+def _windows(shape: Column, tokens: Column, size: int) -> Column:
+    """(at, size, window, slots) of each window of ``size`` words: its hash, and what fills its slots."""
+    last = F.size(shape) - size + 1
+    window = lambda i: [(i - 1).alias("at"), F.lit(size).alias("size"), F.xxhash64(F.lit(size), F.slice(shape, i, size)).alias("window")]
+    slots = lambda i: F.filter(F.slice(tokens, i, size), _is_slot).alias("slots")
+    none = F.array().cast("array<string>").alias("slots")
+    every = F.sequence(F.lit(1), last)
+    made = F.when(F.exists(tokens, _is_slot), F.transform(every, lambda i: F.struct(*window(i), slots(i)))).otherwise(F.transform(every, lambda i: F.struct(*window(i), none)))
+    return F.when(last > 0, made).otherwise(F.from_json(F.lit("[]"), "array<struct<at:int,size:int,window:bigint,slots:array<string>>>"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least_share: float = 0.3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least_share: float = 0.3, enough_words: int = 25, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(id_col, item_col, place, n_words, share, kind, slots): benchmark passages that rows of ``docs`` hold.
 
-    A passage is a run on one alignment of document and item: ``n_words`` words lie
-    in common windows, ``share`` of the item, the first at word ``place`` of the
-    document.  It counts with ``least_words`` words (or all of a shorter item) and
-    ``least_share``, if its slots are consistent; ``kind`` is ``verbatim`` when they
+    Windows on one alignment of document and item are a run, which counts if its slots
+    are consistent.  Runs of an item that stand no further apart than it is long are
+    one passage (words put in or left out shift the alignment): ``n_words`` of its words
+    lie in common windows, ``share`` of the item, the first at word ``place`` of the
+    document.  A passage counts with ``least_words`` words (or all of a shorter item)
+    and ``least_share``, or with ``enough_words``.  ``kind`` is ``verbatim`` when all slots
     are equal too, else ``template``; ``slots`` has the (item, document) pairs.
 
     Null and empty texts and items of fewer than LEAST_ITEM words match nothing; an
@@ -68,40 +94,52 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least_sh
     row together; a null id is an id.  Extra columns are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col("text")).alias("tokens")).distinct()
-    items = items.select("item", F.col("tokens").alias("item_tokens"), template(F.col("tokens")).alias("shape")).where(F.size("shape") >= LEAST_ITEM)
-    items = keep(items, "items")
+    # items of equal words are one, until the end
+    items = keep(items.where(F.size("tokens") >= LEAST_ITEM).withColumn("of", F.min("item").over(Window.partitionBy("tokens"))), "items")
+    equal = items.select(F.col("item").alias("each"), "of")
+    items = items.where(F.col("item").eqNullSafe(F.col("of"))).select("item", "tokens", F.size("tokens").alias("item_size"))
+    sizes = [r["size"] for r in items.select(F.least("item_size", F.lit(WINDOW)).alias("size")).distinct().orderBy("size").collect()]  # at most WINDOW rows
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], f"{id_col} long, {item_col} long, place int, n_words int, share double, kind string, slots array<struct<item:string,doc:string>>")
+    theirs = items.withColumn("size", F.least("item_size", F.lit(WINDOW))).select("item", "item_size", "size", "tokens", F.explode(F.expr("sequence(0, item_size - size)")).alias("item_at"))
+    theirs = theirs.withColumn("tokens", F.slice("tokens", F.col("item_at") + 1, F.col("size")))
+    # with each choice of the first words of sentences that are names: a document has settled on one
+    theirs = theirs.withColumn("firsts", F.array_distinct(F.filter("tokens", lambda t: F.startswith(t, F.lit(FIRST)))))
+    theirs = theirs.select("*", F.explode(F.expr("sequence(0, cast(pow(2, size(firsts)) as int) - 1)")).alias("choice"))
+    chosen = lambda t: F.expr("choice").bitwiseAND(F.pow(F.lit(2), F.array_position("firsts", t) - 1).cast("int")) > 0
+    settle = lambda t: F.when(~F.startswith(t, F.lit(FIRST)), t).otherwise(F.concat(F.when(chosen(t), F.lit(NAME)).otherwise(F.lit("")), F.substring(t, 3, 1 << 30)))
+    theirs = theirs.withColumn("tokens", F.transform("tokens", settle))
+    theirs = theirs.select("item", "item_size", "item_at", F.xxhash64("size", template(F.col("tokens"))).alias("window"), F.filter("tokens", _is_slot).alias("item_slots"), "size")
+    theirs = keep(theirs.where(F.col("size") - F.size("item_slots") >= F.least(F.lit(LEAST_PLAIN), F.col("size"))).drop("size").distinct(), "windows")
     rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col).cast("string")).alias("tokens"))
+    rows = rows.select("id", named(F.col("tokens")).alias("tokens"))
     rows = rows.select("id", "tokens", template(F.col("tokens")).alias("shape"))
-    sizes = [r["size"] for r in items.select(F.least(F.size("shape"), F.lit(WINDOW)).alias("size")).distinct().orderBy("size").collect()]  # at most WINDOW rows
-    found = None
-    for size in sizes:
-        plain = lambda s: F.size(F.filter(s, lambda t: F.substring(t, 1, 1) != "0"))
-        theirs = _windows(items.where(F.least(F.size("shape"), F.lit(WINDOW)) == size), size, "item_at")
-        part = F.slice("item_tokens", F.col("item_at") + 1, F.lit(size))
-        theirs = theirs.select("item", "item_at", "window", part.alias("item_part"), F.size("shape").alias("item_size")).where(plain(F.col("item_part")) >= min(LEAST_PLAIN, size))
-        theirs = keep(theirs, "windows")
-        near = F.broadcast(theirs) if theirs.count() <= BROADCAST_WINDOWS else theirs
-        hits = _windows(rows, size, "at").join(near, "window")
-        hits = hits.select("id", "item", "item_size", "at", (F.col("at") - F.col("item_at")).alias("line"), F.slice("tokens", F.col("at") + 1, F.lit(size)).alias("part"), "item_part", F.lit(size).alias("size"))
-        found = hits if found is None else found.unionByName(hits)
-    result = f"{id_col} long, {item_col} long, place int, n_words int, share double, kind string, slots array<struct<item:string,doc:string>>"
-    if found is None:
-        return docs.sparkSession.createDataFrame([], result)
-    pair = F.filter(F.arrays_zip(F.col("item_part").alias("item"), F.col("part").alias("doc")), lambda p: F.substring(p["item"], 1, 1) == "0")
-    found = keep(found.select("id", "item", "item_size", "at", "line", "size", pair.alias("pairs")).distinct(), "hits")
+    # a row has its window's hash and slots alone, whichever join moves it
+    rows = rows.select("id", F.explode(F.concat(*[_windows(F.col("shape"), F.col("tokens"), size) for size in sizes])).alias("w")).select("id", "w.at", "w.size", "w.window", "w.slots")
+    found = rows.join(F.broadcast(theirs) if theirs.count() <= broadcast_windows else theirs, "window")
+    pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
+    found = keep(found.select("id", "item", "item_size", "at", "item_at", "size", pairs.alias("pairs")).distinct(), "hits")
     # a group has at most a row for each window of its item
-    runs = found.groupBy("id", "item", "line").agg(
-        F.max("item_size").alias("item_size"), F.min("at").alias("place"), F.array_sort(F.collect_set("at")).alias("at"), F.max("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots")
+    runs = found.groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("line")).agg(
+        F.max("item_size").alias("item_size"), F.min("at").alias("place"), F.array_sort(F.collect_set("item_at")).alias("at"), F.max("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots")
     )
+    steady = F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))) == F.size("slots")
+    near = Window.partitionBy("id", "item").orderBy("place", "line")
+    apart = F.coalesce(F.col("place") - F.lag("place").over(near) > F.col("item_size"), F.lit(True))
+    runs = runs.where(steady).withColumn("passage", F.sum(apart.cast("int")).over(near))
+    passages = runs.groupBy("id", "item", "passage").agg(
+        F.max("item_size").alias("item_size"), F.min("place").alias("place"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.max("size").alias("size"),
+        F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
+    )
     covered = F.aggregate(
         F.col("at"), F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
         lambda acc, x: F.struct((acc["n"] + F.least(F.col("size"), x - acc["last"])).alias("n"), x.alias("last")), lambda acc: acc["n"],
     )
-    steady = F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))) == F.size("slots")
-    runs = runs.withColumn("n_words", covered).withColumn("share", F.col("n_words") / F.col("item_size"))
-    runs = runs.where(steady & (F.col("n_words") >= F.least(F.lit(least_words), F.col("item_size"))) & (F.col("share") >= least_share))
+    passages = passages.withColumn("n_words", covered).withColumn("share", F.col("n_words") / F.col("item_size"))
+    long = (F.col("n_words") >= F.least(F.lit(least_words), F.col("item_size"))) & (F.col("share") >= least_share) | (F.col("n_words") >= enough_words)
     kind = F.when(F.forall("slots", lambda p: p["item"] == p["doc"]), "verbatim").otherwise("template")
-    return runs.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "place", "n_words", F.round("share", 6).alias("share"), kind.alias("kind"), "slots")
+    passages = passages.where(long).join(equal, F.col("item").eqNullSafe(F.col("of")))
+    return passages.select(F.col("id").alias(id_col), F.col("each").alias(item_col), "place", "n_words", F.round("share", 6).alias("share"), kind.alias("kind"), "slots")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

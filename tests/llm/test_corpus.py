@@ -236,6 +236,29 @@ def test_leaks(spark):
     assert decontamination.leaks(frame(spark, []), items).count() == 0
 
 
+def test_changed_questions(spark):
+    """Other numbers, names (also at the start of a sentence) and units are found, by either join; other questions are not."""
+    rng = np.random.default_rng(9)
+    people = ["Tom", "Anna", "Bob", "Mary", "Igor", "Lena"]
+    asks = ["{a} has {x} pens. {a} buys {y} pens. {a} sells {z} pens. {a} wants how many?", "The shop of {a} sold {x} kg of rice and {y} kg of corn to {b}. How much is left if {b} brings {z} kg back?", "{a} runs {x} km in {y} hours and then {b} walks {z} km. How long does {b} need?"]
+
+    def asked(i, unit="km"):
+        a, b = rng.choice(people, 2, replace=False)
+        x, y, z = rng.choice(900, 3, replace=False) + 10
+        return asks[i].format(a=a, b=b, x=x, y=y, z=z).replace("km", unit)
+
+    items = [(i, asked(i)) for i in range(3)]
+    docs = [(k, f"{prose(30)}. {asked(k % 3, ['km', 'miles'][k % 2])} {prose(30)}") for k in range(90)]
+    docs += [(500 + k, prose(40) + ". " + rng.choice(people) + " has many pens and " + rng.choice(people) + " buys none.") for k in range(30)]
+    docs += [(600, "Tom has 5 pens. Anna buys 3 pens. Bob sells 2 pens. Mary wants how many?")]  # names that one name stands for
+    inserted = items[1][1].split()
+    docs += [(601, " ".join([*inserted[:9], "really", *inserted[9:]]))]
+    table = spark.createDataFrame([*items, (7, items[0][1])], "item_id long, text string")
+    for limit in (10_000, 0):
+        got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, docs), table, broadcast_windows=limit).collect()}
+        assert got == {(k, k % 3) for k in range(90)} | {(k, 7) for k in range(0, 90, 3)} | {(601, 1)}
+
+
 def test_leaks_against_brute_force(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet").select(k, "text").collect() for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
