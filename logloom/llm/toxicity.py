@@ -156,7 +156,7 @@ class Index:
         fresh[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         at = np.flatnonzero(fresh)
         #: An entry is a term's postings in one block.
-        self.begin = np.append(at, len(term))
+        self.begin = np.append(at, len(term)).astype(np.int32)
         self.block = block[at].astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, at) if len(at) else self.weight
         self.entries = np.searchsorted(term[at], np.arange(len(term_weight) + 1))
@@ -219,7 +219,7 @@ def _scorer(vocabulary, index):
     return run
 
 
-def scored(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "toxic", sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "toxic", sample: int = 2500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, evidence) for every row of ``docs``.
 
     At most ``sample`` labelled rows for which ``may_learn`` holds are taken, first
