@@ -57,12 +57,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/events.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it is a small table of fewer blocks than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.entries(events(spark, sf_dir))
+    return derived.entries(spread(events(spark, sf_dir)))
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.entries(events(spark, sf_dir), indexed=True)
+    return derived.entries(spread(events(spark, sf_dir)), indexed=True)
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +235,7 @@ def q1_analysis_summary(spark, d):
 
 @register("q2_search_logs", over_entries("SELECT idx, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS timestamp, severity, component, ns, msg, conn_id, duration_ms, node_idx FROM e WHERE severity_rank = 1 AND ns = 'shop.error' AND contains(lower(msg), 'slow') AND duration_ms >= 100 ORDER BY idx LIMIT 25"))
 def q2_search_logs(spark, d):
-    return analyses.analyse("search_logs", indexed(spark, d), severity="E", namespace="shop.error", text="slow", min_duration_ms=100, limit=25)["entries"]
+    return analyses.analyse("search_logs", entries(spark, d), severity="E", namespace="shop.error", text="slow", min_duration_ms=100, limit=25)["entries"]
 
 
 @register("q2_search_counts", over_entries("SELECT count(*) AS total, least(count(*), 50) AS returned FROM e WHERE component = 'SIGNUP'"))
@@ -251,7 +257,7 @@ def q4_slow_totals(spark, d):
 
 @register("q4_slow_shapes", over_entries(f", f AS (SELECT shape, duration_ms, row_number() OVER (PARTITION BY shape ORDER BY idx) AS r {SLOW}), p AS (SELECT shape, list_sort(list(duration_ms)) AS l FROM f WHERE r <= 1000 GROUP BY shape) SELECT e.shape, count(*) AS count, sum(duration_ms)::BIGINT AS total_ms, max(duration_ms) AS max_ms, min(duration_ms) AS min_ms, any_value(l[len(l) // 2 + 1]) AS p50, any_value(l[least(len(l) - 1, CAST(floor(0.99 * len(l)) AS BIGINT)) + 1]) AS p99, (sum(duration_ms) // count(*))::BIGINT AS avg_ms FROM e JOIN p USING (shape) WHERE slow AND duration_ms >= 0 GROUP BY e.shape"))
 def q4_slow_shapes(spark, d):
-    return analyses.analyse("slow_queries", indexed(spark, d))["shapes"]
+    return analyses.analyse("slow_queries", entries(spark, d))["shapes"]
 
 
 @register("q4_slow_namespaces", over_entries(f"SELECT ns, count(*) AS count {SLOW} AND ns IS NOT NULL GROUP BY ns"))
@@ -271,7 +277,7 @@ def q5_drivers(spark, d):
 
 @register("q6_error_groups", over_entries("SELECT msg, count(*) AS count, arg_min(severity, idx) AS severity, min(idx) AS first_idx, CAST(list_sort(list(idx))[1:3] AS VARCHAR) AS samples FROM e WHERE severity IN ('ERROR', 'WARN') GROUP BY msg"))
 def q6_error_groups(spark, d):
-    made = analyses.analyse("error_details", indexed(spark, d))["groups"]
+    made = analyses.analyse("error_details", entries(spark, d))["groups"]
     return made.withColumn("samples", F.concat(F.lit("["), F.array_join("samples", ", "), F.lit("]")))
 
 
@@ -407,7 +413,7 @@ def events_near_instants(spark, d):
 @register("nearest_samples", over_samples(", p AS (SELECT DISTINCT 'serverStatus.opcounters.query' AS path, epoch_us(ts) // 1000 AS at_ms FROM events WHERE event_type = 'error'), b AS (SELECT p.path, at_ms, arg_max(struct_pack(ts_ms := s.ts_ms, value := s.value), s.ts_ms) FILTER (s.ts_ms < at_ms) AS back, arg_min(struct_pack(ts_ms := s.ts_ms, value := s.value), s.ts_ms) FILTER (s.ts_ms >= at_ms) AS ahead FROM p JOIN s ON s.path = p.path GROUP BY 1, 2), c AS (SELECT *, CASE WHEN back IS NULL OR ahead.ts_ms - at_ms < at_ms - back.ts_ms THEN ahead ELSE back END AS x FROM b) SELECT path, at_ms, x.ts_ms AS ts_ms, x.value AS value FROM c"))
 def nearest_samples(spark, d):
     probes = events(spark, d).where("event_type = 'error'").select(F.lit("serverStatus.opcounters.query").alias("path"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
-    return correlate.nearest_samples(probes, samples(spark, d))
+    return correlate.nearest_samples(probes, samples(spark, d), tie=("seq",))
 
 
 @register("log_text_functions", over_entries("SELECT event_id AS line_no, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, CASE WHEN length(msg) > 10 THEN substr(msg, 1, 10) || '...' ELSE msg END AS short FROM e"))

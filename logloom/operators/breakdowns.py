@@ -48,6 +48,11 @@ def in_time_order(entries: DataFrame, descending: bool = False) -> DataFrame:
     return entries.orderBy(*[F.desc(c) if descending else F.asc(c) for c in names])
 
 
+def time_order(entries: DataFrame):
+    """What orders entries: idx if they have it, else time, file and line."""
+    return F.col("idx") if "idx" in entries.columns else F.struct("ts_ms", "file_idx", "line_no")
+
+
 def _slow(entries: DataFrame, min_duration_ms: int) -> DataFrame:
     return entries.where(lt.is_slow(F.col("msg")) & (F.col("duration_ms") >= min_duration_ms))
 
@@ -67,11 +72,11 @@ def slow_by_shape(entries: DataFrame, min_duration_ms: int = 0, first: int | Non
     They come from ranks inside a shape counted per duration, so no list of
     durations is ever held; with ``first`` None no window sees single entries.
     """
-    slow = _slow(entries, min_duration_ms).where("shape is not null").select("shape", F.greatest("duration_ms", F.lit(0)).alias("d"), *(["idx"] if first else []))
+    slow = _slow(entries, min_duration_ms).where("shape is not null").select("shape", F.greatest("duration_ms", F.lit(0)).alias("d"), *([time_order(entries).alias("_o")] if first else []))
     whole = slow.groupBy("shape").agg(F.count("*").alias("count"), F.sum("d").cast("long").alias("total_ms"), F.max("d").alias("max_ms"), F.min("d").alias("min_ms"))
     used = slow
     if first is not None:
-        used = slow.withColumn("_r", F.row_number().over(Window.partitionBy("shape").orderBy("idx"))).where(F.col("_r") <= first)
+        used = slow.withColumn("_r", F.row_number().over(Window.partitionBy("shape").orderBy("_o"))).where(F.col("_r") <= first)
     # distinct durations of a shape: milliseconds that occur, not entries
     each = used.groupBy("shape", "d").agg(F.count("*").alias("n"))
     run = Window.partitionBy("shape").orderBy("d")
@@ -88,12 +93,13 @@ def slow_by_namespace(entries: DataFrame, min_duration_ms: int = 0) -> DataFrame
 def error_groups(entries: DataFrame, which: str = "BOTH") -> DataFrame:
     """(msg, count, severity of the first entry, its idx, the first three idx) of the selected entries.
 
-    Entries without a message form one group with a blank message.
+    Entries without an idx are named by (ts_ms, file_idx, line_no).  Entries without a
+    message form one group with a blank message.
     """
-    chosen = entries.where(error_selection(which)).select(F.coalesce("msg", F.lit("")).alias("msg"), "severity", "idx")
-    counts = chosen.groupBy("msg").agg(F.count("*").alias("count"), F.min_by("severity", "idx").alias("severity"), F.min("idx").alias("first_idx"))
-    firsts = chosen.withColumn("_r", F.row_number().over(Window.partitionBy("msg").orderBy("idx"))).where("_r <= 3")
-    samples = firsts.groupBy("msg").agg(F.array_sort(F.collect_list("idx")).alias("samples"))
+    chosen = entries.where(error_selection(which)).select(F.coalesce("msg", F.lit("")).alias("msg"), "severity", time_order(entries).alias("_o"))
+    counts = chosen.groupBy("msg").agg(F.count("*").alias("count"), F.min_by("severity", "_o").alias("severity"), F.min("_o").alias("first_idx"))
+    firsts = chosen.withColumn("_r", F.row_number().over(Window.partitionBy("msg").orderBy("_o"))).where("_r <= 3")
+    samples = firsts.groupBy("msg").agg(F.array_sort(F.collect_list("_o")).alias("samples"))
     return counts.join(samples, "msg")
 
 

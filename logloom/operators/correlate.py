@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +28,18 @@ def events_near(entries: DataFrame, instants: DataFrame, half_ms: int = HALF_WID
     return events_in_windows(entries, windows, max(2 * half_ms, 1)).drop("start_ms", "end_ms")
 
 
-def nearest_samples(probes: DataFrame, samples: DataFrame, at: str = "at_ms", span_ms: int = 3_600_000) -> DataFrame:
+def nearest_samples(probes: DataFrame, samples: DataFrame, at: str = "at_ms", span_ms: int = 3_600_000, tie: Sequence[str] = ("value",)) -> DataFrame:
     """(path, at, ts_ms, value): for each probe (path, at) the sample of its path closest in time.
 
     Of two as close the earlier counts; before the first and after the last sample
     those; among samples of equal time the first ahead and the last behind.  Probes
-    of a path without samples have nulls.
+    of a path without samples have nulls.  ``tie`` orders samples of equal time.
 
     A path is cut into spans of time, so that a long series is many groups; each
     span knows the last sample before it and the first after it.
     """
     key = lambda t: F.floor(F.col(t) / span_ms)
-    s = samples.select("path", "ts_ms", "value").withColumn("_span", key("ts_ms")).withColumn("_seq", F.monotonically_increasing_id())
+    s = samples.select("path", "ts_ms", "value", F.struct(*tie).alias("_seq")).withColumn("_span", key("ts_ms"))
     p = probes.select("path", F.col(at)).distinct().withColumn("_span", key(at))
     point = F.struct("ts_ms", "_seq", "value")
     edges = s.groupBy("path", "_span").agg(F.min(point).alias("first"), F.max(point).alias("last"))
@@ -49,7 +51,7 @@ def nearest_samples(probes: DataFrame, samples: DataFrame, at: str = "at_ms", sp
     )
     null = F.lit(None)
     both = s.select("path", "_span", F.col("ts_ms").alias("t"), F.lit(1).alias("kind"), "_seq", point.alias("sample")).union(
-        p.select("path", "_span", F.col(at).alias("t"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("_seq"), null.cast(s.select(point.alias("x")).schema["x"].dataType).alias("sample"))
+        p.select("path", "_span", F.col(at).alias("t"), F.lit(0).alias("kind"), null.cast(s.schema["_seq"].dataType).alias("_seq"), null.cast(s.select(point.alias("x")).schema["x"].dataType).alias("sample"))
     )
     w = Window.partitionBy("path", "_span").orderBy("t", "kind", "_seq")
     both = both.withColumn("back", F.last("sample", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("ahead", F.first("sample", True).over(w.rowsBetween(1, Window.unboundedFollowing)))

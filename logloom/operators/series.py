@@ -159,12 +159,11 @@ def lttb_places(values: np.ndarray, most: int) -> np.ndarray:
     if n <= most or most < 3:
         return np.arange(n)
     width = (n - 2) / (most - 2)
-    total = np.concatenate([[0.0], np.cumsum(values)])
     kept = [0]
     for i in range(most - 2):
         start, end = int(i * width) + 1, min(int((i + 1) * width) + 1, n - 1)
         far = min(int((i + 2) * width) + 1, n - 1)
-        x, y = (end + far) / 2, (total[far + 1] - total[end]) / (far - end + 1)
+        x, y = (end + far) / 2, values[end : far + 1].mean()
         at = np.arange(start, end)
         a = kept[-1]
         if len(at) == 0:
@@ -178,7 +177,8 @@ def lttb_places(values: np.ndarray, most: int) -> np.ndarray:
 def lttb(samples: DataFrame, most: int = 2000, tie: Sequence[str] = ()) -> DataFrame:
     """(path, ts_ms, value, place) of at most ``most`` points of each path.
 
-    One path's samples are one group: the algorithm is sequential within a series.
+    Samples without a value are left out.  One path's samples are one group: the
+    algorithm is sequential within a series.
     """
     ship(samples.sparkSession)
 
@@ -187,7 +187,7 @@ def lttb(samples: DataFrame, most: int = 2000, tie: Sequence[str] = ()) -> DataF
         at = lttb_places(pdf["value"].to_numpy(float), most)
         return pdf.iloc[at][["path", "ts_ms", "value"]].assign(place=at)
 
-    return samples.select("path", "ts_ms", "value", *tie).groupBy("path").applyInPandas(run, "path string, ts_ms long, value double, place long")
+    return samples.where("value is not null").select("path", "ts_ms", "value", *tie).groupBy("path").applyInPandas(run, "path string, ts_ms long, value double, place long")
 
 
 def banded(defined: DataFrame) -> DataFrame:

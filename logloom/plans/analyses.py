@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 from ..functions import logtext as lt
 from ..operators import breakdowns as b
 from ..operators.filters import EntryFilter
+from ..sources.logs import places
+from ..store import keep
 
 
-def analysis_summary(entries: DataFrame) -> dict[str, DataFrame]:
-    """``totals``, and ``top``: 30 labels of each dimension, 20 of shapes."""
+ORDER = ("ts_ms", "file_idx", "line_no")
+
+
+def analysis_summary(entries: DataFrame, nodes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``totals``; ``top``: 30 labels of each dimension, 20 of shapes; ``nodes``: the node table, or the nodes seen."""
     counts = b.breakdowns(entries)
-    return {"totals": b.summary(entries), "top": b.top(counts, 30, "dimension").where("dimension <> 'shape'").union(b.top(counts.where("dimension = 'shape'"), 20, "dimension"))}
+    listed = entries.select("node_idx").distinct() if nodes is None else nodes
+    return {"totals": b.summary(entries), "nodes": listed.orderBy("node_idx"), "top": b.top(counts, 30, "dimension").where("dimension <> 'shape'").union(b.top(counts.where("dimension = 'shape'"), 20, "dimension"))}
 
 
 def search_logs(
@@ -25,7 +31,12 @@ def search_logs(
     """``entries``: the first matches in time order, at most 200; ``counts``: how many there are and how many came."""
     found = EntryFilter(severity=severity, components=[component] if component is not None else (), ns=namespace, text=text, time_start_ms=time_start_ms, time_end_ms=time_end_ms, min_duration_ms=min_duration_ms).apply(entries)
     limit = max(0, min(limit, 200))
-    shown = found.orderBy("idx").limit(limit).select("idx", lt.iso_text(F.col("ts_ms")).alias("timestamp"), "severity", "component", "ns", lt.shortened(F.col("msg"), 300).alias("msg"), "conn_id", "duration_ms", "node_idx")
+    if "idx" in entries.columns:
+        first = found.orderBy("idx").limit(limit)
+    else:  # only what is shown gets its place in the order
+        first = keep(found.orderBy(*ORDER).limit(limit), "found")
+        first = first.join(F.broadcast(places(entries, first)), [*ORDER])
+    shown = first.orderBy("idx").select("idx", lt.iso_text(F.col("ts_ms")).alias("timestamp"), "severity", "component", "ns", lt.shortened(F.col("msg"), 300).alias("msg"), "conn_id", "duration_ms", "node_idx")
     counts = found.agg(F.count("*").alias("total")).withColumn("returned", F.least("total", F.lit(limit).cast("long")))
     return {"entries": shown, "counts": counts}
 
@@ -56,6 +67,12 @@ def connections(entries: DataFrame, limit: int = 20) -> dict[str, DataFrame]:
 
 def error_details(entries: DataFrame, limit: int = 20, severity: str = "BOTH") -> dict[str, DataFrame]:
     groups = b.top(b.error_groups(entries, severity), max(0, min(limit, 100)), label="msg")
+    if "idx" not in entries.columns:  # only what is shown gets its place in the order
+        groups = keep(groups, "groups")
+        samples = groups.select("msg", F.explode("samples").alias("_o")).select("msg", "_o.*")
+        found = samples.join(F.broadcast(places(entries, samples)), [*ORDER])
+        found = found.groupBy("msg").agg(F.min("idx").alias("first_idx"), F.array_sort(F.collect_list("idx")).alias("samples"))
+        groups = groups.drop("first_idx", "samples").join(found, "msg").orderBy(F.desc("count"), "msg")
     return {"groups": b.shorten(groups, 200), "totals": b.error_totals(entries)}
 
 

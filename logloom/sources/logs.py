@@ -88,13 +88,36 @@ def with_index(entries: DataFrame, order: Sequence[str] = ("ts_ms", "file_idx",
     return ranked.join(F.broadcast(offsets), "_part").withColumn("idx", F.col("_off") + F.col("_row")).drop("_at", "_part", "_row", "_off")
 
 
+def places(entries: DataFrame, wanted: DataFrame, order: Sequence[str] = ("ts_ms", "file_idx", "line_no")) -> DataFrame:
+    """(order..., idx) of the few rows ``wanted``: how many entries stand before each, in one pass over ``entries``.
+
+    ``wanted`` is what a report shows, some hundred rows; they come to the driver.
+    """
+    keys = [tuple(r) for r in wanted.select(*order).distinct().orderBy(*order).collect()]
+    types = {f.name: f.dataType for f in wanted.schema.fields}
+    schema = ", ".join(f"{c} {types[c].simpleString()}" for c in order)
+    if not keys:
+        return entries.sparkSession.createDataFrame([], f"{schema}, idx long")
+    listed = F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, k, strict=True)]) for k in keys])
+    own = F.struct(*order)
+    upto = entries.groupBy(F.size(F.filter(listed, lambda k: k <= own)).alias("n")).count().collect()  # a row for each key and one
+    before = [sum(r["count"] for r in upto if r["n"] <= i) for i in range(len(keys))]
+    return entries.sparkSession.createDataFrame([(*k, n) for k, n in zip(keys, before, strict=True)], f"{schema}, idx long")
+
+
 def sampled(entries: DataFrame, ratio: float, by: Sequence[str] = ("file_path",), order: Sequence[str] = ("line_no",)) -> DataFrame:
-    """Every k-th valid line of each file, the first included, k being 1 / ratio rounded."""
+    """Every k-th valid line of each file, the first included, k being 1 / ratio rounded.
+
+    A line's number in its file is its place among all lines less that of the file's first.
+    """
     if ratio >= 1:
         return entries
     k = max(1, int(1 / ratio + 0.5))
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return entries.withColumn("_nth", nth).where((F.col("_nth") - 1) % k == 0).drop("_nth")
+    own = "idx" in entries.columns
+    placed = with_index(entries.withColumnRenamed("idx", "_idx") if own else entries, [*by, *order])
+    firsts = placed.groupBy(*by).agg(F.min("idx").alias("_from"))  # one row a file
+    chosen = placed.join(firsts, [*by]).where((F.col("idx") - F.col("_from")) % k == 0).drop("idx", "_from")
+    return (chosen.withColumnRenamed("_idx", "idx") if own else chosen).select(*entries.columns)
 
 
 def parse_health(fields: DataFrame, by: str = "file_path") -> DataFrame:

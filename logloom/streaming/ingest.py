@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import breakdowns as b
 from ..operators.nodes import KEY, stacked
 from ..sources.logs import parse_log_lines
+from ..store import keep
 
 
 def stream_lines(spark: SparkSession, folder: str, **options: str) -> DataFrame:
@@ -29,17 +30,25 @@ def live_breakdowns(entries: DataFrame, name: str, checkpoint: str) -> Streaming
     return counts.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
 
 
-def restack(old: DataFrame, new: DataFrame, window_ms: int = 1) -> DataFrame:
+def restack(old: DataFrame, new: DataFrame, window_ms: int = 1, old_stacked: DataFrame | None = None) -> DataFrame:
     """Stacked entries of ``old`` and ``new`` together, redoing only what new entries touch.
 
-    Old entries whose key and time are near no new one pass through as they are.
-    For use inside ``foreachBatch`` with unstacked tables on both sides.
+    Both tables are unstacked; ``old_stacked`` is what an earlier call gave for ``old``.
+    Entries of equal key no more than ``window_ms`` apart form islands, which no leader
+    reaches across: those without a new entry pass through as they were stacked, the
+    others are stacked again as a whole.  For use inside ``foreachBatch``.
     """
-    key = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"_{k}") for k in KEY]
-    bucket = 1000 * max(window_ms, 1)
-    touched = new.where("ts_ms >= 0").select(*key, F.explode(F.array(*[F.floor(F.col("ts_ms") / bucket) + d for d in (-1, 0, 1)])).alias("_bucket")).distinct()
-    names = [f"_{k}" for k in KEY]
-    tagged = old.select("*", *key, F.floor(F.col("ts_ms") / bucket).alias("_bucket"))
-    near = tagged.join(touched, [*names, "_bucket"], "left_semi").drop(*names, "_bucket")
-    far = tagged.join(touched, [*names, "_bucket"], "left_anti").drop(*names, "_bucket")
-    return stacked(far, window_ms).unionByName(stacked(near.unionByName(new, allowMissingColumns=True), window_ms))
+    place = ["file_idx", "line_no"]
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    names = [F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in KEY]
+    line = Window.partitionBy(*names).orderBy("ts_ms", *place)
+    starts = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(line) > window_ms, F.lit(True)).cast("int")
+    both = both.withColumn("_starts", starts).withColumn("_island", F.sum("_starts").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    touched = F.max("_new").over(Window.partitionBy(*names, "_island"))
+    both = keep(both.withColumn("_redo", (F.col("ts_ms") >= 0) & (touched == 1)), "islands")
+    redo = stacked(both.where("_redo").drop("_new", "_starts", "_island", "_redo"), window_ms)
+    rest = both.where("not _redo")
+    if old_stacked is None:
+        return redo.unionByName(stacked(rest.drop("_new", "_starts", "_island", "_redo"), window_ms))
+    untimed = stacked(rest.where("_new = 1").drop("_new", "_starts", "_island", "_redo"), window_ms)
+    return redo.unionByName(untimed).unionByName(old_stacked.join(rest.where("_new = 0").select(*place), place, "left_semi").select(*redo.columns))

@@ -18,15 +18,17 @@ def line(i, s="I", c="COMMAND", ctx="main", msg="m", ts=None, **attr):
     return json.dumps({"t": {"$date": ts or f"2024-01-15T10:00:{i:02d}.000+00:00"}, "s": s, "c": c, "id": 1, "ctx": ctx, "msg": msg, "attr": attr})
 
 
-EIGHT = [
-    line(0, "E", "COMMAND", "conn100", "authentication failed", ns="db.users", durationMillis=50),
-    line(1, "E", "NETWORK", "conn200", "connection reset", ns="db.orders", durationMillis=10),
-    line(2, "W", "REPL", "conn100", "replication lag detected"),
-    line(3, "W", "COMMAND", "main", "deprecated command used"),
-    line(4, "I", "COMMAND", "conn100", "Slow query", ns="db.users", durationMillis=500, command={"$db": "x", "findandmodify": "u", "filter": {"x": 1}}),
-    line(5, "I", "REPL", "conn200", "sync source changed"),
-    line(6, "I", "NETWORK", "conn200", "connection accepted", ns="db.orders", client={"driver": {"name": "d", "version": "1"}}),
-    line(7, "D", "COMMAND", "main", "debug trace info"),
+TEN = [
+    line(0, "I", "STORAGE", "main", "opening data files"),
+    line(1, "I", "NETWORK", "conn31", "client arrived", ns="crm.people", client={"driver": {"name": "d", "version": "1"}}),
+    line(2, "W", "INDEX", "conn31", "no usable index", ns="crm.people", durationMillis=120),
+    line(3, "I", "QUERY", "conn31", "Slow query", ns="crm.people", durationMillis=800, command={"$db": "crm", "find": "people", "filter": {"age": 3}}),
+    line(4, "E", "QUERY", "conn58", "cursor lost", ns="crm.invoices", durationMillis=7),
+    line(5, "I", "QUERY", "conn58", "Slow query", ns="crm.invoices", durationMillis=200, command={"$db": "crm", "findandmodify": "invoices", "query": {"age": 9}}),
+    line(6, "E", "QUERY", "conn58", "cursor lost", ns="crm.invoices", durationMillis=9),
+    line(7, "F", "STORAGE", "main", "disk is full"),
+    line(8, "D", "NETWORK", "conn77", "bytes on the wire"),
+    line(9, "W", "INDEX", "conn31", "no usable index", ns="crm.people", durationMillis=130),
 ]
 
 
@@ -36,8 +38,8 @@ def entries_of(spark, rows):
 
 
 @pytest.fixture(scope="module")
-def eight(spark):
-    return entries_of(spark, EIGHT).cache()
+def ten(spark):
+    return entries_of(spark, TEN).cache()
 
 
 def rows(df, *order):
@@ -76,47 +78,52 @@ def test_query_shapes(text, shape):
     assert query_shape(text) == shape
 
 
-def test_parse(eight, spark):
-    got = {r.idx: r for r in eight.collect()}
-    assert (got[4].severity, got[4].ns, got[4].duration_ms, got[4].conn_id, got[4].op_type, got[4].shape) == ("INFO", "db.users", 500, 100, "findAndModify", "{x:{int}}")
-    assert got[2].duration_ms == -1 and got[6].driver == "d 1" and got[3].conn_id == 0
-    bad = spark.createDataFrame([("f", EIGHT[0]), ("f", "NOT VALID JSON"), ("f", '{"msg":"no time"}'), ("f", EIGHT[1]), ("g", "x")], "file_path string, raw string")
+def test_parse(ten, spark):
+    got = {r.idx: r for r in ten.collect()}
+    assert (got[3].severity, got[3].ns, got[3].duration_ms, got[3].conn_id, got[3].op_type, got[3].shape) == ("INFO", "crm.people", 800, 31, "find", "{age:{int}}")
+    assert got[0].duration_ms == -1 and got[1].driver == "d 1" and got[7].conn_id == 0 and (got[5].op_type, got[5].shape) == ("findAndModify", "{age:{int}}")
+    bad = spark.createDataFrame([("f", TEN[0]), ("f", "NOT VALID JSON"), ("f", '{"msg":"no time"}'), ("f", TEN[1]), ("g", "x")], "file_path string, raw string")
     assert rows(logs.parse_health(logs.with_fields(bad))) == [("f", 2, 2, False), ("g", 0, 1, True)]
     assert entries_of(spark, []).count() == 0
 
 
-def test_summary_and_breakdowns(eight):
-    s = b.summary(eight).first()
-    assert (s.total, s.with_ns, s.slow, s.latest_ms - s.earliest_ms) == (8, 4, 1, 7000)
-    counts = {(r.dimension, r.label): r["count"] for r in b.breakdowns(eight).collect()}
-    assert counts["severity", "INFO"] == 3 and counts["component", "COMMAND"] == 4 and counts["ns", "db.users"] == 2 and ("op_type", None) not in counts
-    assert rows(b.by_connection(eight)) == [(100, 3), (200, 3)] and b.distinct_connections(eight).first()[0] == 2
+def test_summary_and_breakdowns(ten):
+    s = b.summary(ten).first()
+    assert (s.total, s.with_ns, s.slow, s.latest_ms - s.earliest_ms) == (10, 7, 2, 9000)
+    counts = {(r.dimension, r.label): r["count"] for r in b.breakdowns(ten).collect()}
+    assert counts["severity", "INFO"] == 4 and counts["component", "QUERY"] == 4 and counts["ns", "crm.people"] == 4 and ("op_type", None) not in counts
+    assert rows(b.by_connection(ten)) == [(31, 4), (58, 3), (77, 1)] and b.distinct_connections(ten).first()[0] == 3
 
 
-def test_analyses(eight):
-    idx = lambda **p: [r.idx for r in analyses.analyse("search_logs", eight, **p)["entries"].collect()]
-    assert idx(severity="ERROR") == [0, 1] and idx(component="COMMAND") == [0, 3, 4, 7] and idx(text="Slow") == [4] and idx(limit=2) == [0, 1] and idx(component="") == []
-    slow = analyses.analyse("slow_queries", eight)
-    assert tuple(slow["totals"].first()) == (1, 500, 500, 500)
+@pytest.mark.parametrize("indexed", [True, False])
+def test_analyses(ten, indexed):
+    e = ten if indexed else ten.drop("idx")
+    idx = lambda **p: [r.idx for r in analyses.analyse("search_logs", e, **p)["entries"].collect()]
+    assert idx(severity="ERROR") == [4, 6] and idx(component="QUERY") == [3, 4, 5, 6] and idx(text="Slow") == [3, 5] and idx(limit=2) == [0, 1] and idx(component="") == []
+    slow = analyses.analyse("slow_queries", e)
+    assert tuple(slow["totals"].first()) == (2, 1000, 800, 500)
     r = slow["shapes"].first()
-    assert (r["shape"], r["count"], r.min_ms, r.max_ms, r.p50, r.p99) == ("{x:{int}}", 1, 500, 500, 500, 500)
-    errors = analyses.analyse("error_details", eight)
-    assert errors["groups"].count() == 4 and tuple(errors["totals"].first()) == (2, 2)
-    assert analyses.analyse("entry_detail", eight, entry_index=3)["entry"].first().raw == EIGHT[3]
-    for error, call in ((IndexError, ("entry_detail", eight, 999999)), (KeyError, ("nope", eight, None)), (ValueError, ("search_logs", None, None))):
+    assert (r["shape"], r["count"], r.min_ms, r.max_ms, r.p50, r.p99) == ("{age:{int}}", 2, 200, 800, 800, 800)
+    errors = analyses.analyse("error_details", e)
+    assert [(r.msg, r["count"], r.severity, r.first_idx, r.samples) for r in errors["groups"].collect()] == [("cursor lost", 2, "ERROR", 4, [4, 6]), ("no usable index", 2, "WARN", 2, [2, 9])]
+    assert tuple(errors["totals"].first()) == (2, 2)
+    assert analyses.analyse("error_details", e, severity="nothing")["groups"].count() == 0
+    assert [r.node_idx for r in analyses.analyse("analysis_summary", e)["nodes"].collect()] == [0]
+    assert analyses.analyse("entry_detail", ten, entry_index=3)["entry"].first().raw == TEN[3]
+    for error, call in ((IndexError, ("entry_detail", ten, 999999)), (KeyError, ("nope", ten, None)), (ValueError, ("search_logs", None, None))):
         with pytest.raises(error):
             analyses.analyse(call[0], call[1], **({"entry_index": call[2]} if call[2] else {}))
-    assert json.loads(analyses.as_json(slow)["totals"].first()[0])["count"] == 1
+    assert json.loads(analyses.as_json(slow)["totals"].first()[0])["count"] == 2
 
 
-def test_filters(eight):
-    got = lambda **f: sorted(r.idx for r in EntryFilter(**f).apply(eight).collect())
-    assert got(severity="error", components=["COMMAND"]) == [0] and got(slow_only=True) == [4] and got(conn_ids=[200]) == [1, 5, 6] and got(nodes=[1]) == []
-    assert got(drivers=["zz"], driver="d 1") == [6] and got(min_duration_ms=0) == [0, 1, 4] and got() == list(range(8)) and not EntryFilter().active
-    index = filters.trigram_index(eight)
-    for q in ("CONNECTION", "lag det", "zzz", "re"):
-        assert sorted(r.idx for r in filters.indexed_search(eight, index, q).collect()) == got(text=q)
-    assert sorted(r.idx for r in eight.where(filters.error_selection("BOTH")).collect()) == [0, 1, 2, 3] and eight.where(filters.error_selection("x")).count() == 0
+def test_filters(ten):
+    got = lambda **f: sorted(r.idx for r in EntryFilter(**f).apply(ten).collect())
+    assert got(severity="error", components=["QUERY"]) == [4, 6] and got(slow_only=True) == [3, 5] and got(conn_ids=[58]) == [4, 5, 6] and got(nodes=[1]) == []
+    assert got(drivers=["zz"], driver="d 1") == [1] and got(min_duration_ms=0) == [2, 3, 4, 5, 6, 9] and got() == list(range(10)) and not EntryFilter().active
+    index = filters.trigram_index(ten)
+    for q in ("CURSOR", "ble ind", "zzz", "re"):
+        assert sorted(r.idx for r in filters.indexed_search(ten, index, q).collect()) == got(text=q)
+    assert sorted(r.idx for r in ten.where(filters.error_selection("BOTH")).collect()) == [2, 4, 6, 9] and ten.where(filters.error_selection("x")).count() == 0
 
 
 def test_percentiles_follow_sorted_ranks(spark):
@@ -158,6 +165,18 @@ def test_stacking(spark):
     assert {(r.file_idx, tuple(r.node_set)) for r in half.collect()} == {(0, (0, 1)), (2, (2,))}
 
 
+def test_restacking_equals_stacking_the_whole(spark):
+    schema = "ts_ms long, file_idx int, node_idx int, node_set array<int>, line_no long, msg string, severity string, component string, ns string, raw string"
+    make = lambda items: spark.createDataFrame([(t, f, f, [f], n, k, "INFO", "C", None, f"raw{n}") for t, f, n, k in items], schema)
+    cases = [([(999, 0, 1, "m"), (1000, 1, 2, "m")], [(2500, 0, 3, "m")], 1), ([((i * 37) % 900, i % 3, i, "km"[i % 2]) for i in range(150)], [((i * 53) % 900, i % 3, 1000 + i, "km"[i % 2]) for i in range(12)], 3)]
+    cases.append(([(5, 0, 1, "m"), (-1, 0, 2, "m")], [(-1, 1, 3, "m")], 1))
+    told = lambda df: sorted((r.file_idx, r.line_no, tuple(r.node_set)) for r in df.collect())
+    for old, new, window in cases:
+        want = told(nodes.stacked(make(old + new), window))
+        assert told(ingest.restack(make(old), make(new), window)) == want
+        assert told(ingest.restack(make(old), make(new), window, nodes.stacked(make(old), window))) == want
+
+
 def test_identity_and_merge(spark):
     detail = json.dumps({"t": {"$date": "x"}, "msg": "Process Details", "attr": {"host": "myhost.example.com:27017"}})
     rows_ = [("/a/x.log", 1, '{"host":"mongod"}'), ("/a/x.log", 2, detail), ("/tmp/test_node_alpha.log", 1, "{}"), ("/b/y.log", 1, '{"host":"other"}')]
@@ -174,24 +193,24 @@ def test_identity_and_merge(spark):
 def test_files_append_and_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "a.log").write_text("\n".join(EIGHT[:4]) + "\n")
+    (folder / "a.log").write_text("\n".join(TEN[:5]) + "\n")
     first = logs.load_cluster(spark, [str(folder / "a.log")])
-    (tmp_path / "b.log").write_text("\n".join(EIGHT[4:]) + "\nbroken\n")
+    (tmp_path / "b.log").write_text("\n".join(TEN[5:]) + "\nbroken\n")
     both = logs.append_entries(logs.with_index(first), logs.load_cluster(spark, [str(tmp_path / "b.log")]))
-    assert [(r.idx, r.file_idx) for r in both.orderBy("idx").collect()] == [(i, i // 4) for i in range(8)]
+    assert [(r.idx, r.file_idx) for r in both.orderBy("idx").collect()] == [(i, i // 5) for i in range(10)]
     for _ in range(2):
         ingest.ingest(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-        (folder / "b.log").write_text("\n".join(EIGHT[4:]) + "\n")
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 8
+        (folder / "b.log").write_text("\n".join(TEN[5:]) + "\n")
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
     live = ingest.live_breakdowns(logs.parse_log_lines(ingest.stream_lines(spark, str(folder))), "live", str(tmp_path / "ck2"))
     live.awaitTermination()
-    assert spark.table("live").where("dimension = 'severity' and label = 'INFO'").first()["count"] == 3
+    assert spark.table("live").where("dimension = 'severity' and label = 'INFO'").first()["count"] == 4
 
 
-def test_sampling_and_flatten(eight, spark):
-    assert logs.sampled(eight, 0.5).count() == 4 and logs.sampled(eight, 1).count() == 8
-    flat = {(r.idx, r.path): (r.type, r.value) for r in flatten_json(eight).collect()}
-    assert flat[4, "attr.durationMillis"] == ("int", "500") and flat[4, "attr.command.filter.x"] == ("int", "1")
+def test_sampling_and_flatten(ten, spark):
+    assert sorted(r.idx for r in logs.sampled(ten, 0.5).collect()) == [0, 2, 4, 6, 8] and logs.sampled(ten, 1).count() == 10
+    flat = {(r.idx, r.path): (r.type, r.value) for r in flatten_json(ten).collect()}
+    assert flat[3, "attr.durationMillis"] == ("int", "800") and flat[3, "attr.command.filter.age"] == ("int", "3")
     paths = spark.createDataFrame([("attr.locks.Global.acquireCount.r",), ("attr.locks.Global",), ("attr.zz",)], "path string")
     labels = {r.path: r.label for r in with_key_labels(paths, key_rules(spark)).collect()}
     assert labels["attr.locks.Global"] == "Global lock" and labels["attr.locks.Global.acquireCount.r"] == "IS - Intent Shared" and labels["attr.zz"] == "zz"

@@ -60,6 +60,13 @@ def test_lttb(spark):
     assert series.lttb(make(spark, list(range(300))), 20).count() == 20
 
 
+def test_lttb_after_a_missing_value(spark):
+    values = [float((i * 37) % 101) for i in range(1000)]
+    gap = spark.createDataFrame([("p", i, v) for i, v in enumerate(values)] + [("p", 10_000, None), ("q", 1, None)], "path string, ts_ms long, value double")
+    gap = gap.union(spark.createDataFrame([("p", -1, None)], gap.schema))
+    assert [r.ts_ms for r in series.lttb(gap, 100).orderBy("ts_ms").collect()] == list(series.lttb_places(np.array(values), 100))
+
+
 def test_nearest(spark):
     s = make(spark, [1, 2, 3, 4, 5], [1000, 2000, 3000, 4000, 5000])
     at = [3000, 2200, 2800, 2500, 0, 9000]
