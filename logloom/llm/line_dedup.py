@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep
+from ..store import keep
 
 WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -35,21 +35,24 @@ def without_boilerplate(docs: DataFrame, ratio: float = 0.1, least_pages: int =
     """``docs`` with boilerplate lines taken out of ``text_col``, and (n_lines, n_dropped) added.
 
     A null text stays null, with no lines.  Texts may become empty; no row is
-    dropped.  A site has at most (mean distinct lines of a page) / ratio such lines,
-    so their list by site is short whatever the number of pages.  Spark joins that
-    list by broadcast only below its own size threshold.
+    dropped.  Other columns stay whatever their names; columns ``n_lines`` and
+    ``n_dropped`` of the input are replaced.  A site has at most (mean distinct lines
+    of a page) / ratio such lines, so their list by site is short whatever the number
+    of pages.  Spark joins that list by broadcast only below its own size threshold.
     """
     bad = boilerplate(docs, ratio, least_pages, host_col, text_col).groupBy("host").agg(F.collect_set("line_hash").alias("bad"))
-    bad = keep(bad.select(F.col("host").alias("_host"), F.col("bad").alias("_bad")), "boilerplate")
-    lines = F.split(text_col, "\n")
-    joined = docs.withColumn("_host", _host(host_col)).join(bad, "_host", "left")
-    clean = F.filter(lines, lambda line: ~F.array_contains("_bad", F.xxhash64(line)))
-    text = F.when(F.col("_bad").isNull(), F.col(text_col)).otherwise(F.array_join(clean, "\n"))
-    joined = joined.withColumn("_clean", text)
-    n_lines = F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long"))
-    kept_lines = F.when(F.col("_bad").isNull(), n_lines).otherwise(F.coalesce(F.size(clean).cast("long"), F.lit(0)))
-    kept = [F.col("_clean").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*kept, F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.when(F.col(text_col).isNull(), 0).otherwise(n_lines - kept_lines).cast("long").alias("n_dropped"))
+    bad = keep(bad.select("host", "bad"), "boilerplate")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _host(host_col).alias("host"), F.col(text_col).alias("text"))
+    rows = rows.join(bad, "host", "left").withColumn("lines", F.split("text", "\n"))
+    # of the site's list, what the page has
+    here = F.array_intersect(F.transform("lines", lambda line: F.xxhash64(line)), "bad")
+    rows = rows.withColumn("here", F.when(F.col("bad").isNotNull() & F.col("text").isNotNull(), here))
+    rows = rows.withColumn("clean", F.when(F.size("here") > 0, F.filter("lines", lambda line: ~F.array_contains("here", F.xxhash64(line)))))
+    text = F.when(F.col("clean").isNull(), F.col("text")).otherwise(F.array_join("clean", "\n"))
+    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines")), F.lit(0)).cast("long")
+    n_kept = F.when(F.col("clean").isNull(), n_lines).otherwise(F.size("clean").cast("long"))
+    kept = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return rows.select(*kept, n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
 
 
 ORACLE = """

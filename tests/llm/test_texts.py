@@ -339,3 +339,8 @@ def test_lines(spark):
         want[i, "\n".join(x for x in t.split("\n") if not drop or x != menu) if t is not None else None, t.split("\n").count(menu) if drop else 0] += 1
     assert got == want
     assert line_dedup.without_boilerplate(df.limit(0)).count() == 0
+    clash = ["row", "bad", "here", "clean", "lines", "_bad", "_host", "_clean", "line_hash"]
+    odd = df.select("*", *[F.lit(c).alias(c) for c in clash], F.lit("x").alias("n_lines"), F.lit("x").alias("n_dropped"), F.lit(2).alias("a.b"))
+    made = line_dedup.without_boilerplate(odd)
+    assert made.columns == [*df.columns, *clash, "a.b", "n_lines", "n_dropped"]
+    assert collections.Counter((r.doc_id, r.text, r.n_dropped) for r in made.collect()) == want and {tuple(r[c] for c in clash) for r in made.collect()} == {tuple(clash)}
