@@ -261,7 +261,7 @@ def repeated_passages(docs: DataFrame, least_words: int = 20, share: tuple[int,
     units = keep(source.mapInArrow(_units, "id long, start int, end int, mark long, words array<int>"), "paragraphs")
     banded = units.select("mark", "words").mapInArrow(_banded(count, rows), "mark long, words array<int>, bands array<long>")
     # buckets of two classes or more; a row for each key and task is all that is shuffled
-    in_bands = banded.select(F.explode("bands").alias("band"), F.col("mark").cast("int").alias("mark"))  # low bits tell classes of a bucket apart
+    in_bands = banded.select(F.explode("bands").alias("band"), F.col("mark").bitwiseAND(0x7FFFFFFF).cast("int").alias("mark"))  # low bits tell classes of a bucket apart
     buckets = keep(in_bands.groupBy("band").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("band"), "buckets")
     known = F.broadcast(buckets) if buckets.count() <= BROADCAST_BUCKETS else buckets
     members = banded.select(F.explode("bands").alias("band"), "mark", "words").join(known, "band")
