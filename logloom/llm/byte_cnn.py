@@ -25,7 +25,7 @@ from . import textkit as tk
 CHUNK, STEP = 256, 224  # bytes in a chunk, and from one chunk's start to the next
 WIDTH, STRIDE, EMBED, FILTERS = 32, 4, 8, 16
 POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
-PIECE = 512  # chunks handled at once
+PIECE = 128  # chunks handled at once
 
 
 @dataclass(frozen=True)
@@ -171,6 +171,7 @@ def _scorer(net: Network):
             ids = batch.column(0)
             for a, b, data, offsets in tk.slices(batch.column(1), 1_000_000):
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(probabilities(net, data, offsets), pa.float64())], names=["id", "score"])
+        tk.give_back()
 
     return run
 
@@ -194,5 +195,6 @@ def good_documents(docs: DataFrame, net: Network, least: float, text_col: str =
         for batch in batches:
             for a, b, data, offsets in tk.slices(batch.column(place), 1_000_000):
                 yield batch.slice(a, b - a).filter(pa.array(probabilities(net, data, offsets) >= least))
+        tk.give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -27,8 +27,8 @@ from ..session import ship
 from . import textkit as tk
 
 SPACE = "▁"
-#: Parts and pairs that a worker remembers, and the longest part it remembers.
-REMEMBERED, LONGEST = 300_000, 48
+#: Pairs and (twice over) parts that a worker remembers, and the longest part it remembers.
+PAIRS, REMEMBERED, LONGEST = 200_000, 150_000, 48
 NORMAL, CONTROL, BYTE = 1, 3, 6
 
 
@@ -92,7 +92,7 @@ class Pieces:
         return parts
 
     def _fit(self, left: str, right: str) -> bool:
-        if len(self.fits) >= REMEMBERED:
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
         found = self.fits[left, right] = self.merge(left + right) == ([left, right] if left else [right])
         return found
@@ -231,6 +231,7 @@ def _encoder(path: str):
                     [ids.slice(a, b - a).cast(pa.int64()), pa.array([m[0].count(" ") + 1 for m in made], pa.int64()), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.string())],
                     names=["id", "n_tokens", "ids", "decoded"],
                 )
+        tk.give_back()
 
     return run
 

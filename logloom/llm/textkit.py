@@ -121,6 +121,11 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         row = to
 
 
+def give_back() -> None:
+    """Return a task's freed buffers to the system; the worker stays for later tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+
+
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): the shingles of each text in order, with repeats.
 
