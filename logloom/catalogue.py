@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import logtext as lt
-from .functions.flatten import key_rules, with_key_labels
+from .functions.flatten import data_rows, key_rules, with_key_labels
 from .operators import breakdowns as b
 from .operators import correlate, filters, nodes, series
 from .operators.filters import EntryFilter
@@ -158,10 +158,30 @@ def log_paths(spark, d):
     return logs.classify_paths(events(spark, d).select(path.alias("path")))
 
 
-@register("attribute_profile", over_entries("SELECT 't.$date' AS path, 'string' AS type, count(*) AS count, count(DISTINCT ts_ms) AS distinct_values FROM e UNION ALL SELECT 'attr.durationMillis', 'int', count(*), count(DISTINCT duration_ms) FROM e WHERE duration_ms >= 0 UNION ALL SELECT 'attr.command.filter.tags[]', t, count(*), 1 FROM e, (VALUES ('int'), ('string')) v(t) WHERE event_id % 4 = 3 GROUP BY t UNION ALL SELECT 'attr.ns', 'string', count(*), count(DISTINCT ns) FROM e WHERE ns IS NOT NULL"))
+#: Every leaf of the derived log lines.
+LEAVES = """
+SELECT 't.$date' AS path, 'string' AS type, count(*) AS count, count(DISTINCT ts_ms) AS distinct_values FROM e
+UNION ALL SELECT 's', 'string', count(*), count(DISTINCT severity) FROM e
+UNION ALL SELECT 'c', 'string', count(*), count(DISTINCT component) FROM e
+UNION ALL SELECT 'id', 'int', count(*), 1 FROM e
+UNION ALL SELECT 'ctx', 'string', count(*), count(DISTINCT CASE WHEN event_id % 7 = 0 THEN 'main' ELSE 'conn' || user_id END) FROM events
+UNION ALL SELECT 'msg', 'string', count(*), count(DISTINCT msg) FROM e
+UNION ALL SELECT 'attr.ns', 'string', count(*), count(DISTINCT ns) FROM e WHERE ns IS NOT NULL
+UNION ALL SELECT 'attr.durationMillis', 'int', count(*), count(DISTINCT duration_ms) FROM e WHERE duration_ms >= 0
+UNION ALL SELECT 'attr.command.$db', 'string', count(*), 1 FROM e
+UNION ALL SELECT 'attr.command.' || CASE op_type WHEN 'hello' THEN 'isMaster' WHEN 'findAndModify' THEN 'findandmodify' ELSE op_type END, 'string', count(*), 1 FROM e GROUP BY op_type
+UNION ALL SELECT 'attr.command.filter.a', 'int', count(*), 1 FROM e WHERE event_id % 4 = 0
+UNION ALL SELECT p, t, count(*), 1 FROM e, (VALUES ('user.$gt', 'int'), ('b', 'string')) v(k, t), LATERAL (SELECT 'attr.command.filter.' || k AS p) WHERE event_id % 4 = 1 GROUP BY p, t
+UNION ALL SELECT 'attr.command.filter._id.$oid', 'string', count(*), 1 FROM e WHERE event_id % 4 = 2
+UNION ALL SELECT 'attr.command.filter.tags[]', t, count(*), 1 FROM e, (VALUES ('int'), ('string')) v(t) WHERE event_id % 4 = 3 GROUP BY t
+UNION ALL SELECT 'attr.client.driver.name', 'string', count(*), count(DISTINCT user_id % 3) FROM events
+UNION ALL SELECT 'attr.client.driver.version', 'string', count(*), count(DISTINCT user_id % 2) FROM events
+"""
+
+
+@register("attribute_profile", over_entries(LEAVES))
 def attribute_profile(spark, d):
-    wanted = ["t.$date", "attr.durationMillis", "attr.command.filter.tags[]", "attr.ns"]
-    return b.attribute_profile(derived.log_lines(events(spark, d)), id_col="line_no").where(F.col("path").isin(wanted))
+    return b.attribute_profile(derived.log_lines(events(spark, d)), id_col="line_no")
 
 
 @register("attribute_labels")
@@ -363,18 +383,25 @@ def metric_last_values(spark, d):
     return series.last_values(samples(spark, d), ["seq"])
 
 
-@register("metric_exceedances", over_samples(", a AS (SELECT *, value > threshold AS above, lag(value > threshold) OVER (PARTITION BY path ORDER BY ts_ms) AS was FROM s WHERE path = 'serverStatus.connections.current'), g AS (SELECT *, sum(CASE WHEN above AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (ORDER BY ts_ms) AS run FROM a) SELECT path, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, count(*) AS samples, max(value) AS peak FROM g WHERE above GROUP BY path, run"))
+#: Values on the scale of thresholds: gauges, and rates of the other series.
+MEASURED = ", v AS (SELECT path, ts_ms, seq, value, threshold FROM s WHERE NOT cum UNION ALL SELECT path, ts_ms, seq, value, threshold FROM r WHERE path NOT IN (SELECT path FROM s WHERE NOT cum))"
+#: The members of each dashboard that are present.
+MEMBERS = ", d(dashboard, path) AS (VALUES " + ", ".join(f"('{r['dashboard']}', '{r['path'] or ''}')" for r in data_rows("dashboards.csv")) + "), m AS (SELECT DISTINCT dashboard, s.path FROM d JOIN s ON s.path = d.path OR d.path = '' AND s.path LIKE 'systemMetrics.disks.%')"
+
+
+@register("metric_exceedances", over_samples(MEASURED + ", a AS (SELECT *, value > threshold AS above, lag(value > threshold) OVER w AS was FROM v WHERE threshold IS NOT NULL WINDOW w AS (PARTITION BY path ORDER BY ts_ms, seq)), g AS (SELECT *, sum(CASE WHEN above AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY ts_ms, seq) AS run FROM a) SELECT path, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, count(*) AS samples, round(max(value), 6) AS peak FROM g WHERE above GROUP BY path, run", True))
 def metric_exceedances(spark, d):
-    s = series.with_definitions(samples(spark, d), series.definitions(spark)).where("path = 'serverStatus.connections.current'")
-    return series.exceedances(s)
+    defs = series.definitions(spark)
+    s = series.with_definitions(series.measured(samples(spark, d), defs, ["seq"]), defs)
+    return series.exceedances(s, ["seq"]).withColumn("peak", F.round("peak", 6))
 
 
-@register("dashboard_members")
+@register("dashboard_members", over_samples(MEMBERS + " SELECT dashboard, path FROM m"))
 def dashboard_members(spark, d):
     return series.dashboard_paths(samples(spark, d), series.dashboards(spark))
 
 
-@register("dashboard_anomalies")
+@register("dashboard_anomalies", over_samples(MEASURED + MEMBERS + ", l AS (SELECT path, arg_max(value, row(ts_ms, seq)) > any_value(threshold) AS above FROM v GROUP BY path) SELECT dashboard, coalesce(bool_or(above), false) AS anomaly FROM m LEFT JOIN l USING (path) GROUP BY dashboard", True))
 def dashboard_anomalies(spark, d):
     return series.anomalies(samples(spark, d), series.definitions(spark), series.dashboards(spark), ["seq"])
 

@@ -85,9 +85,14 @@ def rates(samples: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
 
     A falling value and equal times give 0.  ``tie`` orders samples of equal time.
     """
+    return _steps(samples, tie).select("path", "ts_ms", "value")
+
+
+def _steps(samples: DataFrame, tie: Sequence[str]) -> DataFrame:
+    """Rates with the columns of ``tie``, so that what follows can put equal times in order."""
     w = _in_order(tie)
     dv, dt = F.col("value") - F.lag("value").over(w), F.col("ts_ms") - F.lag("ts_ms").over(w)
-    steps = samples.select("path", "ts_ms", F.when((dt > 0) & (dv > 0), dv * 1000.0 / dt).when(dt.isNotNull(), F.lit(0.0)).alias("value"))
+    steps = samples.select("path", "ts_ms", *tie, F.when((dt > 0) & (dv > 0), dv * 1000.0 / dt).when(dt.isNotNull(), F.lit(0.0)).alias("value"))
     return steps.where("value is not null")
 
 
@@ -96,6 +101,13 @@ def cumulative_rates(samples: DataFrame, defs: DataFrame, tie: Sequence[str] = (
     return rates(with_definitions(samples, defs).where("is_cumulative").select(*samples.columns), tie)
 
 
+def measured(samples: DataFrame, defs: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
+    """(path, ts_ms, *tie, value) on the scale of thresholds: gauges as they are, rates of cumulative series."""
+    defined = with_definitions(samples, defs)
+    columns = ["path", "ts_ms", *tie, "value"]
+    return defined.where("not is_cumulative").select(*columns).union(_steps(defined.where("is_cumulative").select(*columns), tie))
+
+
 def ordered(samples: DataFrame) -> DataFrame:
     """Samples of each path in time order, of equal times by file, chunk and place."""
     return samples.withColumn("seq", F.row_number().over(Window.partitionBy("path").orderBy("ts_ms", "source", "chunk_no", "sample_no")) - 1)
@@ -133,16 +145,13 @@ def last_values(samples: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
 
 def anomalies(samples: DataFrame, defs: DataFrame, boards: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
     """(dashboard, anomaly): whether a member's last value, or last rate if cumulative, is above its threshold."""
-    defined = with_definitions(samples, defs)
-    gauges = last_values(defined.where("not is_cumulative"), tie)
-    last = gauges.union(last_values(rates(defined.where("is_cumulative").select(*samples.columns), tie)))
-    judged = with_definitions(last, defs).withColumn("above", F.coalesce(F.col("last_value") > F.col("threshold"), F.lit(False)))
+    judged = with_definitions(last_values(measured(samples, defs, tie), tie), defs).withColumn("above", F.coalesce(F.col("last_value") > F.col("threshold"), F.lit(False)))
     return dashboard_paths(samples, boards).join(judged.select("path", "above"), "path", "left").groupBy("dashboard").agg(F.coalesce(F.bool_or("above"), F.lit(False)).alias("anomaly"))
 
 
-def exceedances(defined: DataFrame) -> DataFrame:
-    """(path, start_ms, end_ms, samples, peak): runs of samples above the threshold."""
-    w = _in_order()
+def exceedances(defined: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
+    """(path, start_ms, end_ms, samples, peak): runs of samples above the threshold; ``tie`` orders samples of equal time."""
+    w = _in_order(tie)
     above = F.coalesce(F.col("value") > F.col("threshold"), F.lit(False))
     marked = defined.where("threshold is not null").withColumn("above", above)
     marked = marked.withColumn("_starts", (F.col("above") & ~F.coalesce(F.lag("above").over(w), F.lit(False))).cast("int"))
