@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_cnn, decontamination, line_dedup, near_dedup, pieces, quality_rules, secrets, sharding, substring_dedup, toxicity
+from . import byte_cnn, collocations, decontamination, hard_negatives, language_id, line_dedup, near_dedup, pieces, quality_rules, secrets, sharding, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.score(docs, net).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("vec_id")
+    shifted = F.when(v % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", shifted), v % 100 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = language_id.identified(docs, language_id.train(docs, remainder(5) != 0))
+    return made.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_sharding": op2_sharding,
@@ -88,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_collocations": op12_collocations,
+    "op13_language_id": op13_language_id,
 }
 
-ORACLE: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_collocations": collocations.ORACLE}
