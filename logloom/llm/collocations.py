@@ -7,9 +7,9 @@ count is an entry, a prefix's count is the total of its stripe, its best extensi
 the right the largest entry, and the same entries keyed by their last words are the
 extensions to the left.
 
-Prefixes of no, one, and two to four words are counted in three passes.  A phrase can
-be frequent only if its words, and then its pairs, are; a bitmap of fixed size says
-which may be (a superset, so that no phrase is lost).
+Prefixes of no, one, two, and three or four words are counted in four passes.  A
+phrase can be frequent only if its words, then its pairs, then its triples are; a
+bitmap of fixed size says which may be (a superset, so that no phrase is lost).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 from zlib import crc32
 
@@ -32,7 +33,7 @@ from . import textkit as tk
 
 #: Bytes of text whose stripes are counted at once.
 SLICE = 6_000_000
-#: Bits of the maps of frequent words and pairs.
+#: Bits of the maps of frequent words, pairs and triples.
 BITS = 1 << 25
 #: A stripe of a prefix with more than one of so many words is split into PARTS by next word; the empty prefix always.
 HOT = 1000
@@ -73,11 +74,11 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[list[bytes], int]]:
             at, before = end, (before + own)[1 - LONGEST :]
 
 
-def _bit(lang: bytes, first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
-    """Places in the map of words, or of pairs, given the crc32 of each word."""
+def _bit(lang: bytes, first: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Places in the map of words, pairs or triples, given the crc32 of each word."""
     x = first.astype(np.uint64) | np.uint64(crc32(lang) << 32)
-    if second is not None:
-        x = tk.mix(x) + second.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for word in more:
+        x = tk.mix(x) + word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (tk.mix(x) % np.uint64(BITS)).astype(np.int64)
 
 
@@ -118,7 +119,7 @@ class _Counted:
 
 
 def _stripes(level: int, frequent, hot: frozenset[tuple[str, bytes]]):
-    """Task: stripes of the empty prefix (level 0), of words (1), of two words or more (2)."""
+    """Task: stripes of the empty prefix (level 0), of words (1), pairs (2), triples and what is longer (3)."""
 
     def one(lang: bytes, toks: list[bytes], before: int) -> Iterator[pa.RecordBatch]:
         place = defaultdict(count().__next__)
@@ -140,26 +141,29 @@ def _stripes(level: int, frequent, hot: frozenset[tuple[str, bytes]]):
             at = at[at + 1 >= before]
             following = ids[at + 1]
             made.add(1, words, ids[at], np.where(good[following], following, 0), np.fromiter(((name, w) in hot for w in words), bool, len(words)))
-        if level == 2:
-            inner = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            good = np.zeros(len(ids), bool)  # the pair from here on may be frequent
-            good[inner[_held(frequent.value, _bit(lang, crc[ids[inner]], crc[ids[inner + 1]]))]] = True
+        if level > 1:
+            n = len(ids) - level + 1
+            inner = np.flatnonzero(np.logical_and.reduce([ids[j : j + n] > 0 for j in range(level)])) if n > 0 else np.zeros(0, np.int64)
+            good = np.zeros(len(ids), bool)  # the pair or triple from here on may be frequent
+            good[inner[_held(frequent.value, _bit(lang, *[crc[ids[inner + j]] for j in range(level)]))]] = True
             at = np.flatnonzero(good)
-            pairs, prefix = np.unique(ids[at] * len(words) + ids[at + 1], return_inverse=True)
-            prefixes = [words[p // len(words)] + b" " + words[p % len(words)] for p in pairs.tolist()]
-            split = np.fromiter(((name, p) in hot for p in prefixes), bool, len(prefixes))
+            prefixes, prefix = words, ids[at]
+            split = None
             for size in range(2, LONGEST):
+                # prefixes of so many words, numbered anew
+                longer, prefix = np.unique(prefix * len(words) + ids[at + size - 1], return_inverse=True)
+                prefixes = [prefixes[p // len(words)] + b" " + words[p % len(words)] for p in longer.tolist()]
+                split = np.fromiter(((name, p) in hot for p in prefixes), bool, len(prefixes)) if size == 2 else split[longer // len(words)]
+                if size < level:
+                    continue
                 inside = at + size < len(ids)
                 at, prefix = at[inside], prefix[inside]
-                following = np.where(good[at + size - 1], ids[at + size], 0)
+                following = np.where(good[at + size - level + 1], ids[at + size], 0)
                 counted = at + size >= before
                 made.add(size, prefixes, prefix[counted], following[counted], split)
-                on = following > 0
-                at = at[on]
-                longer, prefix_on = np.unique(prefix[on] * len(words) + following[on], return_inverse=True)
-                split = split[longer // len(words)]
-                prefixes = [prefixes[p // len(words)] + b" " + words[p % len(words)] for p in longer.tolist()]
-                prefix = prefix_on
+                if level == 2:
+                    break
+                at, prefix = at[following > 0], prefix[following > 0]
         if made.out:
             yield made.rows()
 
@@ -188,25 +192,21 @@ def _merged(raw: DataFrame, least: int) -> DataFrame:
     return stripes.filter((F.col("total") >= least) | (F.col("part") > 0) | (F.col("words") == 0)).withColumn("prefix", F.col("prefix").cast("string"))
 
 
-def _bitmap(phrases: DataFrame, pairs: bool) -> np.ndarray:
-    """The places of (lang, first, second) in a map of BITS bits."""
+def _bitmap(phrases: DataFrame, size: int) -> np.ndarray:
+    """The places of phrases of ``size`` words (lang, phrase) in a map of BITS bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(BITS // 64, np.uint64)
         for batch in batches:
-            lang, first, second = (c.to_pylist() for c in batch.columns)
-            known = {k: k.encode() for k in set(lang)}
-            a = np.fromiter((crc32(w.encode()) for w in first), np.int64, len(first))
-            b = np.fromiter((crc32(w.encode()) for w in second), np.int64, len(second))
-            which = np.array(lang, object)
-            for k, code in known.items():
-                own = which == k
-                at = _bit(code, a[own], b[own]) if pairs else _bit(code, b[own])
+            for lang in batch.column(0).unique():
+                own = batch.column(1).filter(pc.equal(batch.column(0), lang)).to_pylist()
+                crc = np.array([[crc32(w) for w in p.encode().split(b" ")] for p in own], np.int64)
+                at = _bit(lang.as_py().encode(), *crc.T)
                 np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
         at = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], names=["at", "bits"])
 
-    found = phrases.select("lang", "prefix", "word").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = phrases.select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(BITS // 64, np.uint64)
     out[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
@@ -220,19 +220,18 @@ def _counted(docs: DataFrame, least: int) -> DataFrame:
     """All stripes that hold a phrase of ``least`` or a part of one, written."""
     spark: SparkSession = ship(docs.sparkSession)
     kept, frequent, hot = [], None, frozenset()
-    for level in range(3):
+    for level in range(4):
         stripes = keep(_merged(docs.mapInArrow(_stripes(level, frequent, hot), _STRIPE), least), f"stripes-{level}")
         kept.append(stripes)
-        if level == 2:
+        if level == 3:
             break
-        found = _entries(stripes)
+        found = _entries(stripes).select("lang", F.concat_ws(" ", F.nullif("prefix", F.lit("")), "word").alias("phrase"), "n")
         if level == 0:
             total = stripes.agg(F.sum("total")).first()[0] or 0
-        # no more than HOT words or pairs
-        most = found.filter(F.col("n") * HOT > total).select("lang", "prefix", "word").collect()
-        hot = frozenset((r["lang"], (r["word"] if level == 0 else f"{r['prefix']} {r['word']}").encode()) for r in most)
-        frequent = spark.sparkContext.broadcast(_bitmap(found, pairs=level == 1))
-    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+        if level < 2:  # no more than HOT words or pairs; a longer prefix is split as its pair is
+            hot = frozenset((r["lang"], r["phrase"].encode()) for r in found.filter(F.col("n") * HOT > total).select("lang", "phrase").collect())
+        frequent = spark.sparkContext.broadcast(_bitmap(found, level + 1))
+    return reduce(DataFrame.unionByName, kept)
 
 
 def _score(a: str, n: str, left: str, right: str) -> Column:

@@ -136,7 +136,7 @@ def test_long_texts_in_parts(monkeypatch):
     class Every:
         value = np.full(collocations.BITS // 64, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
-    for level in range(3):
+    for level in range(4):
         whole = stripes(1 << 20, level, Every)
         assert whole == stripes(500, level, Every) == stripes(37, level, Every)
         if level:
