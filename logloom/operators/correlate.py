@@ -7,25 +7,47 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import valued
+
 HALF_WIDTH_MS = 30_000
+#: Cells of a window, about, and the power of two of the shortest cell in milliseconds.
+CELLS = 64
+LEAST_CELL = 15
+
+
+def window_cells(windows: DataFrame) -> DataFrame:
+    """``windows`` with _span and _cell: each in the cells it touches, all of one length, a power of two.
+
+    A cell is at least a 64th of its window long, so that a window of any length is
+    65 rows at most, and a long one still many groups.
+    """
+    length = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1)) / CELLS
+    span = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(length)), F.lit(LEAST_CELL))).cast("long")
+    sized = windows.where("start_ms <= end_ms").withColumn("_span", span)
+    return sized.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start_ms") / F.col("_span")), F.floor(F.col("end_ms") / F.col("_span")))))
 
 
-def events_in_windows(entries: DataFrame, windows: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+def events_in_windows(entries: DataFrame, windows: DataFrame) -> DataFrame:
     """Entries joined with every closed window [start_ms, end_ms] that holds their time.
 
-    Both sides meet on a time bucket, an equi-join that shuffles and splits like any
-    other; a window stands in each bucket that it touches.  Columns of both are kept.
+    Both sides meet on cells of time, an equi-join that shuffles and splits like any
+    other.  A window stands in some cells of the length that suits it; an entry is
+    one row for each length in use (at most 50, as they double).  Columns of both
+    are kept.
     """
-    spans = F.sequence(F.floor(F.col("start_ms") / bucket_ms), F.floor(F.col("end_ms") / bucket_ms))
-    wide = windows.where("start_ms <= end_ms").withColumn("_bucket", F.explode(spans))
-    near = entries.withColumn("_bucket", F.floor(F.col("ts_ms") / bucket_ms)).join(wide, "_bucket")
-    return near.where(F.col("ts_ms").between(F.col("start_ms"), F.col("end_ms"))).drop("_bucket")
+    cells = window_cells(windows)
+    spans = [r["_span"] for r in cells.select("_span").distinct().collect()]
+    if not spans:
+        return entries.join(cells.drop("_span", "_cell"), F.lit(False))
+    at = entries.withColumn("_span", F.explode(F.array(*[F.lit(s).cast("long") for s in sorted(spans)]))).withColumn("_cell", F.floor(F.col("ts_ms") / F.col("_span")))
+    near = at.join(cells, ["_span", "_cell"])
+    return near.where(F.col("ts_ms").between(F.col("start_ms"), F.col("end_ms"))).drop("_span", "_cell")
 
 
 def events_near(entries: DataFrame, instants: DataFrame, half_ms: int = HALF_WIDTH_MS, at: str = "at_ms") -> DataFrame:
     """Entries within ``half_ms`` of each instant, both ends included."""
     windows = instants.withColumn("start_ms", F.col(at) - half_ms).withColumn("end_ms", F.col(at) + half_ms)
-    return events_in_windows(entries, windows, max(2 * half_ms, 1)).drop("start_ms", "end_ms")
+    return events_in_windows(entries, windows).drop("start_ms", "end_ms")
 
 
 def nearest_samples(probes: DataFrame, samples: DataFrame, at: str = "at_ms", span_ms: int = 3_600_000, tie: Sequence[str] = ("value",)) -> DataFrame:
@@ -33,13 +55,14 @@ def nearest_samples(probes: DataFrame, samples: DataFrame, at: str = "at_ms", sp
 
     Of two as close the earlier counts; before the first and after the last sample
     those; among samples of equal time the first ahead and the last behind.  Probes
-    of a path without samples have nulls.  ``tie`` orders samples of equal time.
+    of a path without samples have nulls; samples without a value are none.  ``tie``
+    orders samples of equal time.
 
     A path is cut into spans of time, so that a long series is many groups; each
     span knows the last sample before it and the first after it.
     """
     key = lambda t: F.floor(F.col(t) / span_ms)
-    s = samples.select("path", "ts_ms", "value", F.struct(*tie).alias("_seq")).withColumn("_span", key("ts_ms"))
+    s = valued(samples).select("path", "ts_ms", "value", (F.struct(*tie) if tie else F.lit(0)).alias("_seq")).withColumn("_span", key("ts_ms"))
     p = probes.select("path", F.col(at)).distinct().withColumn("_span", key(at))
     point = F.struct("ts_ms", "_seq", "value")
     edges = s.groupBy("path", "_span").agg(F.min(point).alias("first"), F.max(point).alias("last"))

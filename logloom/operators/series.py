@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import logtext as lt
 from ..functions.flatten import data_rows
-from ..session import ship
+from .ranks import at_ranks
+from .scan import changes, runs_above, with_previous
 
 #: Definitions of disk metrics by suffix, for any device (fixed values).
 DISK_DEFS = (
@@ -76,24 +78,25 @@ def selected(samples: DataFrame, boards: DataFrame, active: Sequence[str], custo
     return samples.join(paths.distinct(), "path", "left_semi")
 
 
-def _in_order(extra: Sequence[str] = ()) -> Window:
-    return Window.partitionBy("path").orderBy("ts_ms", *extra)
+def valued(samples: DataFrame) -> DataFrame:
+    """Samples that have a value; a null and a NaN are none."""
+    return samples.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def rates(samples: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
     """(path, ts_ms, value): change for each second at every sample but a path's first.
 
-    A falling value and equal times give 0.  ``tie`` orders samples of equal time.
+    A falling value and equal times give 0; samples without a value are left out.
+    ``tie`` orders samples of equal time.
     """
     return _steps(samples, tie).select("path", "ts_ms", "value")
 
 
 def _steps(samples: DataFrame, tie: Sequence[str]) -> DataFrame:
     """Rates with the columns of ``tie``, so that what follows can put equal times in order."""
-    w = _in_order(tie)
-    dv, dt = F.col("value") - F.lag("value").over(w), F.col("ts_ms") - F.lag("ts_ms").over(w)
-    steps = samples.select("path", "ts_ms", *tie, F.when((dt > 0) & (dv > 0), dv * 1000.0 / dt).when(dt.isNotNull(), F.lit(0.0)).alias("value"))
-    return steps.where("value is not null")
+    steps = with_previous(valued(samples).select("path", "ts_ms", *tie, "value"), "path", ["ts_ms", *tie], ["ts_ms", "value"]).where("prev is not null")
+    dv, dt = F.col("value") - F.col("prev.value"), F.col("ts_ms") - F.col("prev.ts_ms")
+    return steps.select("path", "ts_ms", *tie, F.when((dt > 0) & (dv > 0), dv * 1000.0 / dt).otherwise(F.lit(0.0)).alias("value"))
 
 
 def cumulative_rates(samples: DataFrame, defs: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
@@ -109,8 +112,8 @@ def measured(samples: DataFrame, defs: DataFrame, tie: Sequence[str] = ()) -> Da
 
 
 def ordered(samples: DataFrame) -> DataFrame:
-    """Samples of each path in time order, of equal times by file, chunk and place."""
-    return samples.withColumn("seq", F.row_number().over(Window.partitionBy("path").orderBy("ts_ms", "source", "chunk_no", "sample_no")) - 1)
+    """Samples of each path with seq, their number in time order, of equal times by file, chunk and place."""
+    return with_previous(samples, "path", ["ts_ms", "source", "chunk_no", "sample_no"], ["ts_ms"]).drop("prev").withColumnRenamed("place", "seq")
 
 
 def time_range(samples: DataFrame) -> DataFrame:
@@ -120,14 +123,12 @@ def time_range(samples: DataFrame) -> DataFrame:
 def window_stats(samples: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
     """(path, n, min, max, avg, p99) over the closed window; p99 is the sorted value at floor(0.99 (n - 1)).
 
-    The rank is found among distinct values with their counts, not in a list.
+    Samples without a value don't count.
     """
-    inside = samples.where(F.col("ts_ms").between(start_ms, end_ms))
+    inside = valued(samples.where(F.col("ts_ms").between(start_ms, end_ms)))
     plain = inside.groupBy("path").agg(F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("avg"))
-    each = inside.groupBy("path", "value").agg(F.count("*").alias("c"))
-    each = each.withColumn("upto", F.sum("c").over(Window.partitionBy("path").orderBy("value"))).withColumn("of", F.sum("c").over(Window.partitionBy("path")))
-    p99 = each.groupBy("path").agg(F.min(F.when(F.col("upto") > F.floor(0.99 * (F.col("of") - 1)), F.col("value"))).alias("p99"))
-    return plain.join(p99, "path")
+    ranks = at_ranks(inside, "path", "value", {"p99": lambda n: F.floor(0.99 * (n - 1))})
+    return plain.join(ranks, "path")
 
 
 def range_profile(defined: DataFrame) -> DataFrame:
@@ -139,8 +140,9 @@ def range_profile(defined: DataFrame) -> DataFrame:
 
 
 def last_values(samples: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
+    """(path, last_value, last_ms) of each path's last sample with a value."""
     key = F.struct("ts_ms", *tie)
-    return samples.groupBy("path").agg(F.max_by("value", key).alias("last_value"), F.max("ts_ms").alias("last_ms"))
+    return valued(samples).groupBy("path").agg(F.max_by("value", key).alias("last_value"), F.max("ts_ms").alias("last_ms"))
 
 
 def anomalies(samples: DataFrame, defs: DataFrame, boards: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
@@ -150,13 +152,12 @@ def anomalies(samples: DataFrame, defs: DataFrame, boards: DataFrame, tie: Seque
 
 
 def exceedances(defined: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
-    """(path, start_ms, end_ms, samples, peak): runs of samples above the threshold; ``tie`` orders samples of equal time."""
-    w = _in_order(tie)
-    above = F.coalesce(F.col("value") > F.col("threshold"), F.lit(False))
-    marked = defined.where("threshold is not null").withColumn("above", above)
-    marked = marked.withColumn("_starts", (F.col("above") & ~F.coalesce(F.lag("above").over(w), F.lit(False))).cast("int"))
-    marked = marked.withColumn("run", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.where("above").groupBy("path", "run").agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count("*").alias("samples"), F.max("value").alias("peak")).drop("run")
+    """(path, start_ms, end_ms, samples, peak): runs of samples above the threshold; ``tie`` orders samples of equal time.
+
+    Samples without a value, and paths without a threshold, are left out.
+    """
+    marked = valued(defined).where("threshold is not null").select("path", "ts_ms", "value", (F.col("value") > F.col("threshold")).alias("above"), *[c for c in tie if c != "value"])
+    return runs_above(marked, ["ts_ms", *tie])
 
 
 def lttb_places(values: np.ndarray, most: int) -> np.ndarray:
@@ -183,20 +184,99 @@ def lttb_places(values: np.ndarray, most: int) -> np.ndarray:
     return np.array([*kept, n - 1])
 
 
-def lttb(samples: DataFrame, most: int = 2000, tie: Sequence[str] = ()) -> DataFrame:
-    """(path, ts_ms, value, place) of at most ``most`` points of each path.
-
-    Samples without a value are left out.  One path's samples are one group: the
-    algorithm is sequential within a series.
-    """
-    ship(samples.sparkSession)
+def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the vertices of the convex hull of points sorted by x, the first and last among them."""
+    if len(x) < 4:
+        return np.arange(len(x))
+    sides = []
+    for sign in (1.0, -1.0):
+        stack: list[int] = []
+        for i in range(len(x)):
+            while len(stack) > 1:
+                a, b = stack[-2], stack[-1]
+                if sign * ((x[b] - x[a]) * (y[i] - y[a]) - (y[b] - y[a]) * (x[i] - x[a])) < 0:
+                    break
+                stack.pop()
+            stack.append(i)
+        sides.append(stack)
+    return np.unique(np.concatenate(sides))
+
+
+def _edges(n: int, most: int) -> np.ndarray:
+    """First places of the buckets of a series of n, and of its last sample."""
+    return np.concatenate([np.floor(np.arange(most - 2) * ((n - 2) / (most - 2))).astype(np.int64) + 1, [n - 1]])
+
+
+def _pieces(most: int):
+    """Task: hulls and sums of the parts of buckets in a batch; a series of few samples is kept whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            place, size = batch.column("place").to_numpy(), batch.column("n").to_numpy()
+            value, ts = batch.column("value").to_numpy(), batch.column("ts_ms").to_numpy()
+            new = np.flatnonzero(changes(batch.column("path"), None))
+            out = []
+            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(batch)], strict=True):
+                n = int(size[a])
+                if n <= most or most < 3:
+                    out.append((batch.column("path")[a].as_py(), n, -1, 0.0, 0, np.arange(a, b)))
+                    continue
+                bucket = np.searchsorted(_edges(n, most), place[a:b], side="right")
+                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                for c, d in zip((a + cuts).tolist(), [*(a + cuts[1:]).tolist(), b], strict=True):
+                    out.append((batch.column("path")[a].as_py(), n, int(bucket[c - a]), float(value[c:d].sum()), d - c, c + hull(place[c:d].astype(float), value[c:d])))
+            path, n, bucket, total, count, at = zip(*out, strict=True)
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int32))
+            at = np.concatenate(at)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c[at])) for c in (place, ts, value)]
+            yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(n), pa.array(bucket), pa.array(total), pa.array(count), *lists], names=["path", "n", "bucket", "total", "count", "places", "times", "values"])
+
+    return run
+
+
+def _triangles(most: int):
+    """The kept points of one path, from the hulls of its buckets."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", *tie], kind="stable").reset_index(drop=True)
-        at = lttb_places(pdf["value"].to_numpy(float), most)
-        return pdf.iloc[at][["path", "ts_ms", "value"]].assign(place=at)
+        place, ts, value = (np.concatenate(pdf[c].to_list()) for c in ("places", "times", "values"))
+        order = np.argsort(place, kind="stable")
+        place, ts, value = place[order], ts[order], value[order]
+        n = int(pdf["n"].iloc[0])
+        if n <= most or most < 3:
+            return pd.DataFrame({"path": pdf["path"].iloc[0], "ts_ms": ts, "value": value, "place": place})
+        edges = _edges(n, most)
+        total, count = (np.bincount(pdf["bucket"], pdf[c], most) for c in ("total", "count"))
+        first = np.searchsorted(place, edges)  # the first sample of a bucket is on its hull
+        kept = [0]
+        for i in range(most - 2):
+            end, far = edges[i + 1], edges[min(i + 2, most - 2)]
+            ahead = value[first[min(i + 2, most - 2)]]
+            x, y = (end + far) / 2, (total[i + 2] * (far > end) + ahead) / (far - end + 1)
+            at = slice(first[i], first[i + 1])
+            a = kept[-1]
+            area = np.abs((place[a] - x) * (value[at] - value[a]) - (place[a] - place[at]) * (y - value[a]))
+            kept.append(int(first[i]) + int(np.argmax(area)))
+        kept.append(len(place) - 1)
+        return pd.DataFrame({"path": pdf["path"].iloc[0], "ts_ms": ts[kept], "value": value[kept], "place": place[kept]})
+
+    return run
 
-    return samples.where("value is not null").select("path", "ts_ms", "value", *tie).groupBy("path").applyInPandas(run, "path string, ts_ms long, value double, place long")
+
+def lttb(samples: DataFrame, most: int = 2000, tie: Sequence[str] = ()) -> DataFrame:
+    """(path, ts_ms, value, place) of at most ``most`` points of each path, those of ``lttb_places``.
+
+    Samples without a value are left out.  The largest triangle on two given points
+    has its third on the convex hull of a bucket, so tasks reduce their parts of the
+    buckets to hulls and sums, and the sequential pass over a path sees these alone
+    (a bucket whose samples all lie on its hull stays whole).  Means are sums of
+    parts, so that triangles which differ by rounding alone may be chosen otherwise.
+    """
+    placed = with_previous(valued(samples).select("path", "ts_ms", "value", *[c for c in tie if c != "value"]), "path", ["ts_ms", *tie], ["ts_ms"]).select("path", "ts_ms", "value", "place")
+    sizes = placed.groupBy("path").agg(F.count("*").alias("n"))
+    pieces = placed.join(sizes, "path").mapInArrow(_pieces(most), "path string, n long, bucket long, total double, count long, places array<long>, times array<long>, values array<double>")
+    return pieces.groupBy("path").applyInPandas(_triangles(most), "path string, ts_ms long, value double, place long")
 
 
 def banded(defined: DataFrame) -> DataFrame:
