@@ -338,7 +338,7 @@ def entry_hosts(spark, d):
 
 @register("stacked_entries")
 def stacked_entries(spark, d):
-    """Entries with times cut to minutes, so that nodes have equal ones."""
+    """Entries with times cut to hours, so that nodes have equal ones."""
     e = entries(spark, d).withColumn("ts_ms", F.expr("ts_ms div 3600000 * 3600000"))
     return nodes.stacked(e).select("file_idx", "line_no", "ts_ms", "msg", "node_set", F.coalesce(F.size("alts"), F.lit(0)).alias("n_alts"))
 

@@ -15,6 +15,7 @@ HEAD_BYTES = 65_536
 #: Host values that name a program, not a machine (fixed values).
 PROGRAMS = ("mongod", "mongos", "mongo")
 KEY = ("msg", "severity", "component", "ns")
+ALT = "array<struct<node_idx:int,file_idx:int,line_no:bigint,raw:string>>"
 
 
 def file_identity(lines: DataFrame) -> DataFrame:
@@ -65,15 +66,15 @@ def node_table(merged: DataFrame) -> DataFrame:
 def with_nodes(entries: DataFrame, merged: DataFrame) -> DataFrame:
     """``entries`` with node_idx and node_set of the merged nodes instead of those of files.
 
-    The file list is broadcast only below Spark's own size threshold.
+    Entries of files that ``merged`` doesn't know are left out.  The file list is broadcast only below Spark's own size threshold.
     """
     names = merged.select(F.col("file_idx").alias("_file"), F.col("node_idx").alias("_node"))
     if "node_set" not in entries.columns:
         return entries.drop("node_idx").join(names, entries["file_idx"] == F.col("_file")).withColumnRenamed("_node", "node_idx").drop("_file")
-    table = merged.agg(F.map_from_entries(F.collect_list(F.struct("file_idx", "node_idx")))).first()[0]  # one entry a file
-    lookup = F.create_map(*[F.lit(x).cast("int") for kv in sorted(table.items()) for x in kv])
-    nodes = F.array_sort(F.array_distinct(F.transform("node_set", lambda f: F.element_at(lookup, f))))
-    return entries.withColumn("node_set", nodes).withColumn("node_idx", F.element_at(lookup, F.col("node_idx")))
+    # sets of files are few: each file of a set is looked up by a join, and the set joins its entries again
+    sets = entries.select("node_set").distinct().withColumn("_file", F.explode("node_set")).join(names, "_file").groupBy("node_set").agg(F.array_sort(F.collect_set("_node")).alias("_nodes"))
+    own = entries.withColumnRenamed("node_idx", "_file").join(names, "_file").drop("_file").withColumnRenamed("_node", "node_idx")
+    return own.join(sets, "node_set").drop("node_set").withColumnRenamed("_nodes", "node_set").select(*entries.columns)
 
 
 def with_hostname(entries: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -96,8 +97,7 @@ def stacked(entries: DataFrame, window_ms: int = 1) -> DataFrame:
     ship(entries.sparkSession)
     order = ["ts_ms", "file_idx", "line_no"]
     key = [F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in KEY]
-    alt = "array<struct<node_idx:int,file_idx:int,line_no:bigint,raw:string>>"
-    base = entries.drop("alts").withColumn("alts", F.lit(None).cast(alt))
+    base = entries.drop("alts").withColumn("alts", F.lit(None).cast(ALT))
     timed = base.where("ts_ms >= 0").withColumn("_key", F.xxhash64(*key))
     w = Window.partitionBy("_key", *KEY).orderBy(*order)
     starts = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(w) > window_ms, F.lit(True)).cast("int")
@@ -108,40 +108,27 @@ def stacked(entries: DataFrame, window_ms: int = 1) -> DataFrame:
     shared = islands.join(several, group, "left_semi").drop("_starts")
     columns = [c for c in shared.columns if c not in group]
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Rows of whole islands, in order."""
-        n = len(pdf)
-        names = list(zip(*[pdf[k].where(pdf[k].notna(), None) for k in KEY], strict=True))
-        island = list(zip(pdf["_key"], pdf["_island"], strict=True))
-        time, file, node, line, raw = (pdf[c].tolist() for c in ("ts_ms", "file_idx", "node_idx", "line_no", "raw"))
-        taken = [False] * n
-        sets, alts = [list(s) for s in pdf["node_set"]], [None] * n
-        for i in range(n):
-            if taken[i]:
-                continue
-            for j in range(i + 1, n):
-                if island[j] != island[i] or time[j] - time[i] > window_ms:
-                    break
-                if not taken[j] and file[j] != file[i] and names[j] == names[i]:
-                    taken[j] = True
-                    sets[i] = sorted({*sets[i], *sets[j]})
-                    alts[i] = [*(alts[i] or []), {"node_idx": node[j], "file_idx": file[j], "line_no": line[j], "raw": raw[j]}]
-        pdf = pdf.assign(node_set=pd.Series(sets, index=pdf.index, dtype=object), alts=pd.Series(alts, index=pdf.index, dtype=object))
-        return pdf[[not t for t in taken]][columns]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Islands follow each other in a sorted partition; the last one of a batch may go on in the next."""
-        held: pd.DataFrame | None = None
+        """Islands follow each other in a sorted partition; only leaders whose window is open are held."""
+        open_: list[dict] = []
+        at = None
         for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(rows):
-                continue
-            open_ = (rows["_key"] == rows["_key"].iloc[-1]) & (rows["_island"] == rows["_island"].iloc[-1])
-            held = rows[open_].reset_index(drop=True)
-            if not open_.all():
-                yield greedy(rows[~open_].reset_index(drop=True))
-        if held is not None:
-            yield greedy(held)
+            done: list[dict] = []
+            for r in batch.to_dict("records"):
+                island = r["_key"], r["_island"]
+                keep_ = next((i for i, x in enumerate(open_) if island == at and r["ts_ms"] - x["ts_ms"] <= window_ms), len(open_))
+                done += open_[:keep_]
+                open_, at = open_[keep_:], island
+                to = next((x for x in open_ if x["file_idx"] != r["file_idx"] and all(x[k] == r[k] or (x[k] is None and r[k] is None) for k in KEY)), None)
+                if to is None:
+                    open_.append(r)
+                else:
+                    to["node_set"] = sorted({*to["node_set"], *r["node_set"]})
+                    to["alts"] = [*(to["alts"] if to["alts"] is not None else []), {c: r[c] for c in ("node_idx", "file_idx", "line_no", "raw")}]
+            if done:
+                yield pd.DataFrame(done, columns=columns).astype(object).where(lambda d: d.notna(), None)
+        if open_:
+            yield pd.DataFrame(open_, columns=columns).astype(object).where(lambda d: d.notna(), None)
 
     sorted_ = shared.repartition(*group).sortWithinPartitions(*group, *order)
     merged = sorted_.mapInPandas(run, shared.select(*columns).schema)
