@@ -38,6 +38,8 @@ BITS = 1 << 25
 #: A stripe of a prefix with more than one of so many words is split into PARTS by next word; the empty prefix always.
 HOT = 1000
 PARTS = 32
+#: Stripes that a task holds, and bytes of their entries, before it hands them on.
+HELD, HELD_BYTES = 300_000, 48_000_000
 #: Words of the longest phrase.
 LONGEST = 5
 
@@ -86,11 +88,31 @@ def _held(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
+class _Held:
+    """A task's stripes: entries of one prefix and part stand together, whatever slice they are from."""
+
+    def __init__(self):
+        self.rows: dict[tuple, tuple[list[bytes], list[bytes]]] = {}
+        self.bytes = 0
+
+    def full(self) -> bool:
+        return len(self.rows) > HELD or self.bytes > HELD_BYTES
+
+    def batch(self) -> pa.RecordBatch:
+        lang, size, prefix, part = zip(*self.rows, strict=True)
+        following, counts = ([b" ".join(r[i]) for r in self.rows.values()] for i in (0, 1))
+        self.rows, self.bytes = {}, 0
+        return pa.RecordBatch.from_arrays(
+            [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(prefix, pa.binary()), pa.array(part, pa.int32()), pa.array(following, pa.binary()), pa.array(counts, pa.binary())],
+            names=["lang", "words", "prefix", "part", "next", "counts"],
+        )
+
+
 class _Counted:
-    """Stripes of one run of tokens, as rows."""
+    """Stripes of one run of tokens."""
 
-    def __init__(self, lang: bytes, words: list[bytes]):
-        self.lang, self.words, self.out = lang, words, []
+    def __init__(self, lang: str, words: list[bytes], held: _Held):
+        self.lang, self.words, self.held = lang, words, held
         self.part_of = np.fromiter((1 + crc32(w) % PARTS for w in words), np.int64, len(words))  # part 0 is a whole stripe
         self.small = [b"%d" % i for i in range(1000)]
 
@@ -107,27 +129,26 @@ class _Counted:
         cuts = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])])
         names = [self.words[i] for i in following[order].tolist()]
         counts = [self.small[i] if i < 1000 else b"%d" % i for i in n[order].tolist()]
+        rows = self.held.rows
         for a, b, p, k in zip(cuts.tolist(), [*cuts[1:].tolist(), len(names)], prefix[cuts].tolist(), part[cuts].tolist(), strict=True):
-            self.out.append((size, prefixes[p], k, b" ".join(names[a:b]), b" ".join(counts[a:b])))
-
-    def rows(self) -> pa.RecordBatch:
-        size, prefix, part, following, counts = zip(*self.out, strict=True)
-        lang = pa.array([self.lang], pa.binary()).take(pa.array(np.zeros(len(size), np.int64))).cast(pa.string())
-        return pa.RecordBatch.from_arrays(
-            [lang, pa.array(size, pa.int32()), pa.array(prefix, pa.binary()), pa.array(part, pa.int32()), pa.array(following, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "words", "prefix", "part", "next", "counts"]
-        )
+            key = self.lang, size, prefixes[p], k
+            row = rows.get(key)
+            if row is None:
+                row = rows[key] = [], []
+            row[0].append(made := b" ".join(names[a:b]))
+            row[1].append(b" ".join(counts[a:b]))
+            self.held.bytes += len(made)
 
 
 def _stripes(level: int, frequent, hot: frozenset[tuple[str, bytes]]):
     """Task: stripes of the empty prefix (level 0), of words (1), pairs (2), triples and what is longer (3)."""
 
-    def one(lang: bytes, toks: list[bytes], before: int) -> Iterator[pa.RecordBatch]:
+    def one(name: str, toks: list[bytes], before: int, held: _Held) -> None:
         place = defaultdict(count().__next__)
         place[END]
         ids = np.fromiter(map(place.__getitem__, toks), np.int64, len(toks))
-        words = list(place)
-        made = _Counted(lang, words)
-        name = lang.decode()
+        words, lang = list(place), name.encode()
+        made = _Counted(name, words, held)
         if level == 0:
             own = ids[before:]
             own = own[own > 0]
@@ -164,16 +185,19 @@ def _stripes(level: int, frequent, hot: frozenset[tuple[str, bytes]]):
                 if level == 2:
                     break
                 at, prefix = at[following > 0], prefix[following > 0]
-        if made.out:
-            yield made.rows()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
         for batch in batches:
             lang, text = batch.column(0), batch.column(1)
             for value in lang.unique():
                 own = text.filter(pc.equal(lang, value))
                 for toks, before in _pieces(own):
-                    yield from one(value.as_py().encode(), toks, before)
+                    one(value.as_py(), toks, before, held)
+                    if held.full():
+                        yield held.batch()
+        if held.rows:
+            yield held.batch()
         tk.give_back()
 
     return run
