@@ -6,6 +6,7 @@ back, while the SQL works on ``events`` directly and never sees the JSON.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,8 @@ from .operators import correlate, filters, nodes, series
 from .operators.filters import EntryFilter
 from .plans import analyses
 from .session import ship
-from .sources import derived, logs
+from .sources import cluster, derived, logs
+from .store import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -336,6 +338,27 @@ def entry_hosts(spark, d):
     return found.groupBy("node_idx", "hostname").agg(F.count("*").alias("n"))
 
 
+def _cluster(spark, d, stack=False):
+    """The derived lines as a cluster's table, loaded in two parts, the second given twice."""
+    folder = f"{shared_folder(spark)}/cluster-{uuid.uuid4().hex}"
+    lines = spread(derived.log_lines(events(spark, d)).select("file_path", "line_no", "raw"))
+    first = lines.where(~F.col("file_path").contains("node1"))
+    for part in (first, lines, lines):
+        cluster.append_lines(spark, folder, part, stack)
+    return folder
+
+
+@register("cluster_breakdowns", over_entries(" UNION ALL ".join(LABELS.format(x) for x in b.DIMENSIONS)))
+def cluster_breakdowns(spark, d):
+    return cluster.cluster_breakdowns(spark, _cluster(spark, d))
+
+
+@register("cluster_entries", over_entries("SELECT event_id AS line_no, ts_ms, msg, ns, duration_ms, CASE node_idx WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS node FROM e"))
+def cluster_entries(spark, d):
+    found = cluster.cluster_entries(spark, _cluster(spark, d))
+    return found.select("line_no", "ts_ms", "msg", "ns", "duration_ms", F.col("node_set")[0].alias("node"))
+
+
 @register("stacked_entries")
 def stacked_entries(spark, d):
     """Entries with times cut to hours, so that nodes have equal ones."""

@@ -15,6 +15,15 @@ from ..store import keep
 
 
 ORDER = ("ts_ms", "file_idx", "line_no")
+#: What searches and error reports read of an entry.
+READ = (*ORDER, "idx", "severity", "severity_rank", "component", "ns", "msg", "conn_id", "duration_ms", "node_idx")
+
+
+def _parsed_once(entries: DataFrame) -> DataFrame:
+    """The columns that a report reads, written unless they have an idx already: it reads them more than once."""
+    if "idx" in entries.columns:
+        return entries
+    return keep(entries.select(*[c for c in READ if c in entries.columns]), "parsed")
 
 
 def analysis_summary(entries: DataFrame, nodes: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -29,6 +38,7 @@ def search_logs(
     time_start_ms: int | None = None, time_end_ms: int | None = None, min_duration_ms: int | None = None, limit: int = 50,
 ) -> dict[str, DataFrame]:
     """``entries``: the first matches in time order, at most 200; ``counts``: how many there are and how many came."""
+    entries = _parsed_once(entries)
     found = EntryFilter(severity=severity, components=[component] if component is not None else (), ns=namespace, text=text, time_start_ms=time_start_ms, time_end_ms=time_end_ms, min_duration_ms=min_duration_ms).apply(entries)
     limit = max(0, min(limit, 200))
     if "idx" in entries.columns:
@@ -66,6 +76,7 @@ def connections(entries: DataFrame, limit: int = 20) -> dict[str, DataFrame]:
 
 
 def error_details(entries: DataFrame, limit: int = 20, severity: str = "BOTH") -> dict[str, DataFrame]:
+    entries = _parsed_once(entries)
     groups = b.top(b.error_groups(entries, severity), max(0, min(limit, 100)), label="msg")
     if "idx" not in entries.columns:  # only what is shown gets its place in the order
         groups = keep(groups, "groups")

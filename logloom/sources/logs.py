@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import logtext as lt
 from ..functions.shapes import with_shape
+from ..session import ship
 from ..store import keep
 
 ENVELOPE = "t string, s string, c string, id bigint, ctx string, msg string, host string, attr string, _corrupt string"
@@ -88,19 +92,37 @@ def with_index(entries: DataFrame, order: Sequence[str] = ("ts_ms", "file_idx",
     return ranked.join(F.broadcast(offsets), "_part").withColumn("idx", F.col("_off") + F.col("_row")).drop("_at", "_part", "_row", "_off")
 
 
+def _slots(keys: list[tuple]):
+    """Task: how many entries have so many of the sorted ``keys`` at or before them."""
+    firsts = np.array([k[0] for k in keys], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(keys) + 1, np.int64)
+        for batch in batches:
+            first = batch.column(0).to_numpy(zero_copy_only=False)
+            low, high = np.searchsorted(firsts, first, "left"), np.searchsorted(firsts, first, "right")
+            for i in np.flatnonzero(low < high).tolist():  # as early as a key: the other columns decide
+                low[i] = bisect_right(keys, tuple(c[i].as_py() for c in batch.columns), int(low[i]), int(high[i]))
+            seen += np.bincount(low, minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["n", "count"])
+
+    return run
+
+
 def places(entries: DataFrame, wanted: DataFrame, order: Sequence[str] = ("ts_ms", "file_idx", "line_no")) -> DataFrame:
     """(order..., idx) of the few rows ``wanted``: how many entries stand before each, in one pass over ``entries``.
 
     ``wanted`` is what a report shows, some hundred rows; they come to the driver.
+    Tasks search their entries' places among them, and give one count for each.
     """
-    keys = [tuple(r) for r in wanted.select(*order).distinct().orderBy(*order).collect()]
+    keys = sorted(tuple(r) for r in wanted.select(*order).distinct().collect())
     types = {f.name: f.dataType for f in wanted.schema.fields}
     schema = ", ".join(f"{c} {types[c].simpleString()}" for c in order)
     if not keys:
         return entries.sparkSession.createDataFrame([], f"{schema}, idx long")
-    listed = F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, k, strict=True)]) for k in keys])
-    own = F.struct(*order)
-    upto = entries.groupBy(F.size(F.filter(listed, lambda k: k <= own)).alias("n")).count().collect()  # a row for each key and one
+    ship(entries.sparkSession)
+    upto = entries.select(*order).mapInArrow(_slots(keys), "n long, count long").groupBy("n").agg(F.sum("count").alias("count")).collect()
     before = [sum(r["count"] for r in upto if r["n"] <= i) for i in range(len(keys))]
     return entries.sparkSession.createDataFrame([(*k, n) for k, n in zip(keys, before, strict=True)], f"{schema}, idx long")
 
