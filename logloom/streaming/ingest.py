@@ -24,10 +24,56 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, availabl
     return (made.trigger(availableNow=True) if available_now else made).start()
 
 
-def live_breakdowns(entries: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """(dimension, label, count) of a stream of entries, kept complete in the in-memory table ``name``."""
-    counts = b.breakdowns(entries)
-    return counts.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+def live_breakdowns(entries: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keeps counts of every breakdown dimension, and a sketch of the connections, of a stream of entries in ``folder``.
+
+    Each batch writes its own counts under its number and reads nothing older; a batch
+    that is run again after a failure takes the place of its former counts, so that
+    every entry counts once.  ``live_counts`` and ``live_connections`` add them up.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        counts = b.breakdowns(batch)
+        seen = batch.where("conn_id > 0").agg(F.hll_sketch_agg("conn_id").alias("sketch"), F.count("*").alias("n")).where("n > 0").select("sketch")
+        counts.write.mode("overwrite").parquet(f"{folder}/counts/batch={number}")
+        seen.write.mode("overwrite").parquet(f"{folder}/connections/batch={number}")
+
+    made = entries.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (made.trigger(availableNow=True) if available_now else made).start()
+
+
+def _parts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """What is merged up to some batch, and the batches after it."""
+    schema = {"counts": "dimension string, label string, count long", "connections": "sketch binary"}[name]
+    batches = spark.read.schema(f"{schema}, batch long").parquet(f"{folder}/{name}")
+    merged = batches.where("batch < 0").agg(F.max(-F.col("batch"))).first()[0]
+    if merged is None:
+        return batches
+    return batches.where((F.col("batch") == -merged) | (F.col("batch") >= merged))
+
+
+def live_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(dimension, label, count) of all entries that ``live_breakdowns`` has seen."""
+    return _parts(spark, folder, "counts").groupBy("dimension", "label").agg(F.sum("count").alias("count"))
+
+
+def live_connections(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: about how many connections they are of (a sketch, some 2 per cent off)."""
+    return _parts(spark, folder, "connections").agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("connections"))
+
+
+def merge_live(spark: SparkSession, folder: str) -> None:
+    """Merge the batches of ``folder`` into one part, so that reading it does not grow with their number.
+
+    The part of batches 0 to k - 1 is stored as batch -k; they are not read from then on.
+    """
+    batches = spark.read.schema("batch long").parquet(f"{folder}/counts")
+    last = batches.agg(F.max("batch")).first()[0]
+    if last is None or last < 0:
+        return
+    upto = last + 1
+    for name, made in (("connections", _parts(spark, folder, "connections").agg(F.hll_union_agg("sketch").alias("sketch")).where("sketch is not null")), ("counts", live_counts(spark, folder))):
+        made.write.mode("overwrite").parquet(f"{folder}/{name}/batch={-upto}")
 
 
 def restack(old: DataFrame, new: DataFrame, window_ms: int = 1, old_stacked: DataFrame | None = None) -> DataFrame:

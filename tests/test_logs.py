@@ -202,9 +202,42 @@ def test_files_append_and_stream(spark, tmp_path):
         ingest.ingest(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
         (folder / "b.log").write_text("\n".join(TEN[5:]) + "\n")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
-    live = ingest.live_breakdowns(logs.parse_log_lines(ingest.stream_lines(spark, str(folder))), "live", str(tmp_path / "ck2"))
-    live.awaitTermination()
-    assert spark.table("live").where("dimension = 'severity' and label = 'INFO'").first()["count"] == 4
+    live, ck = str(tmp_path / "live"), str(tmp_path / "ck2")
+    ingest.live_breakdowns(logs.parse_log_lines(ingest.stream_lines(spark, str(folder))), live, ck).awaitTermination()
+    assert ingest.live_counts(spark, live).where("dimension = 'severity' and label = 'INFO'").first()["count"] == 4
+
+
+def test_live_counts_over_a_failure(spark, tmp_path, monkeypatch):
+    """A batch that fails after writing its counts is run again, and counts once; merged batches count once too."""
+    folder, live, ck = tmp_path / "in", str(tmp_path / "live"), str(tmp_path / "ck")
+    folder.mkdir()
+    stream = lambda: logs.parse_log_lines(ingest.stream_lines(spark, str(folder), maxFilesPerTrigger="1"))
+    for i in range(3):
+        (folder / f"{i}.log").write_text("\n".join(TEN[3 * i : 3 * i + 3]) + "\n")
+    real = ingest.b.breakdowns
+
+    def broken(batch):
+        return real(batch).withColumn("count", F.when(F.raise_error(F.lit("lost")).isNull(), F.col("count")))
+
+    calls = []
+    monkeypatch.setattr(ingest.b, "breakdowns", lambda batch: (calls.append(1), broken(batch) if len(calls) == 2 else real(batch))[1])
+    with pytest.raises(Exception, match="lost"):
+        ingest.live_breakdowns(stream(), live, ck).awaitTermination()
+    told = lambda: sorted(tuple(r) for r in ingest.live_counts(spark, live).collect())
+    half = told()
+    ingest.live_breakdowns(stream(), live, ck).awaitTermination()
+    entries = entries_of(spark, TEN[:9])
+    want = sorted(tuple(r) for r in real(entries).collect())
+    assert told() == want != half
+    found = ingest.live_connections(spark, live).first()[0]
+    assert found == entries.where("conn_id > 0").select("conn_id").distinct().count()
+    ingest.merge_live(spark, live)
+    (folder / "9.log").write_text(TEN[9] + "\n")
+    ingest.live_breakdowns(stream(), live, ck).awaitTermination()
+    whole = sorted(tuple(r) for r in real(entries_of(spark, TEN)).collect())
+    assert told() == whole
+    ingest.merge_live(spark, live)
+    assert told() == whole and ingest.live_connections(spark, live).first()[0] >= found
 
 
 def test_sampling_and_flatten(ten, spark):
