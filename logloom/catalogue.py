@@ -19,7 +19,7 @@ from .operators import correlate, filters, nodes, series
 from .operators.filters import EntryFilter
 from .plans import analyses
 from .session import ship
-from .sources import cluster, derived, logs
+from .sources import captures, cluster, derived, logs
 from .store import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +135,15 @@ def log_top_components(spark, d):
     return b.top(b.breakdowns(entries(spark, d), ("component",)).select("label", "count"), 3)
 
 
+REPORTS = f"SELECT dimension, label, count, CAST(pos AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY count DESC, label) AS pos FROM ({' UNION ALL '.join(LABELS.format(x) for x in b.DIMENSIONS)} UNION ALL SELECT 'conn', 'conn' || conn_id, count(*) FROM e WHERE conn_id > 0 GROUP BY conn_id)) WHERE pos <= CASE WHEN dimension IN ('severity', 'op_type') THEN 12 ELSE 50 END"
+
+
+@register("breakdown_reports", over_entries(REPORTS))
+def breakdown_reports(spark, d):
+    e = entries(spark, d).withColumn("conn", F.when(F.col("conn_id") > 0, F.concat(F.lit("conn"), F.col("conn_id").cast("string"))))
+    return b.reports(b.breakdowns(e, (*b.DIMENSIONS, "conn")))
+
+
 @register("log_latest", over_entries("SELECT event_id AS line_no, ts_ms FROM e ORDER BY idx DESC LIMIT 20"))
 def log_latest(spark, d):
     return b.in_time_order(entries(spark, d), descending=True).select("line_no", "ts_ms").limit(20)
@@ -255,6 +264,12 @@ def q1_analysis_summary(spark, d):
     return analyses.analyse("analysis_summary", entries(spark, d))["top"]
 
 
+@register("q1_analysis_totals", over_entries("SELECT count(*) AS total, count(ns) AS with_ns, count_if(slow)::BIGINT AS slow, min(ts_ms) AS earliest_ms, max(ts_ms) AS latest_ms, count(DISTINCT node_idx) AS nodes FROM e"))
+def q1_analysis_totals(spark, d):
+    made = analyses.analyse("analysis_summary", entries(spark, d))
+    return made["totals"].join(made["nodes"].agg(F.count("*").alias("nodes")), F.lit(True))
+
+
 @register("q2_search_logs", over_entries("SELECT idx, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS timestamp, severity, component, ns, msg, conn_id, duration_ms, node_idx FROM e WHERE severity_rank = 1 AND ns = 'shop.error' AND contains(lower(msg), 'slow') AND duration_ms >= 100 ORDER BY idx LIMIT 25"))
 def q2_search_logs(spark, d):
     return analyses.analyse("search_logs", entries(spark, d), severity="E", namespace="shop.error", text="slow", min_duration_ms=100, limit=25)["entries"]
@@ -439,6 +454,24 @@ def metric_search(spark, d):
     return series.search_metrics(series.with_definitions(samples(spark, d), series.definitions(spark)), "OPCOUNTERS").select("path", "path_ord")
 
 
+@register("disk_metrics", over_samples("SELECT DISTINCT path FROM s WHERE path LIKE 'systemMetrics.disks.%'"))
+def disk_metrics(spark, d):
+    return series.disk_metrics(samples(spark, d))
+
+
+@register("metric_first_definitions", "SELECT 'm.' || event_type AS path, arg_min('Name ' || event_id, row(user_id % 3, event_id)) FILTER (event_id % 2 = 1) AS display_name, arg_min('unit' || user_id, row(user_id % 3, event_id)) FILTER (event_id % 2 = 1) AS unit, arg_min(user_id % 2 = 0, row(user_id % 3, event_id)) FILTER (event_id % 2 = 1) AS is_cumulative FROM events GROUP BY 1")
+def metric_first_definitions(spark, d):
+    """Definitions of three captures, half of them without a name."""
+    e, text = events(spark, d), lambda c: F.col(c).cast("string")
+    name = F.when(F.col("event_id") % 2 == 1, F.concat(F.lit("Name "), text("event_id"))).otherwise("")
+    return series.first_definitions(e.select(F.concat(F.lit("m."), "event_type").alias("path"), name.alias("display_name"), F.concat(F.lit("unit"), text("user_id")).alias("unit"), (F.col("user_id") % 2 == 0).alias("is_cumulative"), (F.col("user_id") % 3).alias("source"), F.col("event_id").alias("chunk_no")))
+
+
+@register("capture_samples", "SELECT event_type AS source, m AS path, epoch_us(ts) // 1000 AS ts_ms, CAST(CASE m WHEN 'value' THEN floor(value) ELSE user_id END AS DOUBLE) AS value FROM events, (VALUES ('value'), ('user')) v(m)")
+def capture_samples(spark, d):
+    return captures.samples(derived.capture_chunks(events(spark, d))).select("source", "path", "ts_ms", "value")
+
+
 @register("metric_lttb")
 def metric_lttb(spark, d):
     return series.lttb(samples(spark, d), 200, ["seq"])
@@ -466,6 +499,14 @@ def nearest_samples(spark, d):
     return correlate.nearest_samples(probes, samples(spark, d), tie=("seq",))
 
 
+@register("name_fallbacks", "SELECT event_id, 'h' || user_id || '.x' AS hostname, CAST(user_id + 1 AS INTEGER) AS port, 'b' || user_id || '.' || event_type AS short FROM events")
+def name_fallbacks(spark, d):
+    """Host and port of an address, and the name of a metric without a definition."""
+    user = F.col("user_id").cast("string")
+    where = lt.host_and_port(F.concat(F.lit("h"), user, F.lit(".x:"), (F.col("user_id") + 1).cast("string")))
+    return events(spark, d).select("event_id", where["hostname"].alias("hostname"), where["port"].cast("int").alias("port"), lt.short_metric_name(F.concat(F.lit("a.b"), user, F.lit("."), "event_type")).alias("short"))
+
+
 @register("log_text_functions", over_entries("SELECT event_id AS line_no, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, CASE WHEN length(msg) > 10 THEN substr(msg, 1, 10) || '...' ELSE msg END AS short FROM e"))
 def log_text_functions(spark, d):
     return entries(spark, d).select("line_no", lt.iso_text(F.col("ts_ms")).alias("iso"), lt.shortened(F.col("msg"), 10).alias("short"))

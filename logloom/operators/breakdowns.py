@@ -42,6 +42,16 @@ def top(counts: DataFrame, k: int, by: str | None = None, label: str = "label")
     return ranked.where(F.col("_k") <= k).drop("_k")
 
 
+#: Labels that a report shows: bars of the small dimensions, rows of the other tables (fixed values).
+BARS, ROWS = 12, 50
+
+
+def reports(counts: DataFrame, bars: tuple[str, ...] = ("severity", "op_type")) -> DataFrame:
+    """(dimension, label, count, pos) of the labels that the report of each dimension shows, the largest first."""
+    ranked = counts.withColumn("pos", F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("count"), "label")))
+    return ranked.where(F.col("pos") <= F.when(F.col("dimension").isin(*bars), BARS).otherwise(ROWS))
+
+
 def in_time_order(entries: DataFrame, descending: bool = False) -> DataFrame:
     """Entries by time, then file and line."""
     names = ("ts_ms", "file_idx", "line_no")

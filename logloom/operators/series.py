@@ -64,6 +64,21 @@ def dashboard_paths(paths: DataFrame, boards: DataFrame) -> DataFrame:
     return listed.union(found).distinct()
 
 
+def disk_metrics(paths: DataFrame) -> DataFrame:
+    """(path) of the disk metrics among ``paths``, by name."""
+    return paths.select("path").distinct().where(lt.is_disk_metric(F.col("path"))).orderBy("path")
+
+
+def first_definitions(defined: DataFrame, order: Sequence[str] = ("source", "chunk_no")) -> DataFrame:
+    """(path, display_name, unit, is_cumulative): of captures read together, the first that names a metric defines it.
+
+    A path that none of them names has nulls.
+    """
+    named = F.col("display_name").isNotNull() & (F.col("display_name") != "")
+    fields = F.when(named, F.struct("display_name", "unit", "is_cumulative"))
+    return defined.groupBy("path").agg(F.min_by(fields, F.when(named, F.struct(*order))).alias("d")).select("path", "d.display_name", "d.unit", "d.is_cumulative")
+
+
 def search_metrics(defined: DataFrame, query: str, k: int = 15) -> DataFrame:
     """The first ``k`` paths in decode order with ``query`` in their path or name."""
     found = defined.where(F.contains(F.lower("path"), F.lit(query.lower())) | F.contains(F.lower("display_name"), F.lit(query.lower())))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+from .captures import CHUNKS, DATA
 from .logs import parse_log_lines, with_index
 
 OPCOUNTERS = {"click": "query", "error": "delete", "purchase": "insert", "signup": "update", "view": "command"}
@@ -54,3 +60,40 @@ def metric_samples(events: DataFrame) -> DataFrame:
     gauge = events.select(F.lit("serverStatus.connections.current").alias("path"), F.lit(len(OPCOUNTERS)).alias("path_ord"), ms.alias("ts_ms"), F.col("event_id").alias("seq"), (F.col("value") * 20).alias("value"))
     disk = events.where("event_id % 2 = 0").select(F.concat(F.lit("systemMetrics.disks.dev"), (F.col("user_id") % 2).cast("string"), F.lit(".io_queued_ms")).alias("path"), F.lit(len(OPCOUNTERS) + 1).alias("path_ord"), ms.alias("ts_ms"), F.col("event_id").alias("seq"), F.floor("value").cast("double").alias("value"))
     return counted.union(gauge).union(disk)
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def encode_chunk(columns: dict[str, list[int]]) -> bytes:
+    """The compressed block of a capture chunk: whole numbers by name, as many of each."""
+    fields = b"".join(bytes([0x09 if name == "start" else 0x12]) + name.encode() + b"\0" + struct.pack("<q", values[0]) for name, values in columns.items())
+    count = len(columns["start"]) - 1
+    body = b""
+    for values in columns.values():
+        steps = [b - a for a, b in zip(values, values[1:], strict=False)]
+        zeros = next((i for i, d in enumerate(steps) if d), count)
+        body += _varint(zeros) + b"".join(_varint((d << 1) ^ (d >> 63)) for d in steps[zeros:])
+    block = struct.pack("<i", len(fields) + 5) + fields + b"\0" + struct.pack("<ii", len(columns), count) + body
+    return struct.pack("<i", len(block)) + zlib.compress(block)
+
+
+def capture_chunks(events: DataFrame, size: int = 300) -> DataFrame:
+    """Chunk rows of captures, one source for each event type: value and user of each event at its time."""
+    ship(events.sparkSession)
+    names = [c.split(" ")[0] for c in CHUNKS.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts_ms", "event_id"])
+        whole = {"start": pdf["ts_ms"].tolist(), "value": pdf["value"].tolist(), "user": pdf["user_id"].tolist()}
+        return pd.DataFrame([(pdf["source"].iloc[0], int(pdf["chunk_no"].iloc[0]), DATA, whole["start"][0], encode_chunk(whole), None)], columns=names)
+
+    rows = events.select(
+        F.col("event_type").alias("source"), F.floor(F.col("event_id") / size).cast("int").alias("chunk_no"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "event_id", F.floor("value").alias("value"), F.col("user_id").cast("long")
+    )
+    return rows.groupBy("source", "chunk_no").applyInPandas(run, CHUNKS)

@@ -154,6 +154,17 @@ def classify_paths(paths: DataFrame, path_col: str = "path") -> DataFrame:
     return shown.select(F.col(path_col).alias("path"), F.when(lt.is_capture_path(F.col(path_col)), "capture").otherwise("log").alias("kind")).orderBy("path")
 
 
+def folder_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, kind) of the files of a folder in any store that Spark reads, by name; hidden files and folders are left out.
+
+    The listing is the driver's, as Spark's own are.  Files named ``_*`` are listed, but
+    Spark's readers skip them.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return classify_paths(spark.createDataFrame([(f.getPath().toString(),) for f in found if not f.isDirectory()], "path string"))
+
+
 def append_entries(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old and new entries as one table in time order, indexed anew; new files number on from the old ones."""
     shift = old.agg(F.max("file_idx")).first()[0]

@@ -85,3 +85,14 @@ def test_places_of_equal_times(spark):
     got = logs.places(df, df.where("line_no % 7 = 0"))
     assert {tuple(r)[:3]: r["idx"] for r in got.collect()} == {r: i for r, i in want.items() if r[2] % 7 == 0}
     assert logs.places(df, df.where("false")).count() == 0
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    for name in ("b.log", "a.log", ".hidden", "_odd", "metrics.1"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "sub").mkdir()
+    found = [(r["path"].rsplit("/", 1)[1], r["kind"]) for r in logs.folder_files(spark, str(tmp_path)).collect()]
+    assert found == [("_odd", "log"), ("a.log", "log"), ("b.log", "log"), ("metrics.1", "capture")]
+    many = spark.createDataFrame([(d, f"l{i:02}", 100 - i % 9) for d in ("severity", "ns") for i in range(60)], "dimension string, label string, count int")
+    got = b.reports(many).groupBy("dimension").agg(F.count("*").alias("n"), F.min_by("label", "pos").alias("first")).collect()
+    assert sorted(map(tuple, got)) == [("ns", 50, "l00"), ("severity", 12, "l00")]
