@@ -19,11 +19,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: What each application's driver has written.
+_written: dict[str, list[str]] = {}
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder, and read back.
 
     A lost executor then costs a reread, not a recomputation.
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that ``keep`` has written for this application; how many.  DataFrames that read them are then void."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)

@@ -1,6 +1,7 @@
 """Stacking in a stream against stacking the whole."""
 
 import json
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -64,3 +65,12 @@ def test_one_long_island(spark):
     files = spark.createDataFrame([("a", 0, 5, "h", 1), ("b", 1, 5, "h", 1)], "file_path string, file_idx int, node_idx int, hostname string, port int")
     both = nodes.with_nodes(nodes.stacked(make(spark, items[:4] + [(9000, 7, 1, "x")])), files)
     assert [(r["node_idx"], r["node_set"]) for r in both.collect()] == [(5, [5])] * 2
+
+
+def test_kept_tables_are_deleted(spark):
+    from logloom import store
+
+    a = store.keep(spark.range(5), "five")
+    path = a.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert a.count() == 5 and Path(path).exists()
+    assert store.clear(spark) >= 1 and not Path(path).exists() and store.clear(spark) == 0
