@@ -19,6 +19,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from itertools import count
+from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
@@ -40,6 +41,8 @@ HOT = 1000
 PARTS = 32
 #: Stripes that a task holds, and bytes of their entries, before it hands them on.
 HELD, HELD_BYTES = 300_000, 48_000_000
+#: Stripes travel in so many blocks a language, by their prefix and part.
+BLOCKS = 2048
 #: Words of the longest phrase.
 LONGEST = 5
 
@@ -48,7 +51,7 @@ _CUT = re.compile(rb"[ \t.,;:!?\x0a-\x0d]")
 #: Ends a piece, and stands for all next words that are not counted; no word contains it.
 END = b"."
 
-_STRIPE = "lang string, words int, prefix binary, part int, next binary, counts binary"
+_BLOCK = "lang string, words int, block int, prefixes array<binary>, parts array<int>, nexts array<binary>, counts array<binary>"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -99,13 +102,13 @@ class _Held:
         return len(self.rows) > HELD or self.bytes > HELD_BYTES
 
     def batch(self) -> pa.RecordBatch:
-        lang, size, prefix, part = zip(*self.rows, strict=True)
-        following, counts = ([b" ".join(r[i]) for r in self.rows.values()] for i in (0, 1))
+        rows = sorted(((lang, size, (crc32(prefix) + part) % BLOCKS, prefix, part, b" ".join(x), b" ".join(n)) for (lang, size, prefix, part), (x, n) in self.rows.items()), key=itemgetter(0, 1, 2))
         self.rows, self.bytes = {}, 0
-        return pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(prefix, pa.binary()), pa.array(part, pa.int32()), pa.array(following, pa.binary()), pa.array(counts, pa.binary())],
-            names=["lang", "words", "prefix", "part", "next", "counts"],
-        )
+        starts = [i for i in range(len(rows)) if not i or rows[i][:3] != rows[i - 1][:3]]
+        offsets = pa.array([*starts, len(rows)], pa.int32())
+        own = [pa.array([rows[i][j] for i in starts], t) for j, t in enumerate((pa.string(), pa.int32(), pa.int32()))]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array([r[j] for r in rows], t)) for j, t in ((3, pa.binary()), (4, pa.int32()), (5, pa.binary()), (6, pa.binary()))]
+        return pa.RecordBatch.from_arrays([*own, *lists], names=["lang", "words", "block", "prefixes", "parts", "nexts", "counts"])
 
 
 class _Counted:
@@ -204,16 +207,18 @@ def _stripes(level: int, frequent, hot: frozenset[tuple[str, bytes]]):
 
 
 def _merged(raw: DataFrame, least: int) -> DataFrame:
-    """Stripes merged entry by entry, in the partition of their prefix and part: total, largest entry, and entries of ``least`` or more."""
-    key = ["lang", "words", "prefix", "part"]
-    entry = F.explode(F.arrays_zip(F.split(F.col("next").cast("string"), " ").alias("word"), F.split(F.col("counts").cast("string"), " ").alias("n"))).alias("entry")
-    entries = raw.repartition("lang", "prefix", "part").select(*key, entry).select(*key, "entry.word", F.col("entry.n").cast("long").alias("n"))
+    """Stripes merged entry by entry, in the partition of their block: total, largest entry, and entries of ``least`` or more."""
+    key = ["lang", "block", "words", "prefix", "part"]
+    cut = lambda c: F.split(c.cast("string"), " ")
+    stripe = lambda s: F.zip_with(cut(s["nexts"]), cut(s["counts"]), lambda w, n: F.struct(s["prefixes"].alias("prefix"), s["parts"].alias("part"), w.alias("word"), n.alias("n")))
+    entry = F.explode(F.flatten(F.transform(F.arrays_zip("prefixes", "parts", "nexts", "counts"), stripe))).alias("entry")
+    entries = raw.repartition("lang", "block").select("lang", "block", "words", entry).select("lang", "block", "words", "entry.prefix", "entry.part", "entry.word", F.col("entry.n").cast("long").alias("n"))
     merged = entries.groupBy(*key, "word").agg(F.sum("n").alias("n"))
     inner = F.col("word") != END.decode()
     stripes = merged.groupBy(*key).agg(
         F.sum("n").alias("total"), F.max(F.when(inner, F.col("n"))).alias("best"), F.collect_list(F.when(inner & (F.col("n") >= least), F.struct("word", "n"))).alias("next")
     )
-    return stripes.filter((F.col("total") >= least) | (F.col("part") > 0) | (F.col("words") == 0)).withColumn("prefix", F.col("prefix").cast("string"))
+    return stripes.filter((F.col("total") >= least) | (F.col("part") > 0) | (F.col("words") == 0)).withColumn("prefix", F.col("prefix").cast("string")).drop("block")
 
 
 def _bitmap(phrases: DataFrame, size: int) -> np.ndarray:
@@ -245,7 +250,7 @@ def _counted(docs: DataFrame, least: int) -> DataFrame:
     spark: SparkSession = ship(docs.sparkSession)
     kept, frequent, hot = [], None, frozenset()
     for level in range(4):
-        stripes = keep(_merged(docs.mapInArrow(_stripes(level, frequent, hot), _STRIPE), least), f"stripes-{level}")
+        stripes = keep(_merged(docs.mapInArrow(_stripes(level, frequent, hot), _BLOCK), least), f"stripes-{level}")
         kept.append(stripes)
         if level == 3:
             break

@@ -129,8 +129,9 @@ def test_long_texts_in_parts(monkeypatch):
         batch = pa.RecordBatch.from_arrays([pa.array(["en", "en"]), pa.array([text, "b aa"])], names=["lang", "text"])
         for rows in collocations._stripes(level, frequent, frozenset())([batch]):
             for r in rows.to_pylist():
-                for w, n in zip(r["next"].split(b" "), r["counts"].split(b" "), strict=True):
-                    out[r["words"], r["prefix"], w] += int(n)
+                for prefix, words, counts in zip(r["prefixes"], r["nexts"], r["counts"], strict=True):
+                    for w, n in zip(words.split(b" "), counts.split(b" "), strict=True):
+                        out[r["words"], prefix, w] += int(n)
         return out
 
     class Every:
