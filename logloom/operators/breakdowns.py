@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import logtext as lt
 from ..functions.flatten import flatten_json
 from .filters import error_selection
+from .ranks import at_ranks
 
 DIMENSIONS = ("severity", "component", "op_type", "driver", "ns", "shape")
 
@@ -79,20 +80,21 @@ def slow_by_shape(entries: DataFrame, min_duration_ms: int = 0, first: int | Non
 
     Percentiles are those of the ``first`` durations in time order, place n/2 and
     floor(0.99 n) of the sorted list, or of all durations when ``first`` is None.
-    They come from ranks inside a shape counted per duration, so no list of
-    durations is ever held; with ``first`` None no window sees single entries.
+    No list of durations is ever held; over all of them they are exact ranks by
+    refinement, and no window sees a shape's entries.
     """
     slow = _slow(entries, min_duration_ms).where("shape is not null").select("shape", F.greatest("duration_ms", F.lit(0)).alias("d"), *([time_order(entries).alias("_o")] if first else []))
     whole = slow.groupBy("shape").agg(F.count("*").alias("count"), F.sum("d").cast("long").alias("total_ms"), F.max("d").alias("max_ms"), F.min("d").alias("min_ms"))
-    used = slow
-    if first is not None:
+    if first is None:
+        ranks = at_ranks(slow, "shape", "d", {"p50": lambda n: F.floor(n / 2), "p99": lambda n: F.least(n - 1, F.floor(n * 99 / 100))})
+    else:
         used = slow.withColumn("_r", F.row_number().over(Window.partitionBy("shape").orderBy("_o"))).where(F.col("_r") <= first)
-    # distinct durations of a shape: milliseconds that occur, not entries
-    each = used.groupBy("shape", "d").agg(F.count("*").alias("n"))
-    run = Window.partitionBy("shape").orderBy("d")
-    each = each.withColumn("upto", F.sum("n").over(run)).withColumn("of", F.sum("n").over(Window.partitionBy("shape")))
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("d")))
-    ranks = each.groupBy("shape").agg(at(F.floor(F.col("of") / 2)).alias("p50"), at(F.least(F.col("of") - 1, F.floor(F.col("of") * 99 / 100))).alias("p99"))
+        # distinct durations among the first few
+        each = used.groupBy("shape", "d").agg(F.count("*").alias("n"))
+        run = Window.partitionBy("shape").orderBy("d")
+        each = each.withColumn("upto", F.sum("n").over(run)).withColumn("of", F.sum("n").over(Window.partitionBy("shape")))
+        at = lambda place: F.min(F.when(F.col("upto") > place, F.col("d")))
+        ranks = each.groupBy("shape").agg(at(F.floor(F.col("of") / 2)).alias("p50"), at(F.least(F.col("of") - 1, F.floor(F.col("of") * 99 / 100))).alias("p99"))
     return whole.join(ranks, "shape").withColumn("avg_ms", F.expr("total_ms div count"))
 
 
