@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import textkit as tk
+from .sampling import SAMPLE_BYTES, labelled
 
 CHUNK, STEP = 256, 224  # bytes in a chunk, and from one chunk's start to the next
 WIDTH, STRIDE, EMBED, FILTERS = 32, 4, 8, 16
@@ -149,19 +150,15 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 12, batch: int = 6
     return Network(p["embed"], p["filters"], p["bias"], p["top"], float(p["base"][0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "quality", sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Network:
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "quality", sample: int = 2000, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Network:
     """A network fitted on at most ``sample`` labelled rows for which ``may_learn`` holds.
 
-    Rows come in the order of a hash of their id, so that the sample does not depend
-    on how the tables are laid out.  The fit reads these rows' whole texts, on the
+    The fit reads these rows' whole texts, at most ``sample_bytes`` together, on the
     driver, in pieces of bounded size.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & may_learn)
-    known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("label"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most `sample` rows
-    got = rows.select("id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"), "label").collect()
-    got.sort(key=lambda r: (r.id, bytes(r.raw)))
+    rows = labelled(docs, labels, may_learn, label_col, sample, sample_bytes, id_col, text_col)
+    got = rows.select("id", F.encode("text", "UTF-8").alias("raw"), "label").collect()  # at most `sample` rows of `sample_bytes`
+    got.sort(key=lambda r: r.id)
     return fit([bytes(r.raw) for r in got], np.array([r.label for r in got]))
 
 

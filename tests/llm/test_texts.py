@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logloom.llm import byte_cnn, line_dedup, pieces, quality_rules, secrets, toxicity
+from logloom.llm import byte_cnn, line_dedup, pieces, quality_rules, sampling, secrets, toxicity
 from logloom.llm import textkit as tk
 from logloom.llm.queries import piece_model
 
@@ -280,38 +280,86 @@ def test_byte_network_learns():
 
 
 def dense_scores(texts, labels, chosen):
-    """Scores by dense cosine over all words of the examples, restated plainly."""
+    """(scores, neighbours) by dense cosine over all words of the examples, restated plainly."""
     words = [collections.Counter(re.findall("[0-9a-z\x80-\U0010ffff]+", lower(t or ""))) for t in texts]
     vocabulary = sorted({w for e in chosen for w in words[e]})
     share = np.mean([labels[e] for e in chosen])
-    weight = {}
+    idf, gain = [], []
     for w in vocabulary:
         have = [labels[e] for e in chosen if w in words[e]]
         s = (sum(have) + share) / (len(have) + 1)
-        gain = max(len(have) * (s * np.log(s / share) + (1 - s) * np.log((1 - s) / (1 - share))), 1e-9)
-        weight[w] = (np.log((len(texts) + 1) / (sum(w in c for c in words) + 1)) + 1) * gain**2
-    table = np.array([[(1 + np.log(c[w])) * weight[w] if w in c else 0.0 for w in vocabulary] for c in words])
+        gain.append(max(len(have) * (s * np.log(s / share) + (1 - s) * np.log((1 - s) / (1 - share))), 1e-9))
+        idf.append(np.log((len(texts) + 1) / (sum(w in c for c in words) + 1)) + 1)
+    table = np.array([[(1 + np.log(c[w])) * idf[j] if w in c else 0.0 for j, w in enumerate(vocabulary)] for c in words])
     table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-300)
-    similar = (table @ table[chosen].T).round(12)
+    gain = np.array(gain) / np.mean((table[chosen] ** 2 * gain).sum(axis=1))
+    similar, weight = (table @ table[chosen].T).round(12), (table * gain) @ table[chosen].T
     prior = (sum(labels[e] for e in chosen) + 0.5) / (len(chosen) + 5)
-    out = []
-    for row in similar:
-        near = sorted((-s, k) for k, s in enumerate(row) if s > 0)[: toxicity.NEIGHBOURS]
-        votes = sum(-s * labels[chosen[k]] for s, k in near) + toxicity.PRIOR_WEIGHT * prior
-        out.append(votes / (sum(-s for s, _ in near) + toxicity.PRIOR_WEIGHT))
-    return out
 
+    def voted(i, but):
+        near = [k for s, k in sorted((-s, k) for k, s in enumerate(similar[i]) if s > 0) if chosen[k] != but][: toxicity.NEIGHBOURS]
+        ones = sum(weight[i, k] * labels[chosen[k]] for k in near) + toxicity.PRIOR_WEIGHT * prior
+        return ones / (sum(weight[i, k] for k in near) + toxicity.PRIOR_WEIGHT), [chosen[k] for k in near]
 
-def test_scores_equal_a_dense_cosine(spark):
+    scale = toxicity.rising(np.array([voted(e, e)[0] for e in chosen]), np.array([labels[e] for e in chosen], float))
+    all_ = [voted(i, None) for i in range(len(texts))]
+    return np.interp([s for s, _ in all_], *scale), [near for _, near in all_]
+
+
+def test_neighbours_and_scores_equal_a_dense_cosine(spark):
     rng = np.random.default_rng(2)
     words = ["w" + str(i) for i in range(300)]
-    texts = [" ".join(rng.choice(words, rng.integers(1, 60))) + (" É!" if i % 7 == 0 else "") for i in range(400)]
-    labels = {i: int("w1" in texts[i].split() or rng.random() < 0.1) for i in range(0, 400, 2)}
+    often = np.array([1 / (1 + i) for i in range(300)])
+    texts = [" ".join(rng.choice(words, rng.integers(1, 60), p=often / often.sum())) + (" É!" if i % 7 == 0 else "") for i in range(600)]
+    labels = {i: int("w9" in texts[i].split() or rng.random() < 0.1) for i in range(0, 600, 2)}
     table = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
-    got = {r.doc_id: r.score for r in toxicity.scored(frame(spark, list(enumerate(texts))), table, F.lit(True)).collect()}
-    assert len({got[i] for i in got}) > 300  # near copies aside, all examples are in use
-    want = dense_scores(texts, labels, sorted(labels))
-    assert np.allclose([got[i] for i in range(400)], want, atol=1e-9)
+    got = {r.doc_id: r for r in toxicity.scored(frame(spark, list(enumerate(texts))), table, F.lit(True)).collect()}
+    sets = [np.array(sorted(hash(x) for x in {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}), np.int64) for w in (lower(texts[i]).split() for i in sorted(labels))]
+    chosen = [sorted(labels)[k] for k in toxicity.without_near_copies(sets, np.array([labels[i] for i in sorted(labels)]))]
+    assert len(chosen) > 6 * toxicity.BLOCK
+    scores, near = dense_scores(texts, labels, chosen)
+    assert [got[i].evidence for i in range(600)] == near
+    assert np.allclose([got[i].score for i in range(600)], scores, atol=1e-4)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 1)), min_size=1, max_size=40))
+def test_pooled_shares_rise_as_they_must(rows):
+    """Against the max-min form of a rising fit."""
+    share, labels = (np.array(v, float) for v in zip(*sorted(rows), strict=True))
+    shares, parts = toxicity.rising(share, labels)
+    n = len(share)
+    want = [max(min(labels[a:b].mean() for b in range(i + 1, n + 1)) for a in range(i + 1)) for i in range(n)]
+    pools = [np.flatnonzero(np.array(want) == w) for w in sorted(set(want))]
+    assert np.allclose(shares, [share[p].mean() for p in pools])
+    assert np.allclose(parts, np.maximum.accumulate([(labels[p].sum() + 0.5) / (len(p) + 1) for p in pools]))
+
+
+def test_near_copies_of_examples_by_full_sets():
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 400, 60)) for _ in range(12)]
+    sets = [np.unique(np.concatenate([rng.choice(b, int(len(b) * rng.uniform(0.86, 1)), replace=False), rng.integers(0, 400, rng.integers(0, 9))])) for b in base for _ in range(12)]
+    sets += [np.zeros(0, np.int64)] * 2
+    labels = rng.integers(0, 2, len(sets))
+    want = []
+    for i, s in enumerate(sets):
+        alike = lambda j: labels[i] == labels[j] and len(s) and 100 * len(np.intersect1d(s, sets[j])) >= 80 * len(np.union1d(s, sets[j]))  # noqa: B023, E731
+        if not any(alike(j) for j in want):
+            want.append(i)
+    assert toxicity.without_near_copies(sets, labels).tolist() == want and len(sets) // 4 < len(want) < len(sets) - 20
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    docs = frame(spark, [(i, "é" * (1 + i % 7)) for i in range(60)] + [(60, None), (61, "x" * 10_000), (5, "é"), (None, "n")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)] + [(5, 1), (None, 1), (99, 1)], "doc_id long, toxic int")
+    every = {r.id: (r.label, r.text) for r in sampling.labelled(docs, labels, F.lit(True), "toxic", 100).collect()}
+    assert len(every) == 62 and every[5] == (1, "é" * 6) and every[60] == (0, "") and len(every[61][1]) == 10_000
+    small = {r.id: (r.label, r.text) for r in sampling.labelled(docs, labels, F.lit(True), "toxic", 100, 300).collect()}
+    assert sum(len(t.encode()) for _, t in small.values()) <= 300 < sum(len(t.encode()) for _, t in small.values()) + 15
+    assert all(every[i] == r for i, r in small.items()) and 61 not in small
+    assert sampling.labelled(docs, labels, F.lit(True), "toxic", 7).count() == 7
+    net = byte_cnn.train(docs.withColumn("text", F.repeat("text", 50)), labels, F.lit(True), "toxic", sample_bytes=5_000)
+    assert byte_cnn.score(docs, net).count() == 64
 
 
 def test_toxicity(spark):
