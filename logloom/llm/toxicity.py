@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are all words, and beginnings of words, of the labelled examples; document
-frequencies are counted over all rows.  The examples form an inverted index in blocks
+Terms are all words, and beginnings of words, of the labelled examples that two rows or
+more hold; document frequencies are counted over all rows.  The examples form an inverted index in blocks
 of alike examples, with the largest weight of each term in each block.  A query adds
 these up to an upper bound of each block, visits the best blocks first and then each
 one whose bound is not below the k-th best example found, so the neighbours are exact.
@@ -41,6 +41,8 @@ DENSE_SHARE = 16
 ORDER_TERMS = 48
 #: Queries whose common terms are multiplied at once.
 TOGETHER = 128
+#: Rows of the whole table that hold a term, at least.
+LEAST_ROWS = 2
 #: Words of a shingle, and the part of all shingles in common (in hundredths) that makes examples near copies.
 SHINGLE, NEAR_COPY = 5, 80
 #: Answers that a worker remembers for copies.
@@ -316,7 +318,7 @@ def scored(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str
     ``sample_bytes`` together; of near copies among them (exact Jaccard of word shingles)
     with one label the first stays, since words that only copies share would look like
     words of their label.  All their words are terms, with the beginnings of longer ones,
-    and every text that has one is scored by its nearest examples.  Document frequencies
+    but for those that one row alone holds, and every text that has one is scored by its nearest examples.  Document frequencies
     are counted over all rows.  ``evidence`` has the ids of the nearest examples.  Null
     and empty texts, and texts without a word of the examples, score the share of label 1.
     Repeated rows stay and count as often; without labels every score is the same; other
@@ -341,6 +343,12 @@ def scored(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str
     held = np.zeros(len(vocabulary.ranked))
     counted = rows.select("text").mapInArrow(_holders(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     held[counted["term"].to_numpy()] = counted["n"].to_numpy()  # at most a row for each word of the examples
+    # a term of one row alone brings no neighbour, and would make its row less like all others
+    found = held >= LEAST_ROWS
+    vocabulary, real = Vocabulary(vocabulary.ranked[found]), found[term]
+    shared.unpersist()
+    shared = spark.sparkContext.broadcast(vocabulary)
+    owner, term, count, held = owner[real], (np.cumsum(found) - 1)[term[real]], count[real], held[found]
     idf = np.log((rows.count() + 1) / (held + 1)) + 1
     index = Index(owner, term, count, marks, ids, idf, gains(owner, term, marks, len(held)), float(seen))
     index.calibrate(owner, term, count)

@@ -282,7 +282,7 @@ def test_byte_network_learns():
 def dense_scores(texts, labels, chosen):
     """(scores, neighbours) by dense cosine over all words of the examples, restated plainly."""
     words = [collections.Counter(re.findall("[0-9a-z\x80-\U0010ffff]+", lower(t or ""))) for t in texts]
-    vocabulary = sorted({w for e in chosen for w in words[e]})
+    vocabulary = sorted(w for w in {w for e in chosen for w in words[e]} if sum(w in c for c in words) >= 2)
     share = np.mean([labels[e] for e in chosen])
     idf, gain = [], []
     for w in vocabulary:
