@@ -50,57 +50,75 @@ def named(tokens: Column) -> Column:
         return F.array_union(F.array_intersect(firsts, bare(NAME)), F.array_except(several, tokens))
 
     def settled(known: Column) -> Column:
-        word = lambda t: F.substring(t, 3, 1 << 30)
-        return F.transform(tokens, lambda t: F.when(~F.startswith(t, F.lit(FIRST)), t).when(F.array_contains(known, word(t)), F.concat(F.lit(NAME), word(t))).otherwise(word(t)))
+        # known names dealt by hash into about as many parts as a part has names: looking one up reads one part
+        parts = F.greatest(F.ceil(F.sqrt(F.size(known))), F.lit(1)).cast("int")
+        part = lambda t: F.pmod(F.hash(t), parts)
+        dealt = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.filter(known, lambda t: part(t) == k))
+        return F.get(F.transform(F.array(dealt), lambda of: F.transform(tokens, lambda t: F.when(~F.startswith(t, F.lit(FIRST)), t).otherwise(resolved(t, of, parts)))), F.lit(0))
+
+    def resolved(token: Column, dealt: Column, parts: Column) -> Column:
+        word = F.substring(token, 3, 1 << 30)
+        return F.when(F.array_contains(F.get(dealt, F.pmod(F.hash(word), parts)), word), F.concat(F.lit(NAME), word)).otherwise(word)
 
     once = F.transform(F.array(F.array_sort(bare(FIRST))), names)
     return F.get(F.transform(once, settled), F.lit(0))
 
 
-def template(tokens: Column) -> Column:
-    slot = lambda t: F.when(F.substring(t, 1, 1) == "0", F.substring(t, 1, 2)).otherwise(t)
-    return F.when(F.exists(tokens, lambda t: F.substring(t, 1, 1) == "0"), F.transform(tokens, slot)).otherwise(tokens)
+def _is_slot(word: Column) -> Column:
+    return F.startswith(word, F.lit("0"))
 
 
-def _is_slot(word: Column) -> Column:
-    return F.substring(word, 1, 1) == "0"
+def template(tokens: Column) -> Column:
+    """A hash of each word, of its type alone for a slot."""
+    return F.transform(tokens, lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 2)).otherwise(t)))
 
 
-def _windows(shape: Column, tokens: Column, size: int) -> Column:
-    """(at, size, window, slots) of each window of ``size`` words: its hash, and what fills its slots."""
+def _windows(shape: Column, slots: Column, size: int) -> Column:
+    """(at, size, window, slots) of each window of ``size`` words: its hash, and what fills its slots.
+
+    ``slots`` has null for a word that is none, and is null itself if no word is one.
+    """
     last = F.size(shape) - size + 1
     window = lambda i: [(i - 1).alias("at"), F.lit(size).alias("size"), F.xxhash64(F.lit(size), F.slice(shape, i, size)).alias("window")]
-    slots = lambda i: F.filter(F.slice(tokens, i, size), _is_slot).alias("slots")
+    filled = lambda i: F.filter(F.slice(slots, i, size), lambda t: t.isNotNull()).alias("slots")
     none = F.array().cast("array<string>").alias("slots")
     every = F.sequence(F.lit(1), last)
-    made = F.when(F.exists(tokens, _is_slot), F.transform(every, lambda i: F.struct(*window(i), slots(i)))).otherwise(F.transform(every, lambda i: F.struct(*window(i), none)))
+    made = F.when(slots.isNotNull(), F.transform(every, lambda i: F.struct(*window(i), filled(i)))).otherwise(F.transform(every, lambda i: F.struct(*window(i), none)))
     return F.when(last > 0, made).otherwise(F.from_json(F.lit("[]"), "array<struct<at:int,size:int,window:bigint,slots:array<string>>>"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least_share: float = 0.3, enough_words: int = 25, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(id_col, item_col, place, n_words, share, kind, slots): benchmark passages that rows of ``docs`` hold.
+def leak_classes(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least_share: float = 0.3, enough_words: int = 25, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_windows: int = BROADCAST_WINDOWS) -> tuple[DataFrame, DataFrame]:
+    """(held, passages): the stretches that rows of ``docs`` hold, and the benchmark passages in each class of stretches.
+
+    A stretch is a row's windows that some item has too, cut where none starts for
+    longer than the longest item.  Stretches of the same windows, slots and distances
+    are one class, so that a sentence of many items in many documents is compared with
+    its items once.  ``held`` (id_col, place, class) has each row's stretches, those
+    without a passage included; ``passages`` (class, item_col, at, n_words, share, kind,
+    slots) what the classes hold, ``at`` counted from where the stretch starts.
 
-    Windows on one alignment of document and item are a run, which counts if its slots
+    Windows on one alignment of stretch and item are a run, which counts if its slots
     are consistent.  Runs of an item that stand no further apart than it is long are
     one passage (words put in or left out shift the alignment): ``n_words`` of its words
-    lie in common windows, ``share`` of the item, the first at word ``place`` of the
-    document.  A passage counts with ``least_words`` words (or all of a shorter item)
-    and ``least_share``, or with ``enough_words``.  ``kind`` is ``verbatim`` when all slots
-    are equal too, else ``template``; ``slots`` has the (item, document) pairs.
+    lie in common windows, ``share`` of the item.  A passage counts with ``least_words``
+    words (or all of a shorter item) and ``least_share``, or with ``enough_words``.
+    ``kind`` is ``verbatim`` when all slots are equal too, else ``template``; ``slots``
+    has the (item, document) pairs.
 
     Null and empty texts and items of fewer than LEAST_ITEM words match nothing; an
     item shorter than a window is looked for as a whole.  Equal items give a row
-    each, as do passages that a document repeats; rows of equal id and text give one
-    row together; a null id is an id.  Extra columns are ignored.
+    each, as do passages that a document repeats; rows of equal id and text count
+    once; a null id is an id.  Extra columns are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("item"), words(F.col("text")).alias("tokens")).distinct()
     # items of equal words are one, until the end
     items = keep(items.where(F.size("tokens") >= LEAST_ITEM).withColumn("of", F.min("item").over(Window.partitionBy("tokens"))), "items")
     equal = items.select(F.col("item").alias("each"), "of")
     items = items.where(F.col("item").eqNullSafe(F.col("of"))).select("item", "tokens", F.size("tokens").alias("item_size"))
-    sizes = [r["size"] for r in items.select(F.least("item_size", F.lit(WINDOW)).alias("size")).distinct().orderBy("size").collect()]  # at most WINDOW rows
-    if not sizes:
-        return docs.sparkSession.createDataFrame([], f"{id_col} long, {item_col} long, place int, n_words int, share double, kind string, slots array<struct<item:string,doc:string>>")
+    by_size = items.groupBy(F.least("item_size", F.lit(WINDOW)).alias("size")).agg(F.max("item_size").alias("longest")).orderBy("size").collect()  # at most WINDOW rows
+    # an empty benchmark goes the same way, with windows that nothing joins
+    sizes = [r["size"] for r in by_size] or [WINDOW]
+    longest = max((r["longest"] for r in by_size), default=0)
     theirs = items.withColumn("size", F.least("item_size", F.lit(WINDOW))).select("item", "item_size", "size", "tokens", F.explode(F.expr("sequence(0, item_size - size)")).alias("item_at"))
     theirs = theirs.withColumn("tokens", F.slice("tokens", F.col("item_at") + 1, F.col("size")))
     # with each choice of the first words of sentences that are names: a document has settled on one
@@ -111,23 +129,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least_sh
     theirs = theirs.withColumn("tokens", F.transform("tokens", settle))
     theirs = theirs.select("item", "item_size", "item_at", F.xxhash64("size", template(F.col("tokens"))).alias("window"), F.filter("tokens", _is_slot).alias("item_slots"), "size")
     theirs = keep(theirs.where(F.col("size") - F.size("item_slots") >= F.least(F.lit(LEAST_PLAIN), F.col("size"))).drop("size").distinct(), "windows")
-    rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col).cast("string")).alias("tokens"))
-    rows = rows.select("id", named(F.col("tokens")).alias("tokens"))
-    rows = rows.select("id", "tokens", template(F.col("tokens")).alias("shape"))
+    few = theirs.count() <= broadcast_windows
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select("id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("tokens"))
+    rows = rows.select("id", "row", named(F.col("tokens")).alias("tokens"))
+    slots = F.when(F.exists("tokens", _is_slot), F.transform("tokens", lambda t: F.when(_is_slot(t), t)))
+    rows = rows.select("id", "row", template(F.col("tokens")).alias("shape"), slots.alias("slots"))
     # a row has its window's hash and slots alone, whichever join moves it
-    rows = rows.select("id", F.explode(F.concat(*[_windows(F.col("shape"), F.col("tokens"), size) for size in sizes])).alias("w")).select("id", "w.at", "w.size", "w.window", "w.slots")
-    found = rows.join(F.broadcast(theirs) if theirs.count() <= broadcast_windows else theirs, "window")
+    every = F.concat(*[_windows(F.col("shape"), F.col("slots"), size) for size in sizes])
+    rows = rows.select("id", "row", F.explode(every).alias("w")).select("id", "row", "w.at", "w.size", "w.window", "w.slots")
+    known = theirs.select("window").distinct()
+    hits = keep(rows.join(F.broadcast(known) if few else known, "window", "left_semi"), "hits")
+    along = Window.partitionBy("id", "row").orderBy("at")
+    apart = F.coalesce(F.col("at") - F.lag("at").over(along) > longest, F.lit(False))
+    held = hits.withColumn("stretch", F.sum(apart.cast("int")).over(along)).groupBy("id", "row", "stretch").agg(F.min("at").alias("place"), F.array_sort(F.collect_set(F.struct("at", "size", "window", "slots"))).alias("hits"))
+    held = held.withColumn("hits", F.transform("hits", lambda h: F.struct((h["at"] - F.col("place")).alias("at"), h["size"].alias("size"), h["window"].alias("window"), h["slots"].alias("slots"))))
+    held = keep(held.select("id", "place", "hits", F.md5(F.to_json("hits").cast("binary")).alias("class")), "stretches")
+    found = held.groupBy("class").agg(F.first("hits").alias("hits")).select("class", F.inline("hits"))
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
-    found = keep(found.select("id", "item", "item_size", "at", "item_at", "size", pairs.alias("pairs")).distinct(), "hits")
+    found = found.join(F.broadcast(theirs) if few else theirs, "window").select("class", "item", "item_size", "at", "item_at", "size", pairs.alias("pairs"))
     # a group has at most a row for each window of its item
-    runs = found.groupBy("id", "item", (F.col("at") - F.col("item_at")).alias("line")).agg(
+    runs = found.groupBy("class", "item", (F.col("at") - F.col("item_at")).alias("line")).agg(
         F.max("item_size").alias("item_size"), F.min("at").alias("place"), F.array_sort(F.collect_set("item_at")).alias("at"), F.max("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots")
     )
     steady = F.size(F.array_distinct(F.transform("slots", lambda p: p["item"]))) == F.size("slots")
-    near = Window.partitionBy("id", "item").orderBy("place", "line")
+    near = Window.partitionBy("class", "item").orderBy("place", "line")
     apart = F.coalesce(F.col("place") - F.lag("place").over(near) > F.col("item_size"), F.lit(True))
     runs = runs.where(steady).withColumn("passage", F.sum(apart.cast("int")).over(near))
-    passages = runs.groupBy("id", "item", "passage").agg(
+    passages = runs.groupBy("class", "item", "passage").agg(
         F.max("item_size").alias("item_size"), F.min("place").alias("place"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.max("size").alias("size"),
         F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
     )
@@ -139,10 +168,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least_sh
     long = (F.col("n_words") >= F.least(F.lit(least_words), F.col("item_size"))) & (F.col("share") >= least_share) | (F.col("n_words") >= enough_words)
     kind = F.when(F.forall("slots", lambda p: p["item"] == p["doc"]), "verbatim").otherwise("template")
     passages = passages.where(long).join(equal, F.col("item").eqNullSafe(F.col("of")))
-    return passages.select(F.col("id").alias(id_col), F.col("each").alias(item_col), "place", "n_words", F.round("share", 6).alias("share"), kind.alias("kind"), "slots")
+    passages = passages.select("class", F.col("each").alias(item_col), F.col("place").alias("at"), "n_words", F.round("share", 6).alias("share"), kind.alias("kind"), "slots")
+    return held.select(F.col("id").alias(id_col), "place", "class").distinct(), keep(passages, "passages")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least_share: float = 0.3, enough_words: int = 25, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(id_col, item_col, place, n_words, share, kind, slots): each row's benchmark passages, the first word at ``place``.
+
+    Every row with every item it shares a passage with: where many items share a
+    sentence that many documents hold, ``leaks_by_class`` says the same in fewer rows.
+    """
+    held, passages = leak_classes(docs, benchmark, least_words, least_share, enough_words, id_col, text_col, item_col, broadcast_windows)
+    return held.join(passages, "class").select(id_col, item_col, (F.col("place") + F.col("at")).alias("place"), "n_words", "share", "kind", "slots")
+
+
+def leaks_by_class(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **limits: float) -> DataFrame:
+    """``leaks`` without multiplying the items of a class by its documents.
+
+    Each row and stretch that holds a passage has one row here with the passage of most
+    words (then of the largest share, the smallest item, the first place).  ``n_passages``
+    says how many its class has, ``same_as`` whose rows list them all: the smallest id of
+    the class, where ``rank`` counts them from 1.
+    """
+    held, passages = leak_classes(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, **limits)
+    of = Window.partitionBy("class")
+    ranked = passages.withColumn("rank", F.row_number().over(of.orderBy(F.desc("n_words"), F.desc("share"), item_col, "at"))).withColumn("n_passages", F.count(F.lit(1)).over(of))
+    first = held.groupBy("class").agg(F.min(F.struct(id_col, "place")).alias("first"))
+    one = held.join(ranked.where("rank = 1"), "class")
+    others = first.select("class", "first.*").join(ranked.where("rank > 1"), "class")
+    made = one.unionByName(others).join(first.select("class", F.col(f"first.{id_col}").alias("same_as")), "class")
+    return made.select(id_col, item_col, (F.col("place") + F.col("at")).alias("place"), "n_words", "share", "kind", "slots", "rank", "n_passages", "same_as", "class")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns as they are, in which no benchmark passage was found; rows with a null id stay."""
-    bad = keep(leaks(docs, benchmark, id_col=id_col, text_col=text_col).select(id_col).where(F.col(id_col).isNotNull()).distinct(), "leaking")
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    held, passages = leak_classes(docs, benchmark, id_col=id_col, text_col=text_col)
+    bad = held.join(passages.select("class").distinct(), "class", "left_semi").select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    return docs.join(keep(bad, "leaking"), id_col, "left_anti").select(*docs.columns)

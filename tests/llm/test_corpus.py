@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from logloom.llm import byte_cnn, decontamination, graph, line_dedup, near_dedup, queries, sharding, substring_dedup
@@ -282,6 +283,42 @@ def test_changed_questions(spark):
         assert got == {(k, k % 3) for k in range(90)} | {(k, 7) for k in range(0, 90, 3)} | {(601, 1)}
 
 
+def test_a_sentence_of_many_items_in_many_documents(spark):
+    """Items of a class are listed once, whichever join is used; rows and ids are those of all pairs."""
+    rng = np.random.default_rng(4)
+    shared = "the committee found that green copper pipes under old harbours rarely bend when frozen twice"
+    noise = lambda n: " ".join("".join(rng.choice(list("bcdfgklmnprst"), 6)) for _ in range(n))
+    items = spark.createDataFrame([(i, f"{noise(9)} {shared} {noise(int(rng.integers(3, 12)))}") for i in range(300)], "item_id long, text string")
+    docs = [(k, f"{noise(30)} {shared} {noise(30)}") for k in range(2, 202)] + [(0, f"{noise(9)} {shared.replace('frozen', 'heated')} {noise(9)}"), (1, shared + " x " + shared), (202, noise(60)), (None, shared)]
+    pairs = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, docs), items).collect()}
+    assert pairs == {(d, i) for d, t in docs if d != 202 for i in range(300)}
+    for limit in (10_000, 0):
+        rows = decontamination.leaks_by_class(frame(spark, docs), items, broadcast_windows=limit).collect()
+        listed = {}
+        for r in rows:
+            listed.setdefault(r["class"], set()).add(r.item_id)
+        assert {(r.doc_id, i) for r in rows for i in listed[r["class"]]} == pairs
+        assert {r.n_passages for r in rows} == {300} and len(rows) < 300 * 5 + len(docs)
+        assert all((r["rank"] == 1) or r.doc_id == r.same_as for r in rows)
+    small = [(k, t) for k, t in docs if k is None or k < 9]
+    want = {r.doc_id for r in decontamination.leaks(frame(spark, small), items).collect()} - {None}
+    left = [r.doc_id for r in decontamination.without_leaks(frame(spark, [*small, (202, docs[-2][1])]), items).collect()]
+    assert want == {0, 1, *range(2, 9)} and sorted(x or -1 for x in left) == [-1, 202]
+
+
+def test_names_of_a_text_by_plain_code(spark):
+    """First words of sentences are settled as said, in a text of some thousand names too."""
+    rng = np.random.default_rng(6)
+    made = ["".join(rng.choice(list("abcdefgh"), 4)).capitalize() for _ in range(6_000)]
+    text = "\n".join(f"{a} meets {b} and {c.lower()}." for a, b, c in zip(made[:2_000], made[2_000:4_000], made[4_000:], strict=True))
+    tokens, got = spark.createDataFrame([(text,)], "text string").select(decontamination.words(F.col("text")).alias("t")).select("t", decontamination.named(F.col("t"))).first()
+    firsts, inside, plain = ([t[2:] for t in tokens if t.startswith("0q")], {t[2:] for t in tokens if t.startswith("0p")}, set(tokens))
+    often = {t for t in firsts if firsts.count(t) > 1} - plain
+    names = (set(firsts) & inside) | often
+    assert got == [t if not t.startswith("0q") else ("0p" + t[2:] if t[2:] in names else t[2:]) for t in tokens]
+    assert names and often and len(names) < len(set(firsts))
+
+
 def test_leaks_against_brute_force(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet").select(k, "text").collect() for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
