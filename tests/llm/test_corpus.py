@@ -88,6 +88,20 @@ def test_near_duplicates(spark, size):
     assert near_dedup.near_duplicates(frame(spark, []), size).count() == 0
 
 
+def test_rows_of_one_id(spark):
+    """Of rows that share an id the least text stays, then the lowest hash of the rest, in whatever order they come."""
+    a, b = prose(40), prose(40)
+    rows = [(1, max(a, b), "x", {"k": 1}), (1, min(a, b), "y", {"k": 2}), (1, min(a, b), "z", {"k": 2}), (2, None, "x", None), (2, a, "x", None), (3, a, "v", None), (None, a, "x", None), (None, b, "x", None)]
+    schema = "doc_id long, text string, rank string, row map<string,int>"
+    kept = []
+    for order in (rows, rows[::-1]):
+        stay = near_dedup.without_near_duplicates(spark.createDataFrame(order, schema).repartition(3, "rank"))
+        assert stay.columns == ["doc_id", "text", "rank", "row"]
+        kept.append(sorted(((r.doc_id or 0, r.text, r["rank"]) for r in stay.collect()), key=str))
+    assert kept[0] == kept[1]
+    assert [(i, t) for i, t, _ in kept[0] if i == 1] == [(1, min(a, b))] and kept[0].count((0, a, "x")) == kept[0].count((0, b, "x")) == 1
+
+
 def test_near_copies_of_very_long_texts(spark):
     def text(i):
         words = np.random.default_rng(i % 30).integers(0, 1 << 20, 300_000)
