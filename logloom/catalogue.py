@@ -201,9 +201,9 @@ def labelled(leaves: str) -> str:
     rules = ", ".join(f"({int(r['priority'])}, {quoted(r['rule'])}, {quoted(r['context'])}, {quoted(r['key'])}, {quoted(r['label'])})" for r in data_rows("key_labels.csv"))
     return f"""
 SELECT path, type, count, distinct_values, coalesce((SELECT arg_min(label, priority) FROM (VALUES {rules}) r(priority, rule, context, k, label) WHERE k = key AND CASE rule
-  WHEN 'any' THEN true WHEN 'ends' THEN ends_with(above, context) WHEN 'contains' THEN contains(above, context) ELSE contains(above, context) AND NOT ends_with(above, context) END), key) AS label
+  WHEN 'any' THEN true WHEN 'ends' THEN above[-1] = context WHEN 'contains' THEN list_contains(above, context) ELSE list_contains(above, context) AND above[-1] <> context END), key) AS label
 FROM (SELECT path, type, count, distinct_values FROM ({leaves})) p,
-  LATERAL (SELECT string_split(replace(path, '[]', ''), '.') AS parts), LATERAL (SELECT parts[-1] AS key, array_to_string(parts[:-2], '.') AS above)"""
+  LATERAL (SELECT string_split('document.' || replace(path, '[]', ''), '.') AS parts), LATERAL (SELECT parts[-1] AS key, parts[:-2] AS above)"""
 
 
 @register("attribute_labels", over_entries(labelled(LEAVES)))

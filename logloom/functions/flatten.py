@@ -73,13 +73,15 @@ def key_rules(spark) -> DataFrame:
 def with_key_labels(paths: DataFrame, rules: DataFrame, path_col: str = "path") -> DataFrame:
     """``paths`` with ``label``: that of the first rule whose context fits the key's ancestors, else the key.
 
-    A path's rules are met through its key, by an equi-join with the rule table (a
-    fixed table of some hundred rows).
+    A context is one whole ancestor's key: the nearest one for ``ends``, any for
+    ``contains``, any but the nearest for ``below``.  The ancestor of top-level keys is
+    ``document``.  A path's rules are met through its key, by an equi-join with the
+    rule table (a fixed table of some hundred rows).
     """
-    clean = F.regexp_replace(path_col, r"\[\]", "")
-    keyed = paths.select(path_col).distinct().withColumn("key", F.substring_index(clean, ".", -1))
-    keyed = keyed.withColumn("above", F.regexp_replace(clean, r"\.?[^.]*$", ""))
-    fits = (F.col("rule") == "any") | ((F.col("rule") == "ends") & F.col("above").endswith(F.col("context"))) | (F.col("rule").isin("contains", "below") & F.contains("above", F.col("context")) & ((F.col("rule") == "contains") | ~F.col("above").endswith(F.col("context"))))
+    parts = F.split(F.concat(F.lit("document."), F.regexp_replace(path_col, r"\[\]", "")), r"\.")
+    key = F.element_at(parts, -1)
+    keyed = paths.select(path_col).distinct().select(path_col, key.alias("key"), F.slice(parts, 1, F.size(parts) - 1).alias("above"))
+    nearest, anywhere = F.element_at("above", -1) == F.col("context"), F.array_contains("above", F.col("context"))
+    fits = F.when(F.col("rule") == "ends", nearest).when(F.col("rule") == "contains", anywhere).when(F.col("rule") == "below", anywhere & ~nearest).otherwise(F.col("rule") == "any")
     best = keyed.join(F.broadcast(rules), "key").where(fits).groupBy(path_col).agg(F.min_by("label", "priority").alias("label"))
-    keys = F.substring_index(F.regexp_replace(path_col, r"\[\]", ""), ".", -1)
-    return paths.join(best, path_col, "left").withColumn("label", F.coalesce("label", keys))
+    return paths.join(best, path_col, "left").withColumn("label", F.coalesce("label", key))

@@ -244,6 +244,9 @@ def test_sampling_and_flatten(ten, spark):
     assert sorted(r.idx for r in logs.sampled(ten, 0.5).collect()) == [0, 2, 4, 6, 8] and logs.sampled(ten, 1).count() == 10
     flat = {(r.idx, r.path): (r.type, r.value) for r in flatten_json(ten).collect()}
     assert flat[3, "attr.durationMillis"] == ("int", "800") and flat[3, "attr.command.filter.age"] == ("int", "3")
-    paths = spark.createDataFrame([("attr.locks.Global.acquireCount.r",), ("attr.locks.Global",), ("attr.zz",)], "path string")
+    paths = spark.createDataFrame([("attr.locks.Global.acquireCount.r",), ("attr.locks.Global",), ("attr.zz",), ("ctx",), ("x.ctx",), ("attr.unlocks.Global",), ("attr.locks.x.acquireCount",), ("attr.locks.acquireCount",), ("locks[].x.acquireCount",)], "path string")
     labels = {r.path: r.label for r in with_key_labels(paths, key_rules(spark)).collect()}
     assert labels["attr.locks.Global"] == "Global lock" and labels["attr.locks.Global.acquireCount.r"] == "IS - Intent Shared" and labels["attr.zz"] == "zz"
+    # contexts are whole keys, and the ancestor of top-level keys is the document
+    assert labels["ctx"] == "thread context" and labels["x.ctx"] == "ctx" and labels["attr.unlocks.Global"] == "Global"
+    assert labels["attr.locks.x.acquireCount"] == labels["locks[].x.acquireCount"] == "times acquired" and labels["attr.locks.acquireCount"] == "acquireCount"
