@@ -188,14 +188,14 @@ def leaks_by_class(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     Each row and stretch that holds a passage has one row here with the passage of most
     words (then of the largest share, the smallest item, the first place).  ``n_passages``
     says how many its class has, ``same_as`` whose rows list them all: the smallest id of
-    the class, where ``rank`` counts them from 1.
+    the class (null if all are), where ``rank`` counts them from 1.
     """
     held, passages = leak_classes(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, **limits)
     of = Window.partitionBy("class")
     ranked = passages.withColumn("rank", F.row_number().over(of.orderBy(F.desc("n_words"), F.desc("share"), item_col, "at"))).withColumn("n_passages", F.count(F.lit(1)).over(of))
-    first = held.groupBy("class").agg(F.min(F.struct(id_col, "place")).alias("first"))
+    first = held.groupBy("class").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), id_col, "place")).alias("first"))
     one = held.join(ranked.where("rank = 1"), "class")
-    others = first.select("class", "first.*").join(ranked.where("rank > 1"), "class")
+    others = first.select("class", f"first.{id_col}", "first.place").join(ranked.where("rank > 1"), "class")
     made = one.unionByName(others).join(first.select("class", F.col(f"first.{id_col}").alias("same_as")), "class")
     return made.select(id_col, item_col, (F.col("place") + F.col("at")).alias("place"), "n_words", "share", "kind", "slots", "rank", "n_passages", "same_as", "class")
 

@@ -303,7 +303,7 @@ def test_a_sentence_of_many_items_in_many_documents(spark):
     shared = "the committee found that green copper pipes under old harbours rarely bend when frozen twice"
     noise = lambda n: " ".join("".join(rng.choice(list("bcdfgklmnprst"), 6)) for _ in range(n))
     items = spark.createDataFrame([(i, f"{noise(9)} {shared} {noise(int(rng.integers(3, 12)))}") for i in range(300)], "item_id long, text string")
-    docs = [(k, f"{noise(30)} {shared} {noise(30)}") for k in range(2, 202)] + [(0, f"{noise(9)} {shared.replace('frozen', 'heated')} {noise(9)}"), (1, shared + " x " + shared), (202, noise(60)), (None, shared)]
+    docs = [(k, f"{noise(30)} {shared} {noise(30)}") for k in range(2, 202)] + [(0, f"{noise(9)} {shared.replace('frozen', 'heated')} {noise(9)}"), (1, shared + " x " + shared), (202, noise(60)), (None, shared), (None, f"{noise(3)} {shared}")]
     pairs = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(spark, docs), items).collect()}
     assert pairs == {(d, i) for d, t in docs if d != 202 for i in range(300)}
     for limit in (10_000, 0):
@@ -313,11 +313,11 @@ def test_a_sentence_of_many_items_in_many_documents(spark):
             listed.setdefault(r["class"], set()).add(r.item_id)
         assert {(r.doc_id, i) for r in rows for i in listed[r["class"]]} == pairs
         assert {r.n_passages for r in rows} == {300} and len(rows) < 300 * 5 + len(docs)
-        assert all((r["rank"] == 1) or r.doc_id == r.same_as for r in rows)
+        assert all((r["rank"] == 1) or r.doc_id == r.same_as for r in rows) and {r.same_as for r in rows} == {0, 1, 2}
     small = [(k, t) for k, t in docs if k is None or k < 9]
     want = {r.doc_id for r in decontamination.leaks(frame(spark, small), items).collect()} - {None}
-    left = [r.doc_id for r in decontamination.without_leaks(frame(spark, [*small, (202, docs[-2][1])]), items).collect()]
-    assert want == {0, 1, *range(2, 9)} and sorted(x or -1 for x in left) == [-1, 202]
+    left = [r.doc_id for r in decontamination.without_leaks(frame(spark, [*small, (202, docs[-3][1])]), items).collect()]
+    assert want == {0, 1, *range(2, 9)} and sorted(x or -1 for x in left) == [-1, -1, 202]
 
 
 def test_names_of_a_text_by_plain_code(spark):
