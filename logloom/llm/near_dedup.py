@@ -7,7 +7,9 @@ each order a set's candidates are the neighbours with the longest common prefix,
 so that the depth needed adapts to how dense its region is: a lonely pair meets
 at depth two, members of a crowd only at the depth of their nearest neighbours.
 Candidates that a sketch of all hashes cannot rule out are confirmed on the full
-sets, and confirmed links are closed to components.
+sets, and confirmed links are closed to components.  Members of regions with more
+rows than the neighbours looked at then meet by their rarest shingles, on full sets,
+wherever a link could still join two components.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from .store import keep
 TREES, DEPTH = 16, 8  # 128 hashes
 NEAREST = 8  # neighbours on either side in each order
 LEAST_DEPTH = 2  # hashes that candidates share at least
-#: Ids up to which those of a repeated search are broadcast.
-BROADCAST_IDS = 200_000
+#: Sets of a shingle that one task compares at once, with another such block or among themselves, and shingles in them.
+BLOCK, BLOCK_SHINGLES = 1_000, 4_000_000
+#: Rows of crowded regions that frequent shingles are counted in, and frequent shingles told apart: any order gives the same links.
+COUNTED_ROWS, FREQUENT = 20_000, 100_000
 #: Standard deviations by which a sketch may fall short of the threshold.
 SLACK = 4.5
 
@@ -169,27 +173,151 @@ def _candidates(sets: DataFrame, share: float) -> DataFrame:
     return keep(found.where("a is not null").select("a", "b").union(border.mapInArrow(_neighbours(share, False), schema).select("a", "b")).distinct(), "pairs")
 
 
-def _links(pairs: DataFrame, source: DataFrame, shingle: int, lower: bool, share: tuple[int, int], few: bool) -> DataFrame:
+def _links(pairs: DataFrame, source: DataFrame, shingle: int, lower: bool, share: tuple[int, int]) -> DataFrame:
     """The pairs that the full sets of both texts confirm."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     # merge joins at every size, so that a small run shows what a large one moves
-    side = F.broadcast(ends) if few and ends.count() <= BROADCAST_IDS else ends.hint("merge")
-    texts = keep(source.join(side, "id", "left_semi"), "texts")
+    texts = keep(source.join(ends.hint("merge"), "id", "left_semi"), "texts")
     held = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     held = held.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return keep(held.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, lower, share), "a long, b long").distinct(), "links")
 
 
-def _thinned(links: DataFrame, member: DataFrame, crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(crowded ids outside of large components, the member with most links of each large component)."""
-    large = member.groupBy("component").count().where(F.col("count") > NEAREST).select("component")
-    inside = keep(member.join(large, "component"), "large")
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").count()
-    hubs = inside.join(degree, "node").groupBy("component").agg(F.max_by("node", F.struct("count", -F.col("node"))).alias("id")).select("id")
-    return keep(crowd.join(inside.select(F.col("node").alias("id")), "id", "left_anti"), "crowd"), hubs
+def _full_sets(size: int, lower: bool):
+    """Rows (id, shingles) with the distinct shingles of rows (id, text)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in tk.slices(batch.column(1)):
+                sets, first = tk.distinct(*tk.shingles(tk.Words(data, offsets, lower), size))
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["id", "shingles"])
+        tk.give_back()
+
+    return run
+
+
+def _prefixes(frequent: np.ndarray, share: tuple[int, int]):
+    """Rows (id, mark, component, n, shingle) for the first of each set's shingles in an order common to all sets.
+
+    Two sets that reach ``share`` have one of the first n - ceil(share * n) + 1 in common,
+    whatever the order.  ``frequent`` shingles come last, the most frequent of all at the end.
+    """
+    at = np.argsort(frequent)
+    known = frequent[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            values, n = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+            place = np.zeros(len(values), np.int64)
+            if len(known):
+                near = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                place = np.where(known[near] == values, len(known) - at[near], 0)
+            order = np.lexsort((values, place, np.repeat(np.arange(len(n)), n)))
+            rank = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+            length = n + (-share[0] * n) // share[1] + 1
+            first = order[rank < np.repeat(length, n)]
+            rows = [batch.column(c).take(pa.array(np.repeat(np.arange(len(n)), length))) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(np.repeat(n, length)), pa.array(values[first])], names=["id", "mark", "component", "n", "shingle"])
+
+    return run
+
+
+def _joined(ids: list[int], sides: list[int], roots: list[int], sets: list[np.ndarray], share: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links that join all members of a group which ``share`` links, at most one fewer than members.
+
+    Members of one root are joined already; those of one side are compared with the
+    other side only, if there are two.
+    """
+    root = np.unique(np.array(roots), return_inverse=True)[1]
+    if (root == 0).all():
+        return []
+    side = np.array(sides)
+    left = np.flatnonzero(side == side[0])
+    right = np.flatnonzero(side != side[0]) if (side != side[0]).any() else left
+    size = np.array([len(s) for s in sets])
+    _, value, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[value] > 1
+    column = (np.cumsum(times > 1) - 1)[value[shared]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], np.repeat(np.arange(len(sets)), size)[shared][order]
+    common = np.zeros((len(left), len(right)), np.int64)
+    width = 2048
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[row[a:b], column[a:b] - low] = 1
+        common += (has[left] @ has[right].T).astype(np.int64)
+    good = share[1] * common >= share[0] * (size[left][:, None] + size[right] - common)
+    out = []
+    for x, linked in zip(left, good, strict=True):
+        linked &= root[right] != root[x]
+        while linked.any():
+            y = right[np.argmax(linked)]
+            out.append((int(ids[x]), int(ids[y])))
+            root[root == root[y]] = root[x]
+            linked &= root[right] != root[x]
+    return out
+
+
+def _meeting(share: tuple[int, int]):
+    """Links (a, b) over rows (key, i, j, side, id, component, shingles) in the order of (key, i, j)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, ([], [], [], [])
+        links: list[tuple[int, int]] = []
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
+            links.clear()
+            return made
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (80, 100), lower: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        for batch in batches:
+            lists = batch.column(6)
+            values, first = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            for at, (key, i, j, side, id, component) in enumerate(zip(*[batch.column(c).to_pylist() for c in range(6)], strict=True)):
+                if now != (key, i, j):
+                    links += _joined(*group, share) if len(group[0]) > 1 else []
+                    now, group = (key, i, j), ([], [], [], [])
+                for of, value in zip(group, (id, side, component, values[first[at] : first[at + 1]]), strict=True):
+                    of.append(value)
+            yield out()
+        links += _joined(*group, share) if len(group[0]) > 1 else []
+        yield out()
+
+    return run
+
+
+def _crowd_links(crowd: DataFrame, member: DataFrame, source: DataFrame, shingle: int, lower: bool, share: tuple[int, int], block: int) -> DataFrame:
+    """Links among the ids ``crowd`` that join all components which a link joins, by full sets.
+
+    Sets meet by their rarest shingles, in blocks; a shingle that one component alone has
+    drops out, and of shingles of the very same sets all but one.
+    """
+    texts = source.join(crowd.hint("merge"), "id", "left_semi").distinct().mapInArrow(_full_sets(shingle, lower), "id long, shingles array<long>")
+    known = texts.where(F.size("shingles") > 0).join(member.select(F.col("node").alias("id"), "component"), "id", "left")
+    sets = keep(known.select("id", F.xxhash64("shingles").alias("mark"), F.coalesce("component", "id").alias("component"), "shingles"), "crowd_sets")
+    part = max(1, sets.count() // COUNTED_ROWS)
+    counted = sets.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 1")
+    frequent = np.array([r.shingle for r in counted.orderBy(F.desc("count"), "shingle").limit(FREQUENT).select("shingle").collect()], np.int64)
+    prefix = keep(sets.mapInArrow(_prefixes(frequent, share), "id long, mark long, component long, n long, shingle long"), "prefixes")
+    several = prefix.groupBy("shingle").agg(
+        F.count("*").alias("m"), F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.bit_xor(F.xxhash64("id", "mark")).alias("one"), F.bit_xor(F.xxhash64("mark", "id")).alias("two"),
+    ).where("low < high")
+    several = several.groupBy("m", "one", "two").agg(F.min("shingle").alias("shingle"), F.first("size").alias("size"))
+    blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
+    several = keep(several.select("shingle", blocks.alias("blocks")), "several")
+    rows = prefix.join(several, "shingle").withColumn("side", F.pmod(F.xxhash64("id", "mark"), F.col("blocks")).cast("int"))
+    # a block with itself, and with each other one
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = keep(rows.select(F.col("shingle").alias("key"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "mark"), "blocks")
+    met = rows.join(sets, ["id", "mark"]).select("key", "i", "j", "side", "id", "component", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    return keep(met.mapInArrow(_meeting(share), "a long, b long").distinct(), "crowd_links")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (80, 100), lower: bool = True, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of ``docs``.
 
     Texts are linked when ``share[1] * |A & B| >= share[0] * |A | B|`` over their
@@ -198,9 +326,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     is the least id reachable, ``kept`` says it is the row's own.
 
     Equal sets are one class from the start, whatever their number, and take part
-    with the least of their ids.  Regions with more rows than the neighbours looked
-    at are searched again with all members of large components but their best-linked
-    one left out, for as long as that resolves a tenth of what is left.
+    with the least of their ids.  Members of regions with more rows than the neighbours
+    looked at meet once more by their rarest shingles, at most ``block`` with ``block``
+    in one place, so that all their links between different components are found.
 
     Rows that share an id are linked by it.  A null id gives a null
     ``component_id`` and is kept.  Other columns are ignored; an empty table gives
@@ -213,18 +341,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     classes = sets.where("n > 0 and id is not null").groupBy(*marks).agg(F.min("id").alias("first_id"))
     chosen = sets.join(classes.select(F.col("first_id").alias("id"), *marks), ["id", *marks], "left_semi")
     ratio = share[0] / share[1]
-    links, searched, left = None, chosen, None
-    while True:
-        pairs = _candidates(searched, ratio)
-        fresh = _links(pairs.where("a < b"), source, shingle, lower, share, few=links is not None)
-        links = fresh if links is None else links.union(fresh)
-        member = components(links)
-        crowd, hubs = _thinned(links, member, pairs.where("a = b").select(F.col("a").alias("id")))
-        before, left = left, crowd.count()
-        if left == 0 or (before is not None and left > 0.9 * before):
-            break
-        again = keep(crowd.union(hubs).distinct(), "again")
-        searched = sets.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "id", "left_semi")
+    pairs = _candidates(chosen, ratio)
+    links = _links(pairs.where("a < b"), source, shingle, lower, share)
+    member = components(links)
+    crowd = keep(pairs.where("a = b").select(F.col("a").alias("id")), "crowd")
+    if crowd.count():
+        member = components(links.union(_crowd_links(crowd, keep(member, "member"), source, shingle, lower, share, block)))
     known = classes.join(member.select(F.col("node").alias("first_id"), "component"), "first_id", "left").select(*marks, F.coalesce("component", "first_id").alias("reached"))
     return sets.select("id", *marks).join(known, marks, "left").select(
         F.col("id").alias(id_col),

@@ -88,6 +88,18 @@ def test_near_duplicates(spark, size):
     assert near_dedup.near_duplicates(frame(spark, []), size).count() == 0
 
 
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 150])
+def test_links_hidden_in_a_crowd(spark, block):
+    """Edits of one text at a Jaccard similarity of 0.7, too many to be all neighbours, among them copies above 0.8: no link may be lost."""
+    crowd = prose(200)
+    rows = [(i, edited(crowd, 5)) for i in range(900)]
+    rows += [(1000 + i, edited(t, 5)) for i, t in rows[:300]]
+    got = near_dedup.near_duplicates(frame(spark, rows), 4, block=block).collect()
+    want = brute_components(rows, 4)
+    assert len(set(want.values())) > 500 and all(want[1000 + i] < 1000 for i in range(300))
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_rows_of_one_id(spark):
     """Of rows that share an id the least text stays, then the lowest hash of the rest, in whatever order they come."""
     a, b = prose(40), prose(40)
