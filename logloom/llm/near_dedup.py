@@ -35,6 +35,8 @@ BLOCK, BLOCK_SHINGLES = 1_000, 4_000_000
 COUNTED_ROWS, FREQUENT = 20_000, 100_000
 #: Standard deviations by which a sketch may fall short of the threshold.
 SLACK = 4.5
+#: The same before full sets are compared: a set at the threshold falls as short in one of 10 ** 11 cases.
+WIDE_SLACK = 8
 
 
 def _sketcher(size: int, lower: bool):
@@ -49,10 +51,8 @@ def _sketcher(size: int, lower: bool):
                 mark = tk.mix(total[:, first[1:]] - total[:, first[:-1]]).view(np.int64)
                 # minima of long texts are all small: their own high bits would be equal
                 high = np.ascontiguousarray((sig * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(">u2")).reshape(b - a, -1).view(np.uint8)
-                low = (sig & np.uint32(15)).astype(np.uint8)
-                low = low[:, 0::2] << 4 | low[:, 1::2]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(mark[0]), pa.array(mark[1]), _rows(high), _rows(low)],
+                    [ids.slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(mark[0]), pa.array(mark[1]), _rows(high), _rows(_low(sig))],
                     names=["id", "n", "mark1", "mark2", "labels", "sketch"],
                 )
         tk.give_back()
@@ -60,6 +60,12 @@ def _sketcher(size: int, lower: bool):
     return run
 
 
+def _low(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each hash, two in a byte."""
+    low = (sig & np.uint32(15)).astype(np.uint8)
+    return low[:, 0::2] << 4 | low[:, 1::2]
+
+
 def _rows(table: np.ndarray) -> pa.Array:
     """A binary value for each row of a uint8 matrix."""
     table = np.ascontiguousarray(table)
@@ -184,21 +190,22 @@ def _links(pairs: DataFrame, source: DataFrame, shingle: int, lower: bool, share
 
 
 def _full_sets(size: int, lower: bool):
-    """Rows (id, shingles) with the distinct shingles of rows (id, text)."""
+    """Rows (id, shingles, sketch) with the distinct shingles of rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in tk.slices(batch.column(1)):
                 sets, first = tk.distinct(*tk.shingles(tk.Words(data, offsets, lower), size))
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["id", "shingles"])
+                sketch = _rows(_low(tk.minhash(sets, first, TREES * DEPTH)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, sketch], names=["id", "shingles", "sketch"])
         tk.give_back()
 
     return run
 
 
 def _prefixes(frequent: np.ndarray, share: tuple[int, int]):
-    """Rows (id, mark, component, n, shingle) for the first of each set's shingles in an order common to all sets.
+    """Rows (id, mark, component, n, shingle, sketch, rank) for the first of each set's shingles in an order common to all sets.
 
     Two sets that reach ``share`` have one of the first n - ceil(share * n) + 1 in common,
     whatever the order.  ``frequent`` shingles come last, the most frequent of all at the end.
@@ -219,7 +226,8 @@ def _prefixes(frequent: np.ndarray, share: tuple[int, int]):
             length = n + (-share[0] * n) // share[1] + 1
             first = order[rank < np.repeat(length, n)]
             rows = [batch.column(c).take(pa.array(np.repeat(np.arange(len(n)), length))) for c in range(3)]
-            yield pa.RecordBatch.from_arrays([*rows, pa.array(np.repeat(n, length)), pa.array(values[first])], names=["id", "mark", "component", "n", "shingle"])
+            sketch = batch.column(4).take(pa.array(np.repeat(np.arange(len(n)), length)))
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(np.repeat(n, length)), pa.array(values[first]), sketch, pa.array(rank[rank < np.repeat(length, n)])], names=["id", "mark", "component", "n", "shingle", "sketch", "rank"])
 
     return run
 
@@ -261,6 +269,59 @@ def _joined(ids: list[int], sides: list[int], roots: list[int], sets: list[np.nd
     return out
 
 
+def _possible(share: tuple[int, int]):
+    """Rows (key, i, j, side, id, mark) with a possible partner, of rows (.., component, n, sketch, rank) in the order of (key, i, j).
+
+    A partner is of another component and of the other side, if there are two; sizes must
+    allow the link, so must what follows the shingle, as if it were the first in common,
+    and the sketches, by WIDE_SLACK.
+    """
+    ratio = share[0] / share[1]
+    hashes = TREES * DEPTH
+    least = hashes * (ratio - WIDE_SLACK * (ratio * (1 - ratio) / hashes) ** 0.5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(rows: pa.RecordBatch) -> pa.RecordBatch:
+            key, i, j, side, component, n, rank = (rows.column(c).to_numpy() for c in (0, 1, 2, 3, 6, 7, 9))
+            left = n - rank
+            sketch = _matrix(rows.column(8), hashes // 2)
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            good = np.zeros(len(rows), bool)
+            for a, b in zip([0, *edges], [*edges, len(rows)], strict=True):
+                two = (side[a:b] != side[a]).any()
+                for x in range(a, b):
+                    if good[x]:
+                        continue
+                    fits = (component[a:b] != component[x]) & (share[1] * np.minimum(n[a:b], n[x]) >= share[0] * np.maximum(n[a:b], n[x]))
+                    fits &= (share[0] + share[1]) * np.minimum(left[a:b], left[x]) >= share[0] * (n[a:b] + n[x])
+                    if two:
+                        fits &= side[a:b] != side[x]
+                    y = a + np.flatnonzero(fits)
+                    y = y[_BITS[sketch[x], sketch[y]].sum(1, dtype=np.int64) >= least] if len(y) else y
+                    good[y] = True
+                    good[x] = len(y) > 0
+            return pa.RecordBatch.from_arrays([rows.column(c).filter(pa.array(good)) for c in range(6)], names=["key", "i", "j", "side", "id", "mark"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            last = [batch.column(c)[len(batch) - 1] for c in range(3)]
+            if [batch.column(c)[0] for c in range(3)] == last:
+                continue  # one group alone, which may go on
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            same = np.logical_and.reduce([rows.column(c).to_numpy() == last[c].as_py() for c in range(3)])
+            to = int(np.argmax(same))
+            yield done(rows.slice(0, to))
+            held = [rows.slice(to)]
+        if held:
+            yield done(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return run
+
+
 def _meeting(share: tuple[int, int]):
     """Links (a, b) over rows (key, i, j, side, id, component, shingles) in the order of (key, i, j)."""
 
@@ -293,27 +354,29 @@ def _crowd_links(crowd: DataFrame, member: DataFrame, source: DataFrame, shingle
     """Links among the ids ``crowd`` that join all components which a link joins, by full sets.
 
     Sets meet by their rarest shingles, in blocks; a shingle that one component alone has
-    drops out, and of shingles of the very same sets all but one.
+    drops out, and of shingles of the very same sets all but the first.
     """
-    texts = source.join(crowd.hint("merge"), "id", "left_semi").distinct().mapInArrow(_full_sets(shingle, lower), "id long, shingles array<long>")
+    texts = source.join(crowd.hint("merge"), "id", "left_semi").distinct().mapInArrow(_full_sets(shingle, lower), "id long, shingles array<long>, sketch binary")
     known = texts.where(F.size("shingles") > 0).join(member.select(F.col("node").alias("id"), "component"), "id", "left")
-    sets = keep(known.select("id", F.xxhash64("shingles").alias("mark"), F.coalesce("component", "id").alias("component"), "shingles"), "crowd_sets")
+    sets = keep(known.select("id", F.xxhash64("shingles").alias("mark"), F.coalesce("component", "id").alias("component"), "shingles", "sketch"), "crowd_sets")
     part = max(1, sets.count() // COUNTED_ROWS)
     counted = sets.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where("count > 1")
     frequent = np.array([r.shingle for r in counted.orderBy(F.desc("count"), "shingle").limit(FREQUENT).select("shingle").collect()], np.int64)
-    prefix = keep(sets.mapInArrow(_prefixes(frequent, share), "id long, mark long, component long, n long, shingle long"), "prefixes")
+    prefix = keep(sets.mapInArrow(_prefixes(frequent, share), "id long, mark long, component long, n long, shingle long, sketch binary, rank long"), "prefixes")
     several = prefix.groupBy("shingle").agg(
-        F.count("*").alias("m"), F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.count("*").alias("m"), F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum("rank").alias("rank"),
         F.bit_xor(F.xxhash64("id", "mark")).alias("one"), F.bit_xor(F.xxhash64("mark", "id")).alias("two"),
     ).where("low < high")
-    several = several.groupBy("m", "one", "two").agg(F.min("shingle").alias("shingle"), F.first("size").alias("size"))
+    several = several.groupBy("m", "one", "two").agg(F.min_by("shingle", F.struct("rank", "shingle")).alias("shingle"), F.first("size").alias("size"))
     blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
     several = keep(several.select("shingle", blocks.alias("blocks")), "several")
     rows = prefix.join(several, "shingle").withColumn("side", F.pmod(F.xxhash64("id", "mark"), F.col("blocks")).cast("int"))
     # a block with itself, and with each other one
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = keep(rows.select(F.col("shingle").alias("key"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "mark"), "blocks")
-    met = rows.join(sets, ["id", "mark"]).select("key", "i", "j", "side", "id", "component", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    rows = rows.select(F.col("shingle").alias("key"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "id", "mark", "component", "n", "sketch", "rank")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = keep(rows.mapInArrow(_possible(share), "key long, i int, j int, side int, id long, mark long"), "blocks")
+    met = rows.join(sets.drop("sketch"), ["id", "mark"]).select("key", "i", "j", "side", "id", "component", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     return keep(met.mapInArrow(_meeting(share), "a long, b long").distinct(), "crowd_links")
 
 
