@@ -81,6 +81,45 @@ def test_pieces_job(spark, library, sf_dir):
     assert pieces.encode_texts(frame(spark, []), piece_model()).count() == 0
 
 
+def invented(seed, n):
+    rng = np.random.default_rng(seed)
+    syllables = np.array(["th", "er", "an", "ein", "sch", "ung", "tion", "ñ", "ou", "ly", "ed", "es", "%%", "ä", ".", "漢", "q", "ing"])
+    return ["".join(w) for w in rng.choice(syllables, (n, 5))]
+
+
+def test_pieces_step_together():
+    """Invented words cost clearly less in a text than one by one (CPU time, after other words have filled what is remembered)."""
+    made, ratios = pieces.Pieces(piece_model()), []
+    for seed in range(5):
+        words = invented(seed, 40_000)
+        start = time.process_time()
+        alone = [made.ids(pieces.SPACE + w) for w in dict.fromkeys(words)]
+        between = time.process_time()
+        made.encode(" ".join(words))
+        ratios.append((time.process_time() - between) / (between - start))
+        assert len(alone) > 30_000
+    assert min(ratios[1:]) < 0.8, ratios
+
+
+def test_pieces_of_many_texts_equal_the_library(library, monkeypatch):
+    """One slice of odd texts, with few pairs remembered and few units together."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(pieces, "PAIRS", 64)
+    monkeypatch.setattr(pieces, "TOGETHER", 100)
+    words, rng = invented(3, 3_000), np.random.default_rng(4)
+    gaps = np.array([" ", " ", " ", "  ", "\n", "\n ", " " * 20, "▁", "\t", "", "\r\n"])
+    texts = ["".join(g + w for g, w in zip(rng.choice(gaps, 60), rng.choice(words, 60), strict=True)) for _ in range(200)]
+    texts += [None, "", " ", "\n", "▁", "▁▁ x", "\0", "😀" * 40, " 😀  é\u0301", "漢字" * 60 + "  the", "a" * 47, " " + "a" * 48, "ab" * 80, "  " + "the" * 30, "x  ", "", None]
+    made = pieces.Pieces(piece_model())
+    for column in (pa.array(texts), pa.array(["cut off", *texts]).slice(1), pa.array([None, ""]), pa.array(texts[:1])):
+        counts, ids, decoded = made.encode_all(column)
+        want = [library.encode(t or "", add_eos=True) for t in column.to_pylist()]
+        assert counts.tolist() == [len(w) for w in want]
+        assert ids.to_pylist() == [" ".join(map(str, w)) for w in want]
+        assert decoded.to_pylist() == [library.decode(w) for w in want]
+
+
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
 
