@@ -1,5 +1,5 @@
 """Tables in the folder that all executors share."""
 
-from ..store import keep, shared_folder
+from ..store import drop, keep, shared_folder, shuffles_removed
 
-__all__ = ["keep", "shared_folder"]
+__all__ = ["drop", "keep", "shared_folder", "shuffles_removed"]

@@ -3,7 +3,8 @@
 Texts are cut where a word's hash is the least of those around it, ends of sentences
 and lines before other words.  A cut depends on the few words next to it alone, so that
 the same passage is cut alike wherever it is pasted.  Paragraphs of equal words
-are one class.  Classes that collide in a band are compared with each other by exact
+are one class.  A bitmap of bounded size says which buckets may hold two classes; the
+others are never dealt out with their words.  Classes that collide in a band are compared with each other by exact
 Jaccard similarity inside the task that holds their bucket, which gives out the links
 of a spanning forest only.  Classes of the largest buckets meet by their rarest
 shingles instead, which misses none.  Linked classes form components.  Neighbouring
@@ -13,6 +14,7 @@ repeated paragraphs of a document are then joined into passages.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ..store import keep
+from ..store import drop, keep, shuffles_removed
 from . import textkit as tk
 from .graph import components
 
@@ -32,8 +34,12 @@ LEAST_WORDS = UNDERCUT + 1  # of a paragraph
 BLOCK = 1000
 #: Words between repeated paragraphs that belong to one passage.
 GAP = 16
-#: Buckets up to which their list is broadcast.
-BROADCAST_BUCKETS = 1_000_000
+#: Most bits of the map of buckets; 32 MB.
+MAP_BITS = 1 << 28
+#: Codes of buckets that a task packs at once, and that a part of the map is made from, about.
+CODES, PART_CODES = 1 << 21, 1 << 19
+#: Linked classes up to which their components are broadcast.
+BROADCAST_CLASSES = 1_000_000
 
 
 def bands(recall: float = 0.995, share: float = 0.8, rows: int = 2) -> tuple[int, int]:
@@ -72,7 +78,7 @@ def paragraphs(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[start[long]], start[long], ends[long]
 
 
-def _part(words: tk.Words, start: np.ndarray, end: np.ndarray) -> tk.Words:
+def _cut_words(words: tk.Words, start: np.ndarray, end: np.ndarray) -> tk.Words:
     """The same words, with paragraphs in the place of texts."""
     out = object.__new__(tk.Words)
     size = end - start
@@ -97,7 +103,7 @@ def _mark(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, words, text, start, end in _cut(batch):
-            part = _part(words, start, end)
+            part = _cut_words(words, start, end)
             short = (part.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(part.first, pa.int32()), pa.array(short))
             head = words.first[text]
@@ -115,16 +121,108 @@ def _shingles(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return tk.shingles(part, SHINGLE)
 
 
-def _banded(count: int, rows: int):
-    """Adds the band keys to rows (mark, words)."""
+def _bands(lists: pa.ListArray, count: int, rows: int) -> np.ndarray:
+    """(paragraphs, count) keys of the buckets of each paragraph."""
+    sig = tk.minhash(*_shingles(lists), count * rows).astype(np.uint64)  # repeats don't change minima
+    keys = [tk.mix(sum((tk.mix(sig[:, b * rows + r] + np.uint64((r + 1) << 32)) for r in range(rows)), np.full(len(sig), b, np.uint64))) for b in range(count)]
+    return np.stack(keys, axis=1)
+
+
+def _part(band: np.ndarray, parts: int) -> np.ndarray:
+    return ((band >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Sorted codes of seven bytes by place of byte, as the first ones of many codes are alike."""
+    return codes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 1:].T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 7, 8), np.uint8)
+    out[:, 1:] = np.frombuffer(data, np.uint8).reshape(7, -1).T
+    return out.view(">u8").reshape(-1).astype(np.uint64)
+
+
+def _coded(count: int, rows: int, parts: int):
+    """Packed codes by part of the map, of rows (mark, words): four bytes of the bucket's key and three of the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def batch_of() -> pa.RecordBatch:
+            part, code = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(part, kind="stable")
+            part, code = part[order], code[order]
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            made = [_packed(np.unique(x)) for x in np.split(code, starts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(made, pa.binary())], names=["part", "codes"])
+
         for batch in batches:
-            n = len(batch)
-            sig = tk.minhash(*_shingles(batch.column(1)), count * rows).astype(np.uint64)  # repeats don't change minima
-            keys = [tk.mix(sum((tk.mix(sig[:, b * rows + r] + np.uint64((r + 1) << 32)) for r in range(rows)), np.full(n, b, np.uint64))) for b in range(count)]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * count + 1, count), pa.int32()), pa.array(np.stack(keys, axis=1).reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["mark", "words", "bands"])
+            if len(batch):
+                band = _bands(batch.column(1), count, rows)
+                mark = batch.column(0).to_numpy().view(np.uint64) & np.uint64(0xFFFFFF)  # tells classes of a bucket apart
+                code = (band & np.uint64(0xFFFFFFFF)) << np.uint64(24) | mark[:, None]
+                held.append((_part(band, parts).reshape(-1), code.reshape(-1)))
+            if sum(len(x) for x, _ in held) >= CODES:
+                yield batch_of()
+        if held:
+            yield batch_of()
+
+    return run
+
+
+def _places(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a part of the map for each four-byte key."""
+    return (key % np.uint64(bits)).astype(np.int64), (tk.mix(key) % np.uint64(bits)).astype(np.int64)
+
+
+def _mapped(bits: int):
+    """(part, bits): the map's part, from rows (part, codes) in the order of parts, with the buckets of two classes or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for part, own in groupby(rows, lambda row: row[0]):
+            key = np.unique(np.concatenate([_unpacked(codes.as_py()) for _, codes in own])) >> np.uint64(24)
+            several = key[1:][key[1:] == key[:-1]]
+            if len(several):
+                at = np.zeros(bits, bool)
+                for place in _places(several, bits):
+                    at[place] = True
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(at, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+    return run
+
+
+def _bucket_map(units: DataFrame, count: int, rows: int, most: int) -> tuple[np.ndarray, int, int]:
+    """(map, parts, bits of a part): a superset of the buckets of ``units`` (mark, words) with two classes or more."""
+    codes = units.count() * count
+    parts = max(1, -(-codes // PART_CODES))
+    bits = -(-max(min(codes // 2, most), 1 << 16) // parts // 8) * 8
+    coded = units.select("mark", "words").mapInArrow(_coded(count, rows, parts), "part int, codes binary")
+    with shuffles_removed(units.sparkSession):
+        found = coded.repartition("part").sortWithinPartitions("part").mapInArrow(_mapped(bits), "part int, bits binary").collect()
+    out = np.zeros((parts, bits // 8), np.uint8)
+    for part, own in found:
+        out[part] = np.frombuffer(own, np.uint8)
+    return out.reshape(-1), parts, bits
+
+
+def _members(count: int, rows: int, shared, parts: int, bits: int):
+    """Rows (band, mark, words) for the buckets of rows (mark, words) that the map ``shared`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            band = _bands(batch.column(1), count, rows)
+            first = _part(band, parts).astype(np.int64) * bits
+            held = np.ones(band.shape, bool)
+            for place in _places(band & np.uint64(0xFFFFFFFF), bits):
+                held &= known[first + place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+            row, at = np.nonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(band[row, at].view(np.int64)), *(c.take(pa.array(row)) for c in batch.columns)], names=["band", "mark", "words"])
 
     return run
 
@@ -222,22 +320,45 @@ def _crowd_links(crowd: DataFrame, reached: DataFrame, share: tuple[int, int], b
     has drop out; the holders of the others meet in blocks.
     """
     sets = keep(crowd.mapInArrow(_exploded, "mark long, n int, shingle long"), "shingles")
-    held = sets.groupBy("shingle").agg(F.count("*").alias("holders"))
+    held = keep(sets.groupBy("shingle").agg(F.count("*").alias("holders")), "holders")
     # one class's own shingles
     rare = F.row_number().over(Window.partitionBy("mark").orderBy("holders", "shingle"))
-    prefix = sets.join(keep(held, "holders"), "shingle").withColumn("rank", rare).where(F.expr(f"rank <= n - ({share[0]} * n + {share[1] - 1}) div {share[1]} + 1")).where("holders > 1")
+    prefix = sets.join(held, "shingle").withColumn("rank", rare).where(F.expr(f"rank <= n - ({share[0]} * n + {share[1] - 1}) div {share[1]} + 1")).where("holders > 1")
     known = reached.select(F.col("node").alias("mark"), "component")
     prefix = keep(prefix.join(known, "mark", "left").select("mark", "shingle", F.coalesce("component", "mark").alias("component")), "prefixes")
+    drop(sets, held)
     several = prefix.groupBy("shingle").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     several = keep(several.select("shingle", F.ceil(F.col("m") / block).cast("int").alias("blocks")), "several")
     rows = prefix.join(several, "shingle").withColumn("side", F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int"))
     # a block with itself, and with each other one
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = keep(rows.select(F.col("shingle").alias("key"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "mark", "component"), "blocks")
-    return _links(rows.join(crowd, "mark"), share, "crowd_links")
+    links = _links(rows.join(crowd, "mark"), share, "crowd_links")
+    drop(prefix, several, rows)
+    return links
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 20, share: tuple[int, int] = (80, 100), recall: float = 0.995, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _classed(units: DataFrame, members: DataFrame, share: tuple[int, int], block: int) -> DataFrame:
+    """``units`` (id, start, end) with their component, from the ``members`` (band, mark, words) of buckets; both are deleted."""
+    large = keep(members.groupBy("band").agg(F.count("*").alias("m")).where(F.col("m") > block).select("band"), "large")
+    small = members.join(large, "band", "left_anti") if large.count() else members
+    zero = F.lit(0)
+    links = _links(small.select(F.col("band").alias("key"), zero.alias("i"), zero.alias("j"), zero.alias("side"), "mark", F.col("mark").alias("component"), "words"), share, "links")
+    reached = first = keep(components(links), "reached")
+    if large.count():
+        crowd = keep(members.join(large, "band", "left_semi").groupBy("mark").agg(F.first("words").alias("words")), "crowd")
+        more = _crowd_links(crowd, reached, share, block)
+        reached = components(links.union(more))
+        drop(crowd, more)
+    drop(members, large, links)
+    known = reached.select(F.col("node").alias("mark"), "component")
+    known = F.broadcast(known) if known.count() <= BROADCAST_CLASSES else known
+    out = keep(units.select("id", "start", "end", "mark").join(known, "mark", "left").select("id", "start", "end", F.coalesce("component", "mark").alias("component")), "classed")
+    drop(units, first)
+    return out
+
+
+def repeated_passages(docs: DataFrame, least_words: int = 20, share: tuple[int, int] = (80, 100), recall: float = 0.995, block: int = BLOCK, map_bits: int = MAP_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, start, end, n_words, n_repeated, component, first_id, copies, kept) for each passage that another document has too.
 
     ``start`` and ``end`` are places of words in the row's text, the end exclusive.
@@ -249,7 +370,8 @@ def repeated_passages(docs: DataFrame, least_words: int = 20, share: tuple[int,
     of the least id, which stays when the others are removed.
 
     Classes of a bucket of at most ``block`` are all compared; those of larger ones
-    meet by their rarest shingles, in blocks of that size.
+    meet by their rarest shingles, in blocks of that size.  ``map_bits`` bounds the map
+    of buckets; a fuller map lets more classes through that meet no other, and loses none.
 
     Repeats inside one document alone don't count, nor do null and empty texts and
     paragraphs of fewer than LEAST_WORDS words.  Rows with a null id are left out,
@@ -259,27 +381,16 @@ def repeated_passages(docs: DataFrame, least_words: int = 20, share: tuple[int,
     count, rows = bands(recall, share[0] / share[1])
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     units = keep(source.mapInArrow(_units, "id long, start int, end int, mark long, words array<int>"), "paragraphs")
-    banded = units.select("mark", "words").mapInArrow(_banded(count, rows), "mark long, words array<int>, bands array<long>")
-    # buckets of two classes or more; a row for each key and task is all that is shuffled
-    in_bands = banded.select(F.explode("bands").alias("band"), F.col("mark").bitwiseAND(0x7FFFFFFF).cast("int").alias("mark"))  # low bits tell classes of a bucket apart
-    buckets = keep(in_bands.groupBy("band").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("band"), "buckets")
-    known = F.broadcast(buckets) if buckets.count() <= BROADCAST_BUCKETS else buckets
-    members = banded.select(F.explode("bands").alias("band"), "mark", "words").join(known, "band")
-    members = members.groupBy("band", "mark").agg(F.first("words").alias("words"))
-    members = keep(members.select("band", "mark", "words"), "members")
-    large = keep(members.groupBy("band").agg(F.count("*").alias("m")).where(F.col("m") > block).select("band"), "large")
-    small = members.join(large, "band", "left_anti") if large.count() else members
-    zero = F.lit(0)
-    links = _links(small.select(F.col("band").alias("key"), zero.alias("i"), zero.alias("j"), zero.alias("side"), "mark", F.col("mark").alias("component"), "words"), share, "links")
-    reached = keep(components(links), "reached")
-    if large.count():
-        crowd = keep(members.join(large, "band", "left_semi").groupBy("mark").agg(F.first("words").alias("words")), "crowd")
-        reached = components(links.union(_crowd_links(crowd, reached, share, block)))
-    units = units.select("id", "start", "end", "mark").join(reached.select(F.col("node").alias("mark"), "component"), "mark", "left")
-    units = keep(units.select("id", "start", "end", F.coalesce("component", "mark").alias("component")), "classed")
+    known, parts, bits = _bucket_map(units, count, rows, map_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    members = units.select("mark", "words").mapInArrow(_members(count, rows, shared, parts, bits), "band long, mark long, words array<int>")
+    with shuffles_removed(docs.sparkSession):
+        members = keep(members.groupBy("band", "mark").agg(F.first("words").alias("words")), "members")
+        units = _classed(units, members, share, block)
     spread = units.select("component", "id").distinct().groupBy("component").agg(F.count("*").alias("copies"), F.min("id").alias("first_id")).where("copies > 1")
-    # a table of its own, so that Spark can split the large partitions of the join
-    twice = units.join(keep(spread, "spread"), "component")
+    with shuffles_removed(docs.sparkSession):
+        spread = keep(spread, "spread")  # a table of its own, so that Spark can split the large partitions of the join
+    twice = units.join(spread, "component")
     # a document's own paragraphs; no key holds more than one document's
     line = Window.partitionBy("id").orderBy("start", "end", "component")
     before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,21 @@ def shared_folder(spark: SparkSession) -> str:
 _written: dict[str, list[str]] = {}
 
 
+#: Spark's setting by which an execution that has ended removes its shuffle files.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Executions inside remove their shuffle files when they end, not when the driver collects its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder, and read back.
 
@@ -31,13 +47,27 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._kept = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` gave back, once nothing that is still to run reads them."""
+    for table in tables:
+        spark = table.sparkSession
+        _written[spark.sparkContext.applicationId].remove(table._kept)
+        _delete(spark, table._kept)
 
 
 def clear(spark: SparkSession) -> int:
     """Delete the tables that ``keep`` has written for this application; how many.  DataFrames that read them are then void."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
     return len(paths)

@@ -214,6 +214,36 @@ def test_near_paragraphs_in_a_crowd(spark, block):
     assert all(len({want[i] for i in of if of[i] == c}) == 1 for c in set(of.values()))
 
 
+def shuffled_bytes(spark):
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("map_bits", [substring_dedup.MAP_BITS, 1])
+def test_disk_of_passages(spark, map_bits):
+    """Paragraphs that meet no other are not dealt out with their words, and tables that the result doesn't read are deleted."""
+    from logloom import store
+
+    rng = np.random.default_rng(11)
+    rows = [(k, " ".join(rng.choice(VOCABULARY, 1500))) for k in range(200)]
+    rows += [(1000 + k, " ".join(rng.choice(VOCABULARY, 50).tolist() + rows[k][1].split()[300:400])) for k in range(20)]
+    before, tables = shuffled_bytes(spark), len(store._written.get(spark.sparkContext.applicationId, []))
+    docs = frame(spark, rows).repartition(4)
+    got = substring_dedup.repeated_passages(docs, map_bits=map_bits).collect()
+    assert {r.first_id for r in got} == set(range(20)) == {r.doc_id for r in got if r.kept} and len(got) == 40
+    grown = shuffled_bytes(spark) - before - sum(len(t) for _, t in rows)  # as the texts are dealt out
+    assert map_bits == 1 or grown < 0.5 * sum(len(t) for _, t in rows)
+    left = {p.rsplit("/", 1)[1].split("-")[0] for p in store._written[spark.sparkContext.applicationId][tables:]}
+    assert left == {"edges", "classed", "spread"}
+
+
+def test_packed_codes():
+    codes = np.unique(RNG.integers(0, 1 << 56, 5000, dtype=np.uint64))
+    packed = substring_dedup._packed(codes)
+    assert len(packed) == 7 * len(codes) and (substring_dedup._unpacked(packed) == codes).all()
+
+
 @pytest.mark.parametrize("stops", [True, False])
 def test_passages_pasted_anywhere(spark, stops):
     """Passages of 52 words cut out of prose at any word and pasted at any word of two texts."""
