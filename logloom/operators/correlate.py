@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .series import valued
 
 HALF_WIDTH_MS = 30_000
+#: Paths of probes up to which samples are filtered by their list; beyond, by a join.
+FEW_PATHS = 1_000
 #: Cells of a window, about, and the power of two of the shortest cell in milliseconds.
 CELLS = 64
 LEAST_CELL = 15
@@ -59,25 +61,28 @@ def nearest_samples(probes: DataFrame, samples: DataFrame, at: str = "at_ms", sp
     orders samples of equal time.
 
     A path is cut into spans of time, so that a long series is many groups; each
-    span knows the last sample before it and the first after it.
+    span knows the last sample before it and the first after it.  What lies ahead is
+    what came before in descending order: a frame that ends with the partition would be
+    read again for each row.  Samples of paths without probes are left out at once.
     """
     key = lambda t: F.floor(F.col(t) / span_ms)
-    s = valued(samples).select("path", "ts_ms", "value", (F.struct(*tie) if tie else F.lit(0)).alias("_seq")).withColumn("_span", key("ts_ms"))
+    paths = probes.select("path").where("path is not null").distinct()
+    few = [r["path"] for r in paths.limit(FEW_PATHS + 1).collect()]
+    probed = samples.join(paths, "path", "left_semi") if len(few) > FEW_PATHS else samples.where(F.col("path").isin(few))
+    s = valued(probed).select("path", "ts_ms", "value", (F.struct(*tie) if tie else F.lit(0)).alias("_seq")).withColumn("_span", key("ts_ms"))
     p = probes.select("path", F.col(at)).distinct().withColumn("_span", key(at))
     point = F.struct("ts_ms", "_seq", "value")
     edges = s.groupBy("path", "_span").agg(F.min(point).alias("first"), F.max(point).alias("last"))
     spans = edges.select("path", "_span").union(p.select("path", "_span")).distinct().join(edges, ["path", "_span"], "left")
     # one row for each path and span
-    w = Window.partitionBy("path").orderBy("_span")
-    spans = spans.select(
-        "path", "_span", F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after")
-    )
+    earlier = lambda by, column, *order: F.last(column, True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select("path", "_span", earlier(["path"], "last", "_span").alias("before"), earlier(["path"], "first", F.desc("_span")).alias("after"))
     null = F.lit(None)
     both = s.select("path", "_span", F.col("ts_ms").alias("t"), F.lit(1).alias("kind"), "_seq", point.alias("sample")).union(
         p.select("path", "_span", F.col(at).alias("t"), F.lit(0).alias("kind"), null.cast(s.schema["_seq"].dataType).alias("_seq"), null.cast(s.select(point.alias("x")).schema["x"].dataType).alias("sample"))
     )
-    w = Window.partitionBy("path", "_span").orderBy("t", "kind", "_seq")
-    both = both.withColumn("back", F.last("sample", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("ahead", F.first("sample", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    order = ["t", "kind", "_seq"]
+    both = both.withColumn("back", earlier(["path", "_span"], "sample", *order)).withColumn("ahead", earlier(["path", "_span"], "sample", *map(F.desc, order)))
     hits = both.where("kind = 0").join(spans, ["path", "_span"])
     back, ahead = F.coalesce("back", "before"), F.coalesce("ahead", "after")
     forward = ahead.isNotNull() & (back.isNull() | (ahead["ts_ms"] - F.col("t") < F.col("t") - back["ts_ms"]))

@@ -117,3 +117,17 @@ def test_long_windows_are_few_rows(spark):
     want = sorted((w, t) for (t,) in entries.collect() for a, b, w in spans if None not in (a, t) and a <= t <= b)
     assert got == want and len({w for w, _ in want}) == 4
     assert correlate.events_in_windows(entries, windows.where("false")).count() == 0
+
+
+def test_nearest_samples_of_one_dense_span(spark):
+    """30,000 samples and probes in one span; no frame may be read again for each row, nor samples of other paths be dealt out."""
+    n = 30_000
+    s = spark.range(n).selectExpr("'p' AS path", "id * 100 AS ts_ms", "double(id) AS value").union(spark.range(n).selectExpr("'other' AS path", "id * 100 AS ts_ms", "-1D AS value"))
+    probes = spark.range(n).selectExpr("'p' AS path", "id * 100 + id % 100 AS at_ms")
+    got = correlate.nearest_samples(probes, s)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()
+    off = got.where("value <> at_ms div 100 + int(at_ms % 100 > 50 and at_ms div 100 < 29999)")
+    assert got.count() == n and off.count() == 0
+    wide = correlate.nearest_samples(spark.range(1500).selectExpr("concat('q', id) AS path", "5 AS at_ms").union(probes.limit(1)), s)
+    assert {(r.path, r.value) for r in wide.where("value is not null").collect()} == {("p", 0.0)} and wide.count() == 1501
