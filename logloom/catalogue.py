@@ -388,7 +388,7 @@ def cluster_entries(spark, d):
 @register("stacked_entries")
 def stacked_entries(spark, d):
     """Entries with times cut to hours, so that nodes have equal ones."""
-    e = entries(spark, d).withColumn("ts_ms", F.expr("ts_ms div 3600000 * 3600000"))
+    e = entries(spark, d).select("file_idx", "node_idx", "node_set", "line_no", F.expr("ts_ms div 3600000 * 3600000").alias("ts_ms"), *nodes.KEY, F.lit(None).cast("string").alias("raw"))  # only the number of raw lines is shown
     return nodes.stacked(e).select("file_idx", "line_no", "ts_ms", "msg", "node_set", F.coalesce(F.size("alts"), F.lit(0)).alias("n_alts"))
 
 

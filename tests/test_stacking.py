@@ -1,6 +1,7 @@
 """Stacking in a stream against stacking the whole."""
 
 import json
+import time
 from pathlib import Path
 
 import numpy as np
@@ -67,6 +68,40 @@ def test_one_long_island(spark):
     assert [(r["node_idx"], r["node_set"]) for r in both.collect()] == [(5, [5])] * 2
 
 
+def test_stacking_over_borders_of_batches(spark):
+    """Every entry once: leaders with nodes, alternatives in order and columns of their own, against a plain search."""
+    schema = SCHEMA + ", more struct<a:int,b:array<string>>"
+    items = [(int(t), int(f), i, "km"[i % 2], None if i % 3 else "n") for i, (t, f) in enumerate(zip(RNG.integers(0, 150, 400), RNG.integers(0, 4, 400), strict=True))] + [(-1, 0, 999, "m", None)]
+    df = spark.createDataFrame([(t, f, f, [f, f + 1][:: 1 - 2 * (n % 2)], n, k, "INFO", "C", ns, f"raw{n}", (n, [k])) for t, f, n, k, ns in items], schema)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        for window in (0, 1, 5):
+            want, leaders = {}, {}
+            for t, f, n, k, ns in sorted(items):
+                to = next((x for x in leaders.get((k, ns), []) if 0 <= t - x[0] <= window and x[1] != f), None) if t >= 0 else None
+                if to is None:
+                    leaders.setdefault((k, ns) if t >= 0 else None, []).append((t, f, n))
+                    want[n] = ([f, f + 1][:: 1 - 2 * (n % 2)], [])
+                else:
+                    nodes_, alts = want[to[2]]
+                    want[to[2]] = (sorted({*nodes_, f, f + 1}), [*alts, (f, f, n, f"raw{n}")])
+            got = nodes.stacked(df, window).collect()
+            assert {r.line_no: (r.node_set, [tuple(a) for a in r.alts or []]) for r in got} == want and len(got) == len(want)
+            assert all(tuple(r.more) == (r.line_no, [r.msg]) and (r.alts is None or r.alts) for r in got)
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_crowded_instant_is_not_quadratic(spark):
+    """60,000 equal entries of either file at one instant: the first takes all of the other file."""
+    df = spark.range(120_000).selectExpr("1000L AS ts_ms", "int(id % 2) AS file_idx", "int(id % 2) AS node_idx", "array(int(id % 2)) AS node_set", "id AS line_no", "'m' AS msg", "'I' AS severity", "'C' AS component", "CAST(NULL AS string) AS ns", "'r' AS raw")
+    began = time.monotonic()
+    got = nodes.stacked(df).agg(F.count("*"), F.max(F.size("alts")), F.sum(F.size("node_set"))).first()
+    assert tuple(got) == (60_000, 60_000, 60_001) and time.monotonic() - began < 60
+
+
 def test_kept_tables_are_deleted(spark):
     from logloom import store
 
